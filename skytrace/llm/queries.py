@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .language_id import held_out, identify_language, prototypes
 from .line_dedup import dedup_lines
+from .piece_codec import piece_digests
+from .token_shards import token_shards
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -21,6 +27,10 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents", "doc_id", "text"), PIECE_MODEL)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return marked.select(
@@ -62,5 +72,19 @@ SELECT doc_id, count(*) AS n_lines, CAST(count_if(dropped) AS BIGINT) AS n_dropp
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup}
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_MODEL)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    profiles = prototypes(docs.where(~held_out(F.col("doc_id"))))
+    out = identify_language(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_piece_codec, op5_decontaminate, op6_line_dedup, op9_token_shards, op10_language_id)
+}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL}

@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .html_extract import extract_main_text
 from .language_id import held_out, identify_language, prototypes
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .piece_codec import piece_digests
+from .quality_rules import quality_rules
 from .token_shards import token_shards
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,10 +30,19 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents", "doc_id", "text"), PIECE_MODEL)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return marked.select(
@@ -72,6 +84,12 @@ SELECT doc_id, count(*) AS n_lines, CAST(count_if(dropped) AS BIGINT) AS n_dropp
 FROM m GROUP BY doc_id
 """
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_MODEL)
 
@@ -85,6 +103,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_piece_codec, op5_decontaminate, op6_line_dedup, op9_token_shards, op10_language_id)
-}
+    for f in (
+        op1_html_extract, op2_piece_codec, op3_quality_rules, op5_decontaminate, op6_line_dedup, op7_license_scan, op9_token_shards, op10_language_id,
+    )
+}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL}

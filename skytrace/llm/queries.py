@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .html_extract import extract_main_text
+from .jaccard_join import jaccard_components
 from .language_id import held_out, identify_language, prototypes
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
@@ -90,6 +91,22 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP8_SQL = rf"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM dw, unnest(range(greatest(len(w) - 4, 1))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_MODEL)
 
@@ -104,7 +121,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_html_extract, op2_piece_codec, op3_quality_rules, op5_decontaminate, op6_line_dedup, op7_license_scan, op9_token_shards, op10_language_id,
+        op1_html_extract, op2_piece_codec, op3_quality_rules, op5_decontaminate, op6_line_dedup, op7_license_scan, op8_jaccard_join, op9_token_shards, op10_language_id,
     )
 }
-ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}

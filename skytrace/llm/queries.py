@@ -14,6 +14,7 @@ from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .piece_codec import piece_digests
 from .quality_rules import quality_rules
+from .substring_dedup import repeated_passages
 from .token_shards import token_shards
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +45,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return marked.select(
@@ -121,7 +126,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_html_extract, op2_piece_codec, op3_quality_rules, op5_decontaminate, op6_line_dedup, op7_license_scan, op8_jaccard_join, op9_token_shards, op10_language_id,
+        op1_html_extract, op2_piece_codec, op3_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_license_scan, op8_jaccard_join, op9_token_shards, op10_language_id,
     )
 }
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}

@@ -15,6 +15,7 @@ import functools
 import itertools
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -108,46 +109,79 @@ class CachedEncoder:
     """Encodes as ``Tokenizer.encode_batch(texts, add_special_tokens=False)`` does, and remembers chunks.
 
     The tokenizer must lower-case and cut at white space, as word-level BPE with word ends does; then
-    a chunk between blanks has the same ids wherever it stands. Texts with other characters than
-    blanks, printable ASCII and precomposed Latin letters, or with the text of a special token, go to the library whole.
+    a chunk between blanks has the same ids wherever it stands, and so has each word that the
+    tokenizer cuts a chunk into. Unknown words of many texts go to the library in one call and are told apart by
+    the ids that end words. Texts with other characters than blanks, printable ASCII and
+    precomposed Latin letters, or with the text of a special token, go to the library whole, and so
+    do all texts if a probe shows another kind of tokenizer.
     """
 
-    PLAIN = re.compile("[\t-\r -~\xa0-įı-ɏ]*")
+    PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u024f]*")
 
-    def __init__(self, path: str, cache_entries: int = 400_000) -> None:
+    def __init__(self, path: str, chunks: int = 800_000, words: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        names = self.tokenizer.get_vocab()
+        self.type = np.dtype("<u2") if len(names) <= 1 << 16 else np.dtype("<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cacheable = self._ids(["Ab cD's\n12"])[0] == b"".join(self._ids(["ab", "cd's", "12"]))
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for x, i in names.items() if x.endswith("</w>")]] = True
+        of = {k: "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == k) for k in "LN"}
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\s{of['L']}{of['N']}]+").findall
         self.cache: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words: dict[str, bytes] = {}
+        self.most = chunks, words
+        probe = "Don't 'stop12 3x-- (\xe9T\xe9),\n;it's"
+        self.cacheable = self._words(self.cut(probe.lower())) and b"".join(self.words[w] for w in self.cut(probe.lower())) == self._ids(probe)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _words(self, new: list[str]) -> bool:
+        """Learn the ids of words; False if the library cuts them otherwise."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.type)
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) != len(new):
+            return False
+        raw, size = ids.tobytes(), self.type.itemsize
+        begin = 0
+        for w, e in zip(new, (end * size).tolist(), strict=True):
+            self.words[w] = raw[begin:e]
+            begin = e
+        return True
+
+    def _learn(self, chunks: set[str]) -> None:
+        cut = {c: [c] if c.isalpha() else self.cut(c) for c in chunks}
+        if len(self.words) > self.most[1]:
+            self.words.clear()
+        new = list({w for x in cut.values() for w in x if w not in self.words})
+        if new and not self._words(new):
+            self.words.update((w, self._ids(w)) for w in new)
+        if len(self.cache) + len(cut) > self.most[0]:
+            self.cache.clear()
+        self.cache.update((c, b"".join([self.words[w] for w in x])) for c, x in cut.items())
 
     def payloads(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[list[str] | None] = [None] * len(texts)
-        other = []
-        for i, t in enumerate(texts):
-            if self.cacheable and self.PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                split[i] = t.lower().split()
-            else:
-                other.append(i)
-        new = list({c for chunks in split if chunks for c in chunks if c not in cache})
-        if len(cache) + len(new) > self.cache_entries:
-            cache.clear()
-            new = list({c for chunks in split if chunks for c in chunks})
-        for c, ids in zip(new, self._ids(new), strict=True):
-            cache[c] = ids
-        for i, chunks in enumerate(split):
-            if chunks is not None:
-                out[i] = b"".join([cache[c] for c in chunks])
-        for i in other:
-            out[i] = self._ids([texts[i]])[0]
+        get = self.cache.get
+        out: list[bytes | None] = []
+        lack: list[tuple[int, list[str], list[bytes | None]]] = []
+        for t in texts:
+            if not (self.cacheable and self.PLAIN.fullmatch(t)) or any(s in t for s in self.special):
+                out.append(self._ids(t))
+                continue
+            chunks = t.lower().split()
+            found = list(map(get, chunks))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a chunk isn't known
+                lack.append((len(out), chunks, found))
+                out.append(None)
+        new = {c for _, chunks, found in lack for c, ids in zip(chunks, found, strict=True) if ids is None}
+        if new:
+            self._learn(new)
+        for i, chunks, found in lack:  # the cache may have been emptied in between
+            out[i] = b"".join([get(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)])
         return out
 
 

@@ -1,4 +1,6 @@
 """All registered queries of the library, with their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import sequence_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Nothing here: the jobs this library covers are batch jobs over a closed time range."""

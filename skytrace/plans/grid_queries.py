@@ -210,12 +210,13 @@ def d1(spark, sf):
 
 @query(
     "d2_block_majority",
-    f"""WITH {PIXELS}, b AS (SELECT pole, ts, y // 7 AS yb, x // 7 AS xb, avg(cph) AS cph, count(*) AS n FROM pixels GROUP BY ALL),
-cells AS (SELECT *, least(7, 60 - yb * 7) * least(7, 60 - xb * 7) AS cells FROM b), m AS (SELECT *, (SELECT median(CASE WHEN i < n THEN 1 ELSE 0 END) FROM unnest(range(cells)) t(i)) AS med FROM cells)
+    f"""WITH {PIXELS}, b AS (SELECT pole, ts, y // 2 AS yb, x // 2 AS xb, avg(cph) AS cph, count(*) AS n FROM pixels WHERE y < 59 AND x < 59 GROUP BY ALL),
+cells AS (SELECT *, least(2, 59 - yb * 2) * least(2, 59 - xb * 2) AS cells FROM b), m AS (SELECT *, (SELECT median(CASE WHEN i < n THEN 1 ELSE 0 END) FROM unnest(range(cells)) t(i)) AS med FROM cells)
 SELECT pole, {SQL_TS}, yb, xb, n AS n_cloudy, round(cph, 9) AS cph FROM m WHERE med > 0""",
 )
 def d2(spark, sf):
-    return G.block_majority(pixels(spark, sf), 7, 60, 60).select("pole", ts(), F.col("by").alias("yb"), F.col("bx").alias("xb"), "n_cloudy", F.round("cph", 9).alias("cph"))
+    out = G.block_majority(pixels(spark, sf).where("y < 59 AND x < 59"), 2, 59, 59)
+    return out.select("pole", ts(), F.col("by").alias("yb"), F.col("bx").alias("xb"), "n_cloudy", F.round("cph", 9).alias("cph"))
 
 
 @query("c2_expand_blocks", f"WITH {PIXELS}, b AS (SELECT pole, ts, y // 7 AS yb, x // 7 AS xb, avg(cph) AS cph FROM pixels GROUP BY ALL) SELECT pole, y, x, count(*) AS n, round(sum(cph), 6) AS phase FROM (SELECT pole, yb * 7 + i // 7 AS y, xb * 7 + i % 7 AS x, cph FROM b, unnest(range(49)) t(i)) WHERE y < 60 AND x < 60 GROUP BY ALL")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from skytrace.functions.columns import arr_argmax, resample
 
-_BY = Window.partitionBy("key").orderBy("idx")
-_ALL = Window.partitionBy("key")
+
+def _by():
+    return Window.partitionBy("key").orderBy("idx")
+
+
+def _all():
+    return Window.partitionBy("key")
 
 
 def with_step(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -44,13 +49,13 @@ def moving_mean(seq: DataFrame, width: int, mode: str = "valid") -> DataFrame:
     it for an even width), the end values repeated beyond the ends.
     """
     if mode == "valid":
-        w = _BY.rowsBetween(0, width - 1)
+        w = _by().rowsBetween(0, width - 1)
         return seq.withColumn("m", F.avg("v").over(w)).withColumn("__n", F.count("*").over(w)).where(F.col("__n") == width).drop("__n")
     before, after = width // 2, width - 1 - width // 2
-    inner = F.sum("v").over(_BY.rowsBetween(-before, after))
-    n = F.count("*").over(_ALL)
-    first = F.first("v").over(_BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last("v").over(_BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inner = F.sum("v").over(_by().rowsBetween(-before, after))
+    n = F.count("*").over(_all())
+    first = F.first("v").over(_by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.last("v").over(_by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     lack = F.greatest(F.lit(before) - F.col("idx"), F.lit(0)) * first + F.greatest(F.col("idx") + after - n + 1, F.lit(0)) * last
     return seq.withColumn("m", (inner + lack) / width)
 
@@ -64,11 +69,11 @@ def savgol(seq: DataFrame) -> DataFrame:
 
     Sequences of fewer than five values stay as they are.
     """
-    n = F.count("*").over(_ALL)
+    n = F.count("*").over(_all())
     place = F.when(F.col("idx") < 2, F.col("idx")).when(F.col("idx") > n - 3, F.col("idx") - n + 5).otherwise(2)
 
     def at(k: int) -> Column:
-        terms = [w * (F.lead("v", j - k).over(_BY) if j > k else F.lag("v", k - j).over(_BY) if j < k else F.col("v")) for j, w in enumerate(SAVGOL[k])]
+        terms = [w * (F.lead("v", j - k).over(_by()) if j > k else F.lag("v", k - j).over(_by()) if j < k else F.col("v")) for j, w in enumerate(SAVGOL[k])]
         return sum(terms[1:], terms[0]) / 35
 
     smooth = F.when(n < 5, F.col("v"))
@@ -83,7 +88,7 @@ def first_rise(seq: DataFrame, delta: float = 0.2) -> DataFrame:
     The running minimum starts at 1 and covers earlier values; steps count from 1. Keys without a rise are left out;
     min_step is null if no earlier value was below 1.
     """
-    before = F.least(F.lit(1.0), F.min("v").over(_BY.rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.least(F.lit(1.0), F.min("v").over(_by().rowsBetween(Window.unboundedPreceding, -1)))
     rows = seq.withColumn("low", F.coalesce(before, F.lit(1.0))).withColumn("threshold", F.col("low") + delta)
     hit = rows.where("v >= threshold").groupBy("key").agg(F.min(F.struct("idx", "low", "threshold")).alias("t"))
     place = seq.join(hit, "key").where("idx < t.idx AND v = t.low AND v < 1").groupBy("key").agg(F.min("idx").alias("at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.sources.storage import written
@@ -16,23 +16,23 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic number. Loops and repeated edges do no harm; edges with a null end are left out.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mapping = None
-    for round_ in range(64):
-        if edges.isEmpty():
-            break
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
-        moved = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", rank("a"))["to"].alias("to"))
-        moved = written(moved, "moved")
-        if mapping is None:
-            mapping = moved.withColumnRenamed("to", "comp")
-        else:
-            step = moved.select(F.col("node").alias("comp"), "to")
-            mapping = mapping.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        mapping = written(mapping, "components")
+        moved = both.groupBy("a").agg(F.min(_rank("b", len(steps))).alias("near"))
+        moved = written(moved.select(F.col("a").alias("node"), F.least("near", _rank("a", len(steps)))["to"].alias("to")), "moved")
+        steps.append(moved)
         ends = moved.select(F.col("node").alias("a"), F.col("to").alias("x")), moved.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = edges.join(ends[0], "a").join(ends[1], "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = written(edges, "edges")
-    if mapping is None:
+        edges = edges.join(ends[0], "a").join(ends[1], "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = written(edges.distinct(), "edges")
+    if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return mapping
+    out = steps[-1]
+    for moved in reversed(steps[:-1]):  # where a node moved to may have moved on
+        later = out.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        out = moved.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    return written(out.withColumnRenamed("to", "comp"), "components")
+
+
+def _rank(column: str, round_: int) -> Column:
+    return F.struct(F.xxhash64(F.col(column), F.lit(round_)).alias("h"), F.col(column).alias("to"))

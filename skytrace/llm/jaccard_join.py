@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .storage import written
+from skytrace.operators.components import components
+from skytrace.sources.storage import written
 from .words import BLANKS, byte_table, gram_hashes, mix, slices, split_words, word_hashes
 
 TABLE = byte_table(BLANKS)
@@ -65,7 +65,7 @@ def _signatures(text: str, size: int):
 
 
 def _sampled(text: str, size: int, share: float):
-    limit = np.uint64(int(share * 2**64))
+    limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -110,14 +110,14 @@ class _Join:
         ).select("a", "b")
 
     def prefixes(self) -> DataFrame:
-        """``token, class, n, own, pos``: the shingles of each prefix that other sets hold too; own: shingles of this set alone."""
+        """``token, df, class, n, own, pos``: the shingles of each prefix that other sets hold too; own: shingles of this set alone."""
         rows = self.sets.select("class", "n", F.explode("tokens").alias("token"))
         shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         rows = rows.join(shared, "token")
         order = Window.partitionBy("class").orderBy("df", "token")
         rows = rows.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("class")))
         rows = rows.withColumn("pos", F.col("own") + F.row_number().over(order) - 1)
-        return written(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100 - F.lit(1e-9))).select("token", "class", "n", "own", "pos"), "prefixes")
+        return written(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100 - F.lit(1e-9))).select("token", "df", "class", "n", "own", "pos"), "prefixes")
 
     def groups(self, prefixes: DataFrame) -> DataFrame:
         """``class, group``: classes of identical prefix and size that link with the first of them have its name."""
@@ -147,7 +147,7 @@ class _Join:
         named = prefixes.join(groups.select(F.col("a").alias("class")), "class", "left_anti")
         rows = named.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        return written(rows.join(mixed, "token").join(bits, "class").select("token", "class", "n", "pos", "comp", "bits"), "entries")
+        return written(rows.join(mixed, "token").join(bits, "class").select("token", "df", "class", "n", "pos", "comp", "bits"), "entries")
 
     def run(self, rounds: int) -> DataFrame:
         prefixes = self.prefixes()
@@ -164,24 +164,24 @@ class _Join:
             rows = self.entries(prefixes, groups)
             if found * 10 < tried:
                 break
-        seen = rows.groupBy("class").agg(F.collect_list("token").alias("seen"))
+        seen = rows.groupBy("class").agg(F.collect_list(F.struct("df", "token")).alias("seen"))
         full = written(rows.join(seen, "class"), "entries")
         pairs = full.alias("a").join(
             full.alias("b"),
             (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & self._possible("a", "b")
-            & (F.array_min(F.array_intersect("a.seen", "b.seen")) == F.col("a.token")),
+            & (F.array_min(F.array_intersect("a.seen", "b.seen")) == F.struct("a.df", "a.token")),  # the places bound a link at the first common shingle only
         ).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
         pairs = written(pairs, "pairs")
         members = groups.select(F.col("a").alias("member"), F.col("b").alias("head"))
         for end in ("a", "b"):
             more = pairs.join(members, F.col(end) == F.col("head")).withColumn(end, F.col("member")).select("a", "b")
             pairs = pairs.unionByName(more)
-        self._link(self.verified(written(pairs, "pairs")))
+        self._link(self.verified(pairs))
         return components(self.links)
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 6, broadcast_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 2, broadcast_rows: int = 1_000_000
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` for every row: the smallest id that links reach.
 

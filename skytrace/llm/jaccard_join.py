@@ -138,16 +138,19 @@ class _Join:
         needed = self._needed(n, m)
         apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
         rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-        return (F.lit(100) * F.least(n, m) >= self.percent * F.greatest(n, m)) & (rest >= needed) & (apart <= n + m - 2 * needed)
+        return (F.lit(100) * F.least(n, m) >= self.percent * F.greatest(n, m)) & (rest >= needed) & F.coalesce(apart <= n + m - 2 * needed, F.lit(True))
 
     def entries(self, prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-        """The prefix entries of one class per group, in buckets that hold several components."""
-        bits = self.sets.select("class", "bits")
+        """The prefix entries of one class per group, in buckets that hold several components.
+
+        A class that stands for others has no bitmap, as theirs differ.
+        """
+        bits = self.sets.select("class", "bits").join(groups.select(F.col("b").alias("class")), "class", "left_anti")
         comp = components(self.links).withColumnRenamed("node", "class")
         named = prefixes.join(groups.select(F.col("a").alias("class")), "class", "left_anti")
         rows = named.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        return written(rows.join(mixed, "token").join(bits, "class").select("token", "df", "class", "n", "pos", "comp", "bits"), "entries")
+        return written(rows.join(mixed, "token").join(bits, "class", "left").select("token", "df", "class", "n", "pos", "comp", "bits"), "entries")
 
     def run(self, rounds: int) -> DataFrame:
         prefixes = self.prefixes()

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import new_folder
-from .words import slices
+from skytrace.sources.storage import new_folder
+from .words import BLANKS, byte_table, slices, split_words, word_hashes
 
+TABLE = byte_table(BLANKS)
 PAYLOAD, INDEX = b"SKYIDS01", b"SKYIDX01"
 SLOT = np.dtype([("fingerprint", "<u4"), ("start", "<u8"), ("length", "<u8")])
 
@@ -60,17 +61,20 @@ def build_index(keys: list[str], start: np.ndarray, length: np.ndarray) -> bytes
     count = np.bincount(bucket, minlength=buckets)
     first = np.cumsum(count) - count
     free, slot, table = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(buckets, "<i8")
-    for b in np.argsort(-count, kind="stable"):
-        if count[b] < 2:
-            break
-        own = order[first[b] : first[b] + count[b]]
-        for base in itertools.count(0, 64):
-            x = np.stack([_slots(h[own], d, n) for d in range(base, base + 64)]).astype(np.int64)
-            fits = free[x].all(axis=1) & (np.diff(np.sort(x, axis=1), axis=1) != 0).all(axis=1)
-            if fits.any():
-                d = int(fits.argmax())
-                table[b], slot[own], free[x[d]] = base + d, x[d], False
+    for size in range(int(count.max(initial=0)), 1, -1):
+        left = np.flatnonzero(count == size)
+        for d in itertools.count():  # all buckets of a size try a displacement at once; of two that meet, the first is placed
+            if not len(left):
                 break
+            own = order[first[left][:, None] + np.arange(size)]
+            x = _slots(h[own], d, n).astype(np.int64)
+            fits = np.flatnonzero(free[x].all(axis=1) & (np.diff(np.sort(x, axis=1), axis=1) != 0).all(axis=1))
+            at = np.unique(x[fits], return_index=True)[1]
+            mine = np.zeros(len(fits) * size, bool)
+            mine[at] = True
+            placed = fits[mine.reshape(-1, size).all(axis=1)]
+            table[left[placed]], slot[own[placed]], free[x[placed]] = d, x[placed], False
+            left = np.delete(left, placed)
     lone = np.flatnonzero(count == 1)
     rest = np.flatnonzero(free)
     table[lone], slot[order[first[lone]]] = -1 - rest, rest
@@ -152,37 +156,42 @@ class CachedEncoder:
         return True
 
     def _learn(self, chunks: set[str]) -> None:
-        cut = {c: [c] if c.isalpha() else self.cut(c) for c in chunks}
+        cut = {c: self.cut(c) for c in chunks if not c.isalpha()}
         if len(self.words) > self.most[1]:
             self.words.clear()
-        new = list({w for x in cut.values() for w in x if w not in self.words})
+        new = [c for c in chunks if c not in cut and c not in self.words]
+        new += {w for x in cut.values() for w in x}.difference(self.words, new)
         if new and not self._words(new):
             self.words.update((w, self._ids(w)) for w in new)
-        if len(self.cache) + len(cut) > self.most[0]:
-            self.cache.clear()
-        self.cache.update((c, b"".join([self.words[w] for w in x])) for c, x in cut.items())
+        words = self.words
+        for c in chunks:
+            self.cache[c] = b"".join([words[w] for w in cut[c]]) if c in cut else words[c]
 
-    def payloads(self, texts: list[str]) -> list[bytes]:
-        get = self.cache.get
-        out: list[bytes | None] = []
-        lack: list[tuple[int, list[str], list[bytes | None]]] = []
-        for t in texts:
-            if not (self.cacheable and self.PLAIN.fullmatch(t)) or any(s in t for s in self.special):
-                out.append(self._ids(t))
-                continue
-            chunks = t.lower().split()
-            found = list(map(get, chunks))
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # a chunk isn't known
-                lack.append((len(out), chunks, found))
-                out.append(None)
-        new = {c for _, chunks, found in lack for c, ids in zip(chunks, found, strict=True) if ids is None}
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        new = {c for c in chunks if c not in self.cache}
+        if len(self.cache) + len(new) > self.most[0]:
+            self.cache.clear()
+            new = set(chunks)
         if new:
             self._learn(new)
-        for i, chunks, found in lack:  # the cache may have been emptied in between
-            out[i] = b"".join([get(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)])
-        return out
+        return [self.cache[c] for c in chunks]
+
+    def payloads(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes. Equal chunks of the texts are found by hash, so only distinct ones are looked up."""
+        plain = [bool(self.cacheable and self.PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        words = split_words(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()), TABLE)
+        hashes, size = word_hashes(words), words.ends - words.starts
+        _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        if (size != size[first][same]).any():  # two chunks of one hash
+            return [self._ids(t) for t in texts]
+        raw = words.data.tobytes()
+        ids = self._chunks([raw[a:b].decode() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
+        length = np.array([len(x) for x in ids], np.int64) // self.type.itemsize
+        begin, count = (np.cumsum(length) - length)[same], length[same]
+        end = np.cumsum(count)
+        flat = np.frombuffer(b"".join(ids), self.type)[np.repeat(begin - (end - count), count) + np.arange(count.sum())]
+        bound = np.concatenate(([0], end))[words.first].tolist()
+        return [flat[a:b].tobytes() if p else self._ids(t) for t, p, a, b in zip(texts, plain, bound[:-1], bound[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=2)

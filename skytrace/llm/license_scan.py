@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
 Signatures are regular expressions over a text's words, which are lower-cased and joined by single
-blanks. They are grouped by a keyword; only texts that hold the keyword meet its rules. Detections
+blanks. They are grouped by a keyword that each of their matches holds; only texts that hold the keyword meet its rules. Detections
 are word intervals; one that lies inside another of higher priority, or of the same priority and
 greater length, is suppressed.
 """
@@ -18,13 +18,16 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_SCORE = 0.6
 
-#: License families: keyword, names as words (a regular expression), and versions with their labels.
+SPDX = "spdx license identifier"
+
+#: License families: keyword (part of every name), names as words (a regular expression), and versions with their labels.
 FAMILIES = [
     ("apache", r"apache(?: software)?(?: license)?", {"2 0": "apache-2.0", "1 1": "apache-1.1", "1 0": "apache-1.0"}),
     ("mit", r"mit", {"": "mit", "0": "mit-0"}),
     ("gpl", r"(?:gnu )?gpl", {"3 0": "gpl-3.0", "2 0": "gpl-2.0", "3": "gpl-3.0", "2": "gpl-2.0"}),
     ("general public", r"(?:gnu )?general public license", {"3 0": "gpl-3.0", "2 0": "gpl-2.0", "3": "gpl-3.0", "2": "gpl-2.0", "1": "gpl-1.0"}),
-    ("lesser", r"(?:gnu )?(?:lesser|library) general public license", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0", "3": "lgpl-3.0"}),
+    ("lesser general", r"(?:gnu )?lesser general public license", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0", "3": "lgpl-3.0"}),
+    ("library general", r"(?:gnu )?library general public license", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0", "3": "lgpl-3.0"}),
     ("lgpl", r"(?:gnu )?lgpl", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0"}),
     ("affero", r"(?:gnu )?affero general public license", {"3 0": "agpl-3.0", "3": "agpl-3.0", "1 0": "agpl-1.0"}),
     ("agpl", r"(?:gnu )?agpl", {"3 0": "agpl-3.0", "3": "agpl-3.0"}),
@@ -34,15 +37,16 @@ FAMILIES = [
     ("mpl", r"mpl", {"2 0": "mpl-2.0", "1 1": "mpl-1.1"}),
     ("eclipse", r"eclipse public license", {"2 0": "epl-2.0", "1 0": "epl-1.0"}),
     ("eclipse distribution", r"eclipse distribution license", {"1 0": "edl-1.0"}),
-    ("cddl", r"(?:common development and distribution license|cddl)", {"1 1": "cddl-1.1", "1 0": "cddl-1.0"}),
+    ("common development", r"common development and distribution license", {"1 1": "cddl-1.1", "1 0": "cddl-1.0"}),
+    ("cddl", r"cddl", {"1 1": "cddl-1.1", "1 0": "cddl-1.0"}),
     ("artistic", r"artistic license", {"2 0": "artistic-2.0", "1 0": "artistic-1.0"}),
     ("boost", r"boost software license", {"1 0": "bsl-1.0"}),
     ("isc", r"isc", {"": "isc"}),
     ("zlib", r"zlib(?: libpng)?", {"": "zlib"}),
     ("unlicense", r"unlicense", {"": "unlicense"}),
     ("creative commons attribution", r"creative commons attribution", {"4 0": "cc-by-4.0", "3 0": "cc-by-3.0", "2 0": "cc-by-2.0"}),
-    ("sharealike", r"creative commons attribution share ?alike", {"4 0": "cc-by-sa-4.0", "3 0": "cc-by-sa-3.0"}),
-    ("noncommercial", r"creative commons attribution non ?commercial", {"4 0": "cc-by-nc-4.0", "3 0": "cc-by-nc-3.0"}),
+    ("creative commons attribution share", r"creative commons attribution share ?alike", {"4 0": "cc-by-sa-4.0", "3 0": "cc-by-sa-3.0"}),
+    ("creative commons attribution non", r"creative commons attribution non ?commercial", {"4 0": "cc-by-nc-4.0", "3 0": "cc-by-nc-3.0"}),
     ("cc by", r"cc by", {"4 0": "cc-by-4.0", "3 0": "cc-by-3.0", "sa 4 0": "cc-by-sa-4.0", "sa 3 0": "cc-by-sa-3.0", "nc 4 0": "cc-by-nc-4.0"}),
     ("cc0", r"cc0", {"1 0": "cc0-1.0"}),
     ("european union", r"european union public licen[cs]e", {"1 2": "eupl-1.2", "1 1": "eupl-1.1"}),
@@ -64,7 +68,7 @@ TEMPLATES = [
 ]
 #: Opening words of license texts, in alphabetical order of their labels.
 TEXTS = {
-    "apache-2.0": ("apache", r"you may not use this file except in compliance with the license"),
+    "apache-2.0": ("you may not use", r"you may not use this file except in compliance with the license"),
     "bsd": ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     "gpl": ("free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     "isc": ("permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -93,12 +97,13 @@ def signatures() -> list[Signature]:
                 pattern = template.format(n=name, v=v, l=label.replace("-", " ").replace(".", " "))
                 if not version and priority == 60:
                     pattern = rf"(?:the )?{name} license"
-                out.append(Signature(keyword, pattern, label, priority + len(version) // 2, score))
+                held = SPDX if template.startswith(SPDX) else keyword
+                out.append(Signature(held, pattern, label, priority + len(version) // 2, score))
         if "" not in versions:
             family = next(iter(versions.values())).rsplit("-", 1)[0]
             out.append(Signature(keyword, rf"(?:licensed|released|distributed) under (?:the )?{name}(?: license)?", family, 50, 0.75))
     out += [Signature(k, p, label, 85, 0.97) for label, (k, p) in TEXTS.items()]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def _ascii_lower(text: Column) -> Column:

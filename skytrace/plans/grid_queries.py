@@ -87,6 +87,17 @@ def a6(spark, sf):
     return S.month_coverage(wanted, present, _events(spark, sf)).select(F.date_format("month", "yyyy-MM").alias("month"), "kind")
 
 
+@query(
+    "a6_month_coverage_all",
+    """WITH w AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS m FROM lineitem), p AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders), x AS (SELECT DISTINCT date_trunc('month', ts) AS m FROM events)
+SELECT strftime(m, '%Y-%m') AS month, kind FROM (SELECT m, 'missing' AS kind FROM (SELECT m FROM w EXCEPT SELECT m FROM p) UNION ALL SELECT m, 'usable' FROM (SELECT m FROM w INTERSECT SELECT m FROM p) UNION ALL SELECT m, 'all' FROM (SELECT m FROM w UNION SELECT m FROM x))""",
+)
+def a6_all(spark, sf):
+    wanted = table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("ts"))
+    present = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return S.month_coverage(wanted, present, _events(spark, sf)).select(F.date_format("month", "yyyy-MM").alias("month"), "kind")
+
+
 def _stored(spark, sf):
     from skytrace.sources.storage import new_folder
 
@@ -145,6 +156,16 @@ def a13(spark, sf):
     return S.frame_quality(seen, _expected(spark, sf), F.col("value"), ["ts"]).select(ts(), "n", F.round("mean", 6).alias("mean"), "failed")
 
 
+@query(
+    "a13_frame_quality_all",
+    f"""WITH {EXPECTED}, q AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, avg(value) AS mean, count(value) AS n FROM events GROUP BY 1)
+SELECT strftime(e.ts, '%Y-%m-%d %H:%M') AS ts, coalesce(n, 0) AS n, round(mean, 6) AS mean, mean IS NULL OR mean = 0 AS failed FROM expected e LEFT JOIN q ON q.ts = e.ts""",
+)
+def a13_all(spark, sf):
+    seen = _events(spark, sf).withColumn("ts", C.floor_time(F.col("ts")))
+    return S.frame_quality(seen, _expected(spark, sf), F.col("value"), ["ts"]).select(ts(), "n", F.round("mean", 6).alias("mean"), "failed")
+
+
 @query("b1_floor_ceil_time", "SELECT event_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M') AS lo, strftime(time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M') AS hi FROM events")
 def b1(spark, sf):
     out = _events(spark, sf)
@@ -193,6 +214,12 @@ def b7(spark, sf):
     return out.select("pole", ts(), "y", "x", "phase")
 
 
+@query("b7_project_frame_all", f"WITH {PIXELS} SELECT pole, strftime(ts, '%Y-%m-%d %H:%M') AS ts, 59 - y AS y, x, cph AS phase FROM pixels")
+def b7_all(spark, sf):
+    out = G.project_frame(pixels(spark, sf), ["pole", "ts", "y", "x", "cph"], {"cph": "phase"}, 60)
+    return out.select("pole", ts(), "y", "x", "phase")
+
+
 @query("b8_normalise_missing", f"WITH {PIXELS} SELECT pole, count(*) AS n, count(CASE WHEN y % 7 <> 0 THEN 1 END) AS valid FROM pixels WHERE x % 5 <> 0 GROUP BY 1")
 def b8(spark, sf):
     raw = pixels(spark, sf).withColumn("cph", F.when(F.col("x") % 5 != 0, F.col("cph")).otherwise(0.0))

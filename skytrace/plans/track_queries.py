@@ -156,6 +156,13 @@ def c5(spark, sf):
     return L.common_times(a, b, ["day"])[0].agg(F.count("*").alias("n"))
 
 
+@query("c5_common_times_all", "SELECT count(*) AS n FROM lineitem WHERE CAST(l_shipdate AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")
+def c5_all(spark, sf):
+    a = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    b = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return L.common_times(a, b, ["day"])[0].agg(F.count("*").alias("n"))
+
+
 @query("d3_label_sizes", f"WITH RECURSIVE {LABELLED} SELECT pole, {SQL_TS}, label, n, max(n) OVER (PARTITION BY pole, ts) AS largest FROM sizes")
 def d3(spark, sf):
     return J.label_sizes(_labelled(spark, sf)).select("pole", ts(), label(), "n", "largest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -35,3 +38,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """The written tables of one run, so that each can be removed once all that reads it is written itself.
+
+    What a lazy result still reads has to stay; ``finish`` removes the rest of a run.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, new_folder(spark, name)
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.count = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As written(), in the folder of this run."""
+        self.count += 1
+        path = f"{self.folder}/{self.count:04d}-{name}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more; others are left alone."""
+        for table in tables:
+            for own, path in self.tables:
+                if own is table:
+                    remove(self.spark, path)
+        self.tables = [(own, path) for own, path in self.tables if not any(own is table for table in tables)]
+
+    def finish(self, *keep: DataFrame) -> None:
+        """Remove all tables of the run but those in ``keep``."""
+        self.drop(*(own for own, _ in self.tables if not any(own is k for k in keep)))
+        if not self.tables:
+            remove(self.spark, self.folder)

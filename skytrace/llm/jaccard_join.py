@@ -7,9 +7,10 @@
    ``n - ceil(t n) + 1`` shingles of each set, its prefix; shingles of one set only find nothing.
    Sets with identical prefix and size form one group, which is indexed once.
 4. Groups that share a prefix shingle are candidates if their sizes, the places of the shingle and
-   the bitmaps of their sets allow a link. First each group meets one pivot a round, so that large
-   groups of near copies grow together at linear cost; then all candidate pairs between different
-   components are expanded to members. Both are verified on whole sets.
+   the bitmaps of their sets allow a link. First each group meets the nearest of its buckets' pivots, one link a round at
+   most, so that large groups of near copies grow together at linear cost, until the buckets that hold several
+   components are small; then candidate pairs between different components are compared and those still apart
+   expanded to members. All are verified on whole sets.
 
 So links inside a component already known are not enumerated, and none between components is lost.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.operators.components import components
-from skytrace.sources.storage import written
+from skytrace.sources.storage import Scratch
 from .words import BLANKS, byte_table, gram_hashes, mix, slices, split_words, word_hashes
 
 TABLE = byte_table(BLANKS)
@@ -91,9 +92,10 @@ def _whole(text: str, size: int):
 class _Join:
     """The steps after classes: ``sets`` has class, n, tokens and bits of all sets that may link."""
 
-    def __init__(self, sets: DataFrame, percent: int) -> None:
-        self.sets, self.percent = sets, percent
-        self.links: DataFrame | None = None
+    def __init__(self, sets: DataFrame, percent: int, scratch: Scratch) -> None:
+        self.sets, self.percent, self.scratch = sets, percent, scratch
+        #: ``class, comp`` of all classes with a link
+        self.comp: DataFrame | None = None
 
     def _needed(self, n: Column, m: Column) -> Column:
         """The smallest intersection of a link between sets of these sizes."""
@@ -110,108 +112,160 @@ class _Join:
         ).select("a", "b")
 
     def prefixes(self) -> DataFrame:
-        """``token, df, class, n, own, pos``: the shingles of each prefix that other sets hold too; own: shingles of this set alone."""
+        """``token, class, n, own, pos``: the shingles of each prefix that other sets hold too; own: shingles of this set alone."""
         rows = self.sets.select("class", "n", F.explode("tokens").alias("token"))
         shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         rows = rows.join(shared, "token")
         order = Window.partitionBy("class").orderBy("df", "token")
         rows = rows.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("class")))
         rows = rows.withColumn("pos", F.col("own") + F.row_number().over(order) - 1)
-        return written(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100 - F.lit(1e-9))).select("token", "df", "class", "n", "own", "pos"), "prefixes")
+        return self.scratch.write(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100 - F.lit(1e-9))).select("token", "class", "n", "own", "pos"), "prefixes")
 
     def groups(self, prefixes: DataFrame) -> DataFrame:
-        """``class, group``: classes of identical prefix and size that link with the first of them have its name."""
+        """``a, b``: classes of identical prefix and size, and the first of them that they link with."""
         same = prefixes.where("own = 0").groupBy("class", "n").agg(F.xxhash64(F.array_sort(F.collect_list("token"))).alias("prefix"))
         first = same.groupBy("prefix", "n").agg(F.min("class").alias("b"), F.count("*").alias("members")).where("members > 1")
-        pairs = written(same.join(first, ["prefix", "n"]).where("class <> b").select(F.col("class").alias("a"), "b"), "pairs")
-        self._link(self.verified(pairs))
-        return self.links
-
-    def _link(self, links: DataFrame) -> int:
-        links = written(links, "links")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return links.count()
-
-    def _possible(self, a: str, b: str) -> Column:
-        """Size, place and bitmap filter of two entries."""
+        pairs = same.join(first, ["prefix", "n"]).where("class <> b").select(F.col("class").alias("a"), "b")
+        return self.scratch.write(self.verified(pairs), "groups")
+
+    def unite(self, links: DataFrame) -> DataFrame | None:
+        """Take in new links; what each old component's name becomes, as ``comp, now``."""
+        if links.isEmpty():
+            return None
+        if self.comp is None:
+            self.comp = components(links).select(F.col("node").alias("class"), "comp")
+            return self.comp.select(F.col("class").alias("comp"), F.col("comp").alias("now"))
+        old, edges = self.comp, links
+        for end in ("a", "b"):
+            named = old.select(F.col("class").alias(end), F.col("comp").alias("c"))
+            edges = edges.join(named, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        moved = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+        kept = old.join(moved, "comp", "left").select("class", F.coalesce("now", "comp").alias("comp"))
+        fresh = moved.select(F.col("comp").alias("class"), F.col("now").alias("comp")).join(old, "class", "left_anti")
+        self.comp = self.scratch.write(kept.unionByName(fresh), "comp")
+        self.scratch.drop(old)
+        return moved
+
+    def _near(self, a: str, b: str) -> tuple[Column, Column]:
+        """In how many bits the bitmaps of two entries differ at least, and whether their sizes, places and bitmaps allow a link."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         needed = self._needed(n, m)
-        apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+        apart = F.coalesce(sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0)), F.lit(0))
         rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-        return (F.lit(100) * F.least(n, m) >= self.percent * F.greatest(n, m)) & (rest >= needed) & F.coalesce(apart <= n + m - 2 * needed, F.lit(True))
+        return apart, (F.lit(100) * F.least(n, m) >= self.percent * F.greatest(n, m)) & (rest >= needed) & (apart <= n + m - 2 * needed)
 
-    def entries(self, prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-        """The prefix entries of one class per group, in buckets that hold several components.
+    def _mixed(self, rows: DataFrame) -> DataFrame:
+        """The entries in buckets of several components; ``held``: entries of the bucket, ``load``: pairs to compare in it."""
+        by = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("k"), F.sum("c").alias("held"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        by = by.where("k > 1").select("token", "held", ((F.col("held") * F.col("held") - F.col("squares")) / 2).alias("load"))
+        return self.scratch.write(rows.join(by, "token").select("token", "class", "n", "own", "pos", "comp", "bits", "held", "load"), "entries")
 
-        A class that stands for others has no bitmap, as theirs differ.
-        """
+    def entries(self, prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+        """The prefix entries of one class per group. A class that stands for others has no bitmap, as theirs differ."""
         bits = self.sets.select("class", "bits").join(groups.select(F.col("b").alias("class")), "class", "left_anti")
-        comp = components(self.links).withColumnRenamed("node", "class")
-        named = prefixes.join(groups.select(F.col("a").alias("class")), "class", "left_anti")
-        rows = named.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        return written(rows.join(mixed, "token").join(bits, "class", "left").select("token", "df", "class", "n", "pos", "comp", "bits"), "entries")
-
-    def run(self, rounds: int) -> DataFrame:
+        named = prefixes.select("token", "class", "n", "own", "pos").join(groups.select(F.col("a").alias("class")), "class", "left_anti")
+        if self.comp is None:
+            named = named.withColumn("comp", F.col("class"))
+        else:
+            named = named.join(self.comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        # a bucket of one component finds nothing, and needs no bitmaps
+        mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        return self._mixed(named.join(mixed, "token").join(bits, "class", "left"))
+
+    def met(self, rows: DataFrame, round_: int) -> DataFrame:
+        """Each class and the nearest of the pivots of its buckets.
+
+        Every bucket has one pivot a round: first a set with the fewest shingles of its own, such as what near copies were
+        made from, then sets drawn by hash.
+        """
+        first = (F.col("own") if round_ == 0 else F.lit(0).cast("long")).alias("first")
+        drawn = F.struct(first, F.xxhash64("class", F.lit(round_)).alias("h"), *(F.col(c) for c in ("class", "n", "pos", "comp", "bits")))
+        pivot = rows.groupBy("token").agg(F.min(drawn).alias("p"))
+        apart, may = self._near("a", "p")
+        both = rows.alias("a").join(pivot, "token").where((F.col("a.comp") != F.col("p.comp")) & may)
+        return both.groupBy(F.col("a.class").alias("a")).agg(F.min(F.struct(apart.alias("apart"), "p.h", "p.class")).alias("p")).select("a", F.col("p.class").alias("b"))
+
+    def rest(self, rows: DataFrame, block: int) -> DataFrame:
+        """All pairs ``a, b`` of different components that may link, each once; large buckets are compared block by block."""
+        cut = F.ceil(F.col("held") / block)
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), cut)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
+        _, may = self._near("a", "b")
+        same = (F.col("a.token") == F.col("b.token")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+        return rows.alias("a").join(rows.alias("b"), same & (F.col("a.class") < F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & may).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        if self.comp is None:
+            return pairs
+        a, b = self.comp.select(F.col("class").alias("a"), F.col("comp").alias("x")), self.comp.select(F.col("class").alias("b"), F.col("comp").alias("y"))
+        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+    def run(self, rounds: int, worth: int, block: int) -> DataFrame:
+        scratch = self.scratch
         prefixes = self.prefixes()
         groups = self.groups(prefixes)
+        self.unite(groups)
         rows = self.entries(prefixes, groups)
-        for r in range(rounds):
-            pivot = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), *(F.col(c) for c in ("class", "n", "pos", "comp", "bits")))).alias("p"))
-            met = rows.alias("a").join(pivot, "token").where((F.col("a.comp") != F.col("p.comp")) & self._possible("a", "p"))
-            pairs = written(met.groupBy(F.col("a.class").alias("a")).agg(F.min(F.struct("p.h", "p.class")).alias("p")).select("a", F.col("p.class").alias("b")), "pairs")
-            tried = pairs.count()
-            found = self._link(self.verified(pairs)) if tried else 0
-            if not found:
+        scratch.drop(prefixes)
+        for round_ in range(rounds):
+            cost = rows.agg(F.coalesce(F.sum(F.col("load") / F.col("held")), F.lit(0.0)).alias("pairs"), F.count("*").alias("n")).first()
+            if cost["pairs"] <= worth * cost["n"]:
                 break
-            rows = self.entries(prefixes, groups)
-            if found * 10 < tried:
+            links = scratch.write(self.verified(self.met(rows, round_)), "links")
+            moved = self.unite(links)
+            if moved is None:
                 break
-        seen = rows.groupBy("class").agg(F.collect_list(F.struct("df", "token")).alias("seen"))
-        full = written(rows.join(seen, "class"), "entries")
-        pairs = full.alias("a").join(
-            full.alias("b"),
-            (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & self._possible("a", "b")
-            & (F.array_min(F.array_intersect("a.seen", "b.seen")) == F.struct("a.df", "a.token")),  # the places bound a link at the first common shingle only
-        ).select(F.col("a.class").alias("a"), F.col("b.class").alias("b"))
-        pairs = written(pairs, "pairs")
+            now = self._mixed(rows.drop("held", "load").join(moved, "comp", "left").withColumn("comp", F.coalesce("now", "comp")))
+            scratch.drop(rows, links)
+            rows = now
+        pairs = scratch.write(self.rest(rows, block), "pairs")
+        scratch.drop(rows)
+        links = scratch.write(self.verified(pairs), "links")
+        self.unite(links)
+        # the members of groups whose heads are still apart
         members = groups.select(F.col("a").alias("member"), F.col("b").alias("head"))
+        pairs = self.apart(pairs)
         for end in ("a", "b"):
             more = pairs.join(members, F.col(end) == F.col("head")).withColumn(end, F.col("member")).select("a", "b")
             pairs = pairs.unionByName(more)
-        self._link(self.verified(pairs))
-        return components(self.links)
+        self.unite(scratch.write(self.verified(pairs.where("a <> b")), "links"))
+        return self.comp if self.comp is not None else groups.select(F.col("a").alias("class"), F.col("b").alias("comp"))
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 2, broadcast_rows: int = 1_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 20, worth: int = 200,
+    block: int = 2000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` for every row: the smallest id that links reach.
 
     Two documents link if ``100 * |intersection| >= percent * |union|`` of their sets of ``shingle``-word
     shingles (A-Z lower-cased, words between blanks). ``share`` is the part of all shingles on which sets without
-    partners are told apart; ``rounds`` bounds the pivot rounds; neither changes the result. The ids of sets
-    that may link are broadcast up to ``broadcast_rows`` of them, and joined by shuffle beyond.
+    partners are told apart. Pivot rounds go on, up to ``rounds``, while they find links and comparing all entries that are left
+    would take more than ``worth`` comparisons an entry; then buckets are compared in blocks of ``block`` entries. The ids
+    of sets that may link are broadcast up to ``broadcast_rows`` of them, and joined by shuffle beyond. None of these changes the result.
 
     Null and empty texts have no shingles and link nothing. Rows with a null id keep it, and lend no id
     to others. Repeated rows and ids are rows of their own.
     """
+    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signatures = written(rows.mapInArrow(_signatures("text", shingle), f"id {docs.schema[id_col].dataType.simpleString()}, n long, class long, check long"), "signatures")
-    classes = written(signatures.where("n > 0").groupBy("class", "check", "n").agg(F.min("id").alias("first")), "classes")
+    signatures = scratch.write(rows.mapInArrow(_signatures("text", shingle), f"id {docs.schema[id_col].dataType.simpleString()}, n long, class long, check long"), "signatures")
+    classes = scratch.write(signatures.where("n > 0").groupBy("class", "check", "n").agg(F.min("id").alias("first")), "classes")
     tokens = rows.select("text").mapInArrow(_sampled("text", shingle, share), "class long, tokens array<long>")
     single = tokens.select("class", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("class").alias("class"), F.max("class").alias("other"))
     own = single.where("class = other").groupBy("class").agg(F.count("*").alias("own"))
     able = classes.join(own, "class", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)))
-    able = written(able.select(F.col("first").alias("id"), "class"), "able")
+    able = scratch.write(able.select(F.col("first").alias("id"), "class"), "able")
     sets = rows.join(F.broadcast(able) if able.count() <= broadcast_rows else able, "id")
     sets = sets.select("class", "text").mapInArrow(_whole("text", shingle), "class long, n long, tokens array<long>, bits array<long>")
     if not signatures.groupBy("id").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["class"])
-    comp = _Join(written(sets, "sets"), percent).run(rounds)
-    linked = classes.join(comp.withColumnRenamed("node", "class"), "class")
+    comp = _Join(scratch.write(sets, "sets"), percent, scratch).run(rounds, worth, block)
+    linked = classes.join(comp, "class")
     least = linked.groupBy("comp").agg(F.min("first").alias("least"))
-    named = written(classes.join(linked.select("class", "check", "n", "comp"), ["class", "check", "n"], "left").join(least, "comp", "left").select("class", "check", "n", F.coalesce("least", "first").alias("component_id")), "named")
+    named = classes.join(linked.select("class", "check", "n", "comp"), ["class", "check", "n"], "left").join(least, "comp", "left")
+    named = scratch.write(named.select("class", "check", "n", F.coalesce("least", "first").alias("component_id")), "named")
+    scratch.finish(signatures, named)
     out = signatures.join(named, ["class", "check", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

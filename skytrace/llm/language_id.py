@@ -45,47 +45,51 @@ def gram_codes(text: str) -> np.ndarray:
 
 
 class Space:
-    """Vectors of n-grams, kept in a table that grows with the n-grams seen (cleared when it is full)."""
+    """Vectors of n-grams, kept as bytes in a table of fixed size (emptied when it is full)."""
 
     def __init__(self, dims: int, most: int = 60_000) -> None:
-        self.dims, self.most = dims, most
+        self.dims = dims
         self.place: dict[int, np.ndarray] = {}
+        self.table = np.empty((most, dims), np.int8)
         self.clear()
 
     def clear(self) -> None:
         self.codes = np.zeros(0, np.int64)
         self.rows = np.zeros(0, np.int64)
-        self.table = np.zeros((0, self.dims), np.float32)
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.place:
+            if len(self.place) >= 4096:
+                self.place.clear()
             bits = mix(np.arange(self.dims, dtype=np.uint64) + np.uint64(code << 32))
             self.place[code] = np.where(bits >> np.uint64(63), 1, -1).astype(np.int8)
         return self.place[code]
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        """Row numbers in ``table`` of sorted distinct n-grams."""
+        """Row numbers in ``table`` of sorted distinct n-grams, as many as fit into it at most."""
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(new):
-            if len(self.codes) + len(new) > self.most:
+            if len(self.codes) + len(new) > len(self.table):
                 self.clear()
                 new = codes
-            out = np.ones((len(new), self.dims), np.int8)
+            used = len(self.codes)
+            out = self.table[used : used + len(new)]
+            out[:] = 1
             for j, shift in enumerate((42, 21, 0)):
                 letters, at = np.unique((new >> shift) & 0x1FFFFF, return_inverse=True)
                 out *= np.stack([np.roll(self._letter(int(c)), GRAM - 1 - j) for c in letters])[at]
             all_codes = np.concatenate((self.codes, new))
             order = np.argsort(all_codes)
-            self.rows = np.concatenate((self.rows, len(self.table) + np.arange(len(new))))[order]
-            self.codes, self.table = all_codes[order], np.concatenate((self.table, out.astype(np.float32)))
+            self.rows = np.concatenate((self.rows, used + np.arange(len(new))))[order]
+            self.codes = all_codes[order]
         return self.rows[np.searchsorted(self.codes, codes)]
 
-    def profile(self, codes: np.ndarray, counts: np.ndarray, block: int = 8192) -> np.ndarray:
+    def profile(self, codes: np.ndarray, counts: np.ndarray, block: int = 2048) -> np.ndarray:
         """The bundle of n-grams, each so many times."""
         out = np.zeros(self.dims)
         for lo in range(0, len(codes), block):
             rows = self.vectors(codes[lo : lo + block])
-            out += counts[lo : lo + block].astype(np.float32) @ self.table[rows]
+            out += counts[lo : lo + block].astype(np.float32) @ self.table[rows].astype(np.float32)
         return out
 
 

@@ -30,7 +30,7 @@ class PieceCodec:
     spaces are merged after everything else. Other models are refused with ValueError.
     """
 
-    def __init__(self, path: str, cache_entries: int = 300_000) -> None:
+    def __init__(self, path: str, cache_bytes: int = 112 << 20) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,10 +62,11 @@ class PieceCodec:
             if len(x) == 1 or self._split(x):
                 self.automaton.add_word(x, x)
         self.automaton.make_automaton()
-        self.cache_entries = cache_entries
+        self.cache_bytes, self.room = cache_bytes, cache_bytes // 2
         self.known: dict[str, str] = {}
         self.pieces: dict[str, list[int]] = {}
         self.spoken: dict[str, str] = {}
+        self.older: tuple[dict, dict, dict] = {}, {}, {}
 
     def _split(self, piece: str) -> bool:
         """Find the last merge that makes a piece; False if BPE never ends with it."""
@@ -124,9 +125,9 @@ class PieceCodec:
                 stretch = word[begin:i]
                 ids = self.pieces.get(stretch)
                 if ids is None:
-                    if len(self.pieces) >= self.cache_entries:
-                        self.pieces.clear()
-                    ids = self.pieces[stretch] = self._table(stretch)
+                    ids = self.older[1].get(stretch) or self._table(stretch)
+                    if len(stretch) < len(word):  # whole words are kept by _learn()
+                        self._keep("pieces", stretch, ids, 40 * len(ids))
                 out += ids
                 begin = i
         return out
@@ -140,11 +141,20 @@ class PieceCodec:
                 done[-2:] = [done[-2] + done[-1]]
         return [self.runs[n] for n in done]
 
+    def _keep(self, cache: str, key: str, value: object, size: int) -> None:
+        """Remember a result. Full caches become the older ones, which are emptied next time unless what they hold is asked for."""
+        self.room -= 160 + len(key) + size
+        if self.room < 0:
+            self.room = self.cache_bytes // 2
+            self.older = self.known, self.pieces, self.spoken
+            self.known, self.pieces, self.spoken = {}, {}, {}
+        getattr(self, cache)[key] = value
+
     def _learn(self, word: str) -> str:
-        if len(self.known) >= self.cache_entries:
-            self.known.clear()
-            self.spoken.clear()
-        out = self.known[word] = ",".join(map(str, self._word(SPACE + word)))
+        out = self.known.get(word)
+        if out is None:
+            out = self.older[0].get(word) or ",".join(map(str, self._word(SPACE + word)))
+            self._keep("known", word, out, len(out))
         return out
 
     def words(self, text: str) -> list[str]:
@@ -180,6 +190,9 @@ class PieceCodec:
         return [int(i) for word in self.words(text) for i in word.split(",")]
 
     def _speak(self, ids: str) -> str:
+        if text := self.spoken.get(ids) or self.older[2].get(ids):
+            self._keep("spoken", ids, text, len(text))
+            return text
         out, pending = [], bytearray()
         for i in map(int, ids.split(",")):
             if i in self.byte_of:
@@ -192,7 +205,8 @@ class PieceCodec:
                 out.append(self.names[i].replace(SPACE, " "))
         if pending:
             out.append(pending.decode(errors="replace"))
-        self.spoken[ids] = text = "".join(out)
+        text = "".join(out)
+        self._keep("spoken", ids, text, len(text))
         return text
 
     def decode_words(self, words: list[str]) -> str:
@@ -225,19 +239,29 @@ def _with(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in schema if f.name not in names] + fields)
 
 
-def encode_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """Add ``ids`` (array of int), the encoding of each whole text without begin and end ids.
 
-    Null and empty texts have no ids. Every row is treated alone, so ties and repeated rows give
-    equal results; a column ``ids`` of the input is replaced; long texts are held one at a time.
+    With ``decoded_col`` the ids are decoded in the same pass, into a column of that name. Null and empty texts have no
+    ids and decode to an empty text; an empty table gives an empty one. Every row is treated alone, so ties and
+    repeated rows give equal results; columns of the input with the names of new ones are replaced; long texts are held one at a time.
     """
-    schema = _with(docs.schema, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    make = lambda c, texts: {"ids": pa.array([c.encode(t or "") for t in texts], pa.list_(pa.int32()))}
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+
+    def make(own: PieceCodec, texts: list[str | None]) -> dict[str, pa.Array]:
+        words = [own.words(t or "") for t in texts]
+        new = {"ids": pa.array([[int(i) for w in x for i in w.split(",")] for x in words], pa.list_(pa.int32()))}
+        return new | ({decoded_col: pa.array([own.decode_words(x) for x in words], pa.string())} if decoded_col else {})
+
+    schema = _with(docs.schema, fields)
     return docs.mapInArrow(_over(path, text_col, schema.names, make), schema)
 
 
 def decode_pieces(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add ``decoded``, the text of the ids. Null ids give null, no ids give an empty text."""
+    """Add ``decoded``, the text of the ids. Null ids give null, no ids give an empty text.
+
+    Rows are treated alone; an empty table gives an empty one, and a column ``decoded`` of the input is replaced.
+    """
     schema = _with(docs.schema, [T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +276,8 @@ def decode_pieces(docs: DataFrame, path: str, ids_col: str = "ids", text_col: st
 def piece_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Encode and decode each text in one pass, and keep only digests in its place.
 
-    Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``. Null counts as an empty text.
+    Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, in place of columns of these names. Null counts as an
+    empty text; rows are treated alone, and an empty table gives an empty one.
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType([f for f in _with(docs.schema, fields) if f.name != text_col])

@@ -10,7 +10,7 @@ from skytrace.llm.decontaminate import decontaminate
 from skytrace.llm.jaccard_join import keep_one
 from skytrace.llm.language_id import identify_language, prototypes
 from skytrace.llm.line_dedup import dedup_lines
-from skytrace.llm.piece_codec import decode_pieces, encode_pieces
+from skytrace.llm.piece_codec import encode_pieces
 from skytrace.sources.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,8 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def piece_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives the text back."""
-    encoded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL)
-    decoded = decode_pieces(encoded, PIECE_MODEL)
+    decoded = encode_pieces(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL, decoded_col="decoded")
     exact = F.coalesce("text", F.lit("")) == F.col("decoded")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
 

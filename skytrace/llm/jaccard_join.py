@@ -154,23 +154,24 @@ class _Join:
         rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
         return apart, (F.lit(100) * F.least(n, m) >= self.percent * F.greatest(n, m)) & (rest >= needed) & (apart <= n + m - 2 * needed)
 
-    def _mixed(self, rows: DataFrame) -> DataFrame:
-        """The entries in buckets of several components; ``held``: entries of the bucket, ``load``: pairs to compare in it."""
-        by = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("k"), F.sum("c").alias("held"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        by = by.where("k > 1").select("token", "held", ((F.col("held") * F.col("held") - F.col("squares")) / 2).alias("load"))
-        return self.scratch.write(rows.join(by, "token").select("token", "class", "n", "own", "pos", "comp", "bits", "held", "load"), "entries")
-
-    def entries(self, prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-        """The prefix entries of one class per group. A class that stands for others has no bitmap, as theirs differ."""
+    def heads(self, prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+        """One class per group with its prefix, as far as other components share it. A class that stands for others has no bitmap, as theirs differ."""
         bits = self.sets.select("class", "bits").join(groups.select(F.col("b").alias("class")), "class", "left_anti")
-        named = prefixes.select("token", "class", "n", "own", "pos").join(groups.select(F.col("a").alias("class")), "class", "left_anti")
+        named = prefixes.join(groups.select(F.col("a").alias("class")), "class", "left_anti")
         if self.comp is None:
             named = named.withColumn("comp", F.col("class"))
         else:
             named = named.join(self.comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        # a bucket of one component finds nothing, and needs no bitmaps
         mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        return self._mixed(named.join(mixed, "token").join(bits, "class", "left"))
+        rows = named.join(mixed, "token").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "own", "comp")), F.collect_list(F.struct("token", "pos")).alias("places"))
+        return self.scratch.write(rows.join(bits, "class", "left"), "heads")
+
+    def entries(self, heads: DataFrame) -> DataFrame:
+        """The entries in buckets of several components; ``held``: entries of the bucket, ``load``: pairs to compare in it."""
+        rows = heads.select("class", "n", "own", "comp", "bits", F.inline("places"))
+        by = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("k"), F.sum("c").alias("held"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        by = by.where("k > 1").select("token", "held", ((F.col("held") * F.col("held") - F.col("squares")) / 2).alias("load"))
+        return self.scratch.write(rows.join(by, "token"), "entries")
 
     def met(self, rows: DataFrame, round_: int) -> DataFrame:
         """Each class and the nearest of the pivots of its buckets.
@@ -205,8 +206,9 @@ class _Join:
         prefixes = self.prefixes()
         groups = self.groups(prefixes)
         self.unite(groups)
-        rows = self.entries(prefixes, groups)
+        heads = self.heads(prefixes, groups)
         scratch.drop(prefixes)
+        rows = self.entries(heads)
         for round_ in range(rounds):
             cost = rows.agg(F.coalesce(F.sum(F.col("load") / F.col("held")), F.lit(0.0)).alias("pairs"), F.count("*").alias("n")).first()
             if cost["pairs"] <= worth * cost["n"]:
@@ -215,11 +217,11 @@ class _Join:
             moved = self.unite(links)
             if moved is None:
                 break
-            now = self._mixed(rows.drop("held", "load").join(moved, "comp", "left").withColumn("comp", F.coalesce("now", "comp")))
-            scratch.drop(rows, links)
-            rows = now
+            now = scratch.write(heads.join(moved, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now"), "heads")
+            scratch.drop(rows, links, heads)
+            heads, rows = now, self.entries(now)
         pairs = scratch.write(self.rest(rows, block), "pairs")
-        scratch.drop(rows)
+        scratch.drop(rows, heads)
         links = scratch.write(self.verified(pairs), "links")
         self.unite(links)
         # the members of groups whose heads are still apart

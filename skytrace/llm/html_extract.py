@@ -1,10 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
 Pages are cut into blocks at block-level tags. The first pass decides a block by its length, the
-share of its characters in links, and its density of stop words; short blocks stay undecided. The
-second pass gives an undecided block the label of its nearest decided neighbours on both sides.
-Blocks inside elements that never hold main text (navigation, page footers, forms, scripts, ...)
-are boilerplate before any of this; inside an article element, prose needs no stop words.
+share of its characters in links, and its density of stop words. What these leave open, short blocks above all, gets the
+label of the nearest decided blocks before and after it in the second pass. Both passes work alike inside and outside of article and
+main elements, except that inside one open blocks look at their own element first, and are main text if nothing there is decided.
+
+Elements that never hold main text (page footers, forms, scripts, ...) and elements that their class or id names as adverts, notices, comments and the like
+are left out, and on pages that mark their main text so is what stands outside of it.
 """
 
 from __future__ import annotations
@@ -19,32 +21,54 @@ from pyspark.sql import types as T
 
 from .words import slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?])[^>]*(?:>|\Z)", re.S
-)
+#: A tag; quotes open a value after ``=`` only.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=(?!\s*[\"'])|=\s*\"[^\"]*\"|=\s*'[^']*')*+)>")
+ATTRIBUTE = re.compile(r"([^\s/=>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Their content is not text of the page at all.
-RAW = frozenset("script style noscript template iframe object embed svg math canvas audio video map textarea title head".split())
+#: What they hold is no markup, up to their end tag.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 #: Their content is never main text.
-ASIDE = frozenset("nav footer aside form menu dialog select button fieldset label search".split())
+ASIDE = frozenset(
+    "head nav footer aside form menu dialog select button fieldset label search noscript template object embed svg math canvas audio video map".split()
+)
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("head title meta link base script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open element of the same kind.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dd dt td th".split())
 MAIN = frozenset(["article", "main"])
-#: Words in class, id or role that name boilerplate; an element with one of them is left out.
+#: Elements whose names inside main text may tell that they hold none.
+CONTAINERS = frozenset("div section ul ol dl table article ins".split())
+#: Words in class, id or role that name boilerplate around the main text.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|widgets?|footer|footnote-bar|masthead|site-?header|page-?header|topbar|toolbar|cookie\w*|consent|gdpr|notices?|alert\w*|popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social\w*|related|recommend\w*|comments?|comment-?list|disqus|replies|reply|responses?|pagination|pager|tags?|tagcloud|copyright|legal|disclaimer|search\w*|navigation|contentinfo|complementary|dialog)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|widgets?|footer|masthead|site-?header|page-?header|topbar|toolbar|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|responses?|pagination|pager|tagcloud|copyright|disclaimer|search|contentinfo|complementary|dialog)",
     re.I,
 )
-ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|(display\s*:\s*none)", re.I)
-#: Frequent words of the languages at hand, in alphabetical order.
+#: Whole names of reader comments, wherever they stand.
+COMMENTS = re.compile(r"comments?(?:[-_]?(?:list|thread|section|area|body|content|wrapper))?|disqus(?:_thread)?|replies|respond", re.I)
+#: Whole names that count inside the main text.
+NAMED = re.compile(
+    COMMENTS.pattern + r"|ads?|advert|advertisement|adsense|sponsored|promo|sidebar|cookie[-_]?(?:notice|banner)|notice|newsletter|share|social|related(?:[-_]?(?:posts|articles|links))?",
+    re.I,
+)
+#: Frequent words of languages, by language in alphabetical order.
 STOP_WORDS = frozenset(
     """
-    a al an and are as at au aus avec by con dans das de del den der des die du ein eine el elle en es est et for from
-    he il in is ist it la las le les lo los mit nicht of on or par pas por pour que qui se sie sobre su sur that the
-    this to un una une und von was with y you zu à
+    a an and are as at by for from he in is it of on or that the this to was with you
+    con de del el en es la las lo los no para por que se su una y
+    au aux avec dans des du elle est et il les par pas pour qui sur un une à
+    das dem den der die ein eine ist mit nicht sich sie und von zu auch auf im
+    che di e i il le nel non per si sono
+    as com da do em não o os um uma
+    dat een en het is niet op te van voor
+    att det en för med och som är
+    do i jest na nie się to w z że
+    bir bu da de için ile ve
+    в и из к как на не но он по с что это я
     """.split()
 )
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,62 +76,122 @@ SPACES = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "links", "main", "heading", "never", "label", "near")
+    __slots__ = ("text", "links", "main", "item", "heading", "holders", "label", "by")
+
+    def __init__(self, text: str, links: int, main: int, item: bool, heading: bool, holders: list[Element]) -> None:
+        self.text, self.links, self.main, self.item, self.heading, self.holders = text, links, main, item, heading, holders
+        #: good, bad, near (good next to a good block) or short; and what decided it
+        self.label = self.by = ""
+
+
+class Element:
+    """An open element: why it holds no main text (its kind, its name, nothing), and how much text it holds."""
+
+    __slots__ = ("name", "why", "chars")
+
+    def __init__(self, name: str, why: str) -> None:
+        self.name, self.why, self.chars = name, why, 0
+
 
-    def __init__(self, text: str, links: int, main: bool, heading: bool, never: bool) -> None:
-        self.text, self.links, self.main, self.heading, self.never, self.label = text, links, main, heading, never, ""
-        self.near = ""
+def _why(name: str, attributes: str, in_main: bool) -> str:
+    """Whether an element's tag or its own names say that it holds no main text."""
+    if name in ASIDE or name == "header" and not in_main:
+        return "kind"
+    if not attributes or attributes.isspace() or name in ("html", "body"):
+        return ""
+    words: list[str] = []
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), next((g for g in m.groups()[1:] if g), "")
+        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return "kind"
+        if key in ("class", "id", "role"):
+            words += value.split()
+    if name in CONTAINERS and any((NAMED if in_main else COMMENTS).fullmatch(w) for w in words):
+        return "kind"
+    if in_main or name in MAIN:
+        return ""
+    for w in words:
+        parts = re.split(r"[-_]+", w)
+        if parts[0].lower() not in ("has", "no", "with", "without") and any(UNWANTED.fullmatch(p) for p in [w, *parts]):
+            return "name"
+    return ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, with what their elements say about them."""
+    """The blocks of a page in order, with what their elements say about them. Time grows with the page's length."""
     out: list[Block] = []
-    open_: list[tuple[str, bool]] = []  # element, whether it is unwanted
-    inside_main = 0
+    open_: list[Element] = []
+    mains: list[int] = []  # where main elements stand in open_
+    main_no = 0
     parts: list[str] = []
     links = in_link = 0
-    heading = broke = False
-    at, skip = 0, ""
+    broke = False
+
+    def text(raw: str) -> None:
+        nonlocal links, broke
+        if raw:
+            piece = html.unescape(raw) if "&" in raw else raw
+            if size := len(piece.strip()):
+                broke = False
+                links += size * (in_link > 0)
+            parts.append(piece)
 
     def flush() -> None:
         nonlocal links, broke
-        text = SPACES.sub(" ", "".join(parts)).strip()
-        if text:
-            never = False  # what stands around an article element doesn't count
-            for name, bad in reversed(open_):
-                never = never or bad
-                if never or name in MAIN:
-                    break
-            out.append(Block(text, min(links, len(text)), inside_main > 0, heading, never))
-        parts.clear()
+        if parts:
+            content = SPACES.sub(" ", "".join(parts)).strip()
+            if content:
+                begin = mains[0] if mains else 0
+                # what stands around a main element doesn't count, but for comments and the like that it is in
+                holders = [e for i, e in enumerate(open_) if e.why and (i >= begin or e.why == "kind")]
+                for e in open_:
+                    e.chars += len(content)
+                inner = open_[-1].name if open_ else ""
+                out.append(Block(content, min(links, len(content)), main_no if mains else 0, inner in ITEMS, any(e.name in HEADINGS for e in open_[-3:]), holders))
+            parts.clear()
         links, broke = 0, False
 
     def leave(place: int) -> None:
-        nonlocal inside_main, heading
-        for name, _ in open_[place:]:
-            inside_main -= name in MAIN
-            heading = heading and not (name[0] == "h" and name[1:].isdigit())
         del open_[place:]
+        while mains and mains[-1] >= place:
+            mains.pop()
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    at, size = 0, len(page)
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            text(page[at:])
+            break
+        text(page[at:lt])
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?") or after == "/" and not page[lt + 2 : lt + 3].isalpha():
+            if page.startswith("<!--", lt):
+                end = lt + 4 if page.startswith((">", "->"), lt + 4) else page.find("-->", lt + 4)
+                at = size if end < 0 else page.find(">", end) + 1
+            else:
+                end = page.find(">", lt)
+                at = size if end < 0 else end + 1
             continue
-        raw, at = page[at : m.start()], m.end()
-        if raw:
-            piece = html.unescape(raw) if "&" in raw else raw
-            if piece.strip():
-                broke = False
-            parts.append(piece)
-            links += len(piece.strip()) * (in_link > 0)
-        if not m[2]:
+        m = TAG.match(page, lt)
+        if not m:
+            if after == "/" or after.isalpha() and after.isascii():
+                break  # a tag that never ends
+            parts.append("<")
+            at = lt + 1
             continue
+        at = m.end()
         name, closing = m[2].lower(), bool(m[1])
-        if name in RAW and not closing and name != "head":
+        if not closing and open_ and open_[-1].name == "head" and name not in HEAD:
+            flush()
+            leave(len(open_) - 1)
+        if name in RAW and not closing:
             if name in BLOCK:
                 flush()
-            if not m[3].endswith("/") and name not in VOID:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            if not end:
+                break
+            close = page.find(">", end.end())
+            at = size if close < 0 else close + 1
             continue
         if name == "br":
             if broke:
@@ -117,79 +201,112 @@ def blocks(page: str) -> list[Block]:
                 broke = True
             continue
         if name == "a":
-            in_link = max(0, in_link + (-1 if closing else 1))
+            in_link = 0 if closing else 1
             continue
-        if name not in BLOCK and name not in ASIDE:
-            if name not in VOID and ATTRIBUTE.search(m[3]) or closing and any(n == name for n, _ in open_[-8:]):
-                pass
-            else:
-                continue
-        if name in BLOCK or name in ASIDE:
+        edge = name in BLOCK or name in ASIDE
+        if edge:
             flush()
             in_link = 0
         if name in VOID:
             continue
         if closing:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    leave(i)
-                    break
+            if edge or any(e.name == name for e in open_[-8:]):
+                for i in range(len(open_) - 1, -1, -1):
+                    if open_[i].name == name:
+                        if not edge and any(e.why for e in open_[i:]):
+                            flush()
+                        leave(i)
+                        break
             continue
-        if name in CLOSES and open_ and open_[-1][0] in CLOSES[name]:
-            leave(len(open_) - 1)
-        if m[3].endswith("/"):
+        if not edge:
+            why = _why(name, m[3], bool(mains)) if m[3] else ""
+            if why:
+                flush()
+                open_.append(Element(name, why))
             continue
-        said = " ".join(next((g for g in a.groups() if g), "") for a in ATTRIBUTE.finditer(m[3]))
-        bad = name in ASIDE or name == "header" and not inside_main or bool(said) and name not in ("html", "body", *MAIN) and bool(UNWANTED.search(said) or re.search(r"\bhidden\b|display\s*:", said))
-        open_.append((name, bad))
-        inside_main += name in MAIN
-        heading = heading or name[0] == "h" and name[1:].isdigit()
-    tail = page[at:]
-    if tail.strip() and not tail.lstrip().startswith("<"):
-        parts.append(html.unescape(tail))
+        if name in BLOCK and open_ and open_[-1].name == "p":
+            leave(len(open_) - 1)
+        if name in CLOSES:
+            for i in range(len(open_) - 1, max(len(open_) - 4, -1), -1):
+                if open_[i].name in CLOSES[name]:
+                    leave(i)
+                    break
+                if open_[i].name in ("ul", "ol", "dl", "table"):
+                    break
+        why = _why(name, m[3], bool(mains))
+        open_.append(Element(name, why))
+        if name in MAIN and not any(e.why == "kind" for e in open_):
+            if not mains:
+                main_no += 1
+            mains.append(len(open_) - 1)
     flush()
     return out
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.3, high: float = 0.32, most_links: float = 0.2) -> list[bool]:
-    """Whether each block is main text: first by its own measures, then by its neighbours."""
-    has_main = any(b.main and not b.never for b in found)
+def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, some_links: float = 0.2, most_links: float = 0.5) -> list[bool]:
+    """Whether each block is main text: first by its own measures, then by its neighbours. ``by`` tells what decided it."""
+    chars = sum(len(b.text) for b in found)
+    left = [b for b in found if not any(e.why == "kind" or 2 * e.chars <= chars for e in b.holders)]
+    left_ids = set(map(id, left))
+    marked = any(b.main for b in left)
+    stops = {}
+    for b in left:
+        words = WORD.findall(b.text.lower())
+        stops[id(b)] = (sum(w in STOP_WORDS for w in words), len(words))
+    hits, words = (sum(x[i] for x in stops.values()) for i in (0, 1))
+    fits = hits >= low / 2 * words  # else the stop words are of other languages than the page
     for b in found:
-        density = b.links / len(b.text)
-        words = WORD.findall(b.text.lower()) if not (b.never or b.main) else []
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.never or density > most_links or "©" in b.text and len(b.text) < long or has_main and not b.main:
-            b.label = "bad"
-        elif b.main:
-            b.label = "good" if density == 0 else "near"
-        elif len(b.text) < short:
-            b.label = "bad" if density else "short"
-        elif stops >= high:
-            b.label = "good" if len(b.text) > long else "near"
-        elif stops >= low / 2:
-            b.label = "near"
+        size, linked = len(b.text), b.links / len(b.text)
+        if linked > most_links and (b.item or not b.main):
+            b.label, b.by = "bad", "links"
+        elif id(b) not in left_ids or marked and not b.main:
+            b.label, b.by = "bad", "place"
+        elif size < short or linked > most_links:
+            b.label = "bad" if linked > some_links and not b.main else "short"
+            b.by = "links" if b.label == "bad" else "neighbours"
+        elif linked > some_links and not b.main:
+            b.label, b.by = "bad", "links"
         else:
-            b.label = "bad"
-    for b, x, y in zip(found, *_neighbours(found), strict=True):
-        if b.label == "near":
-            b.near = "good" if "good" in (x, y) else "bad"
-    for b in found:
-        b.label = b.near or b.label
-    for b, x, y in zip(found, *_neighbours(found), strict=True):
-        if b.label == "short":
-            b.near = "good" if x == y == "good" or b.heading and y == "good" else "bad"
-    return [(b.near or b.label) == "good" for b in found]
+            own, all_ = stops[id(b)]
+            density = own / all_ if all_ else 0.0
+            if not fits:
+                b.label, b.by = ("good", "length") if size > long else ("near", "neighbours")
+            elif density >= high:
+                b.label, b.by = ("good", "density") if size > long or b.main else ("near", "neighbours")
+            elif density >= low:
+                b.label, b.by = ("good", "density") if size > long and b.main else ("near", "neighbours")
+            else:
+                b.label, b.by = ("near", "neighbours") if b.main else ("bad", "density")
+    _inherit(found, "near")
+    _inherit(found, "short")
+    return [b.label == "good" for b in found]
 
 
-def _neighbours(found: list[Block]) -> tuple[list[str], list[str]]:
-    """The label of the nearest decided block before each block, and after it; bad beyond the ends."""
-    before, after = [], []
-    for row, order in ((before, found), (after, reversed(found))):
-        last = "bad"
-        for b in order:
-            row.append(last)
-            last = b.label if b.label in ("good", "bad") else last
-    return before, after[::-1]
+def _inherit(found: list[Block], kind: str) -> None:
+    """Give blocks of a kind the label of the nearest decided blocks around them: of their own main element, if they have one, else of the page."""
+    before, after = _neighbours(found), _neighbours(found[::-1])[::-1]
+    new = []
+    for b, x, y in zip(found, before, after, strict=True):
+        if b.main:
+            good = "good" in (x, y) or not (x or y)
+        elif kind == "near":
+            good = "good" in (x, y)
+        else:
+            good = x == y == "good" or b.heading and y == "good"
+        new.append("good" if good else "bad")
+    for b, label in zip(found, new, strict=True):
+        if b.label == kind:
+            b.label = label
+
+
+def _neighbours(found: list[Block]) -> list[str]:
+    """The label of the last decided block before each block: of the same main element; of any outside."""
+    out, last = [], {}
+    for b in found:
+        out.append(last.get(b.main, ""))
+        if b.label in ("good", "bad") and (b.by != "place" or not b.main):
+            last[b.main] = b.label
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -203,7 +320,7 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace ``html_col`` by ``text``, the main text of each whole page, and ``n_chars``, its code points.
 
-    Null and empty pages, and pages of boilerplate only, give an empty text. Pages are taken one by
+    Null and empty pages, and pages of boilerplate only, give an empty text; an empty table gives an empty one. Pages are taken one by
     one, so repeated rows give equal results and long pages nothing but themselves in memory;
     columns ``text`` and ``n_chars`` of the input are replaced.
     """

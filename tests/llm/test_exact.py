@@ -18,7 +18,6 @@ from skytrace.llm.decontaminate import decontaminate
 from skytrace.llm.jaccard_join import jaccard_components
 from skytrace.llm.language_id import held_out, identify_language, prototypes
 from skytrace.llm.piece_codec import PieceCodec, decode_pieces, encode_pieces
-from skytrace.llm.substring_dedup import compact_windows
 from skytrace.llm.token_shards import CachedEncoder, Index, build_index, read_token_shards, write_token_shards
 
 
@@ -131,22 +130,6 @@ def test_passages(spark):
         assert len(a) >= 50 and sum(x == y for x, y in zip(a, b, strict=False)) >= 0.8 * len(a)
 
 
-def test_compact_windows():
-    rng = np.random.default_rng(2)
-    for _ in range(200):
-        v, t = rng.integers(0, 12, rng.integers(1, 60)).astype(np.uint64), int(rng.integers(1, 12))
-        expected = []
-        for i in range(len(v)):
-            a = b = i
-            while a > 0 and v[a - 1] > v[i]:
-                a -= 1
-            while b < len(v) - 1 and v[b + 1] >= v[i]:
-                b += 1
-            if b - a + 1 >= t:
-                expected.append((a, i, b))
-        assert list(zip(*compact_windows(v, t), strict=True)) == expected
-
-
 def test_decontaminate_in_blocks(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     items = [("a", text), ("b", "Short item here"), ("c", "..."), (None, "no id item"), ("a", text), ("d", None)]

@@ -112,14 +112,14 @@ class _Join:
         ).select("a", "b")
 
     def prefixes(self) -> DataFrame:
-        """``token, class, n, own, pos``: the shingles of each prefix that other sets hold too; own: shingles of this set alone."""
+        """``token, class, n, own, pos, prev``: the shingles of each prefix that other sets hold too; own: shingles of this set alone; prev: the shingle before."""
         rows = self.sets.select("class", "n", F.explode("tokens").alias("token"))
         shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         rows = rows.join(shared, "token")
         order = Window.partitionBy("class").orderBy("df", "token")
         rows = rows.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("class")))
-        rows = rows.withColumn("pos", F.col("own") + F.row_number().over(order) - 1)
-        return self.scratch.write(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100 - F.lit(1e-9))).select("token", "class", "n", "own", "pos"), "prefixes")
+        rows = rows.withColumn("pos", F.col("own") + F.row_number().over(order) - 1).withColumn("prev", F.lag("token").over(order))
+        return self.scratch.write(rows.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100 - F.lit(1e-9))).select("token", "class", "n", "own", "pos", "prev"), "prefixes")
 
     def groups(self, prefixes: DataFrame) -> DataFrame:
         """``a, b``: classes of identical prefix and size, and the first of them that they link with."""
@@ -163,7 +163,7 @@ class _Join:
         else:
             named = named.join(self.comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        rows = named.join(mixed, "token").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "own", "comp")), F.collect_list(F.struct("token", "pos")).alias("places"))
+        rows = named.join(mixed, "token").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "own", "comp")), F.collect_list(F.struct("token", "pos", "prev")).alias("places"))
         return self.scratch.write(rows.join(bits, "class", "left"), "heads")
 
     def entries(self, heads: DataFrame) -> DataFrame:
@@ -187,12 +187,15 @@ class _Join:
         return both.groupBy(F.col("a.class").alias("a")).agg(F.min(F.struct(apart.alias("apart"), "p.h", "p.class")).alias("p")).select("a", F.col("p.class").alias("b"))
 
     def rest(self, rows: DataFrame, block: int) -> DataFrame:
-        """All pairs ``a, b`` of different components that may link, each once; large buckets are compared block by block."""
+        """All pairs ``a, b`` of different components that may link, each once; large buckets are compared block by block.
+
+        The places bound a link at the first common shingle only, and that one has no common shingle before it.
+        """
         cut = F.ceil(F.col("held") / block)
         rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), cut)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
         _, may = self._near("a", "b")
         same = (F.col("a.token") == F.col("b.token")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
-        return rows.alias("a").join(rows.alias("b"), same & (F.col("a.class") < F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & may).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+        return rows.alias("a").join(rows.alias("b"), same & (F.col("a.class") < F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & F.coalesce(F.col("a.prev") != F.col("b.prev"), F.lit(True)) & may).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components."""
@@ -209,10 +212,12 @@ class _Join:
         heads = self.heads(prefixes, groups)
         scratch.drop(prefixes)
         rows = self.entries(heads)
+        before = float("inf")
         for round_ in range(rounds):
             cost = rows.agg(F.coalesce(F.sum(F.col("load") / F.col("held")), F.lit(0.0)).alias("pairs"), F.count("*").alias("n")).first()
-            if cost["pairs"] <= worth * cost["n"]:
+            if min(cost["pairs"], before - cost["pairs"]) <= worth * cost["n"]:
                 break
+            before = cost["pairs"]
             links = scratch.write(self.verified(self.met(rows, round_)), "links")
             moved = self.unite(links)
             if moved is None:
@@ -235,15 +240,15 @@ class _Join:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 20, worth: int = 200,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 20, worth: int = 30,
     block: int = 2000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` for every row: the smallest id that links reach.
 
     Two documents link if ``100 * |intersection| >= percent * |union|`` of their sets of ``shingle``-word
     shingles (A-Z lower-cased, words between blanks). ``share`` is the part of all shingles on which sets without
-    partners are told apart. Pivot rounds go on, up to ``rounds``, while they find links and comparing all entries that are left
-    would take more than ``worth`` comparisons an entry; then buckets are compared in blocks of ``block`` entries. The ids
+    partners are told apart. Pivot rounds go on, up to ``rounds``, while comparing all entries that are left would take more than ``worth``
+    comparisons an entry, and the last round saved more than that; then buckets are compared in blocks of ``block`` entries. The ids
     of sets that may link are broadcast up to ``broadcast_rows`` of them, and joined by shuffle beyond. None of these changes the result.
 
     Null and empty texts have no shingles and link nothing. Rows with a null id keep it, and lend no id

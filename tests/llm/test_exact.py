@@ -154,11 +154,26 @@ def test_jaccard_options(spark):
     rows += [(200, rows[1][1].upper()), (201, None), (202, "a b"), (203, "A B")]
     expected = brute.components(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"rounds": 0, "share": 1.0}, {"broadcast_rows": 0, "rounds": 1}):
+    for options in ({}, {"rounds": 0, "share": 1.0, "block": 7}, {"broadcast_rows": 0, "rounds": 1, "worth": 0}, {"worth": 0}):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, **options).collect()}
         assert got == expected
 
 
+def test_jaccard_of_a_large_group(spark):
+    """2,000 near copies of one text, most of them linked by way of others only."""
+    rng, rows = random.Random(7), []
+    base = [f"w{i}" for i in range(80)]
+    for i in range(2000):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 5])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    expected = brute.components(rows)
+    assert {c for _, c in expected.values()} != {0}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(50)] + [(5000, 5000), (6000, None)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

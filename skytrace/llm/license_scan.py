@@ -1,109 +1,24 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
-Signatures are regular expressions over a text's words, which are lower-cased and joined by single
-blanks. They are grouped by a keyword that each of their matches holds; only texts that hold the keyword meet its rules. Detections
-are word intervals; one that lies inside another of higher priority, or of the same priority and
-greater length, is suppressed.
+Signatures (license_rules.py) are regular expressions over a text's words, which are lower-cased and joined by single
+blanks. They are grouped by a keyword, whole words that each of their matches holds; only texts that hold the keyword meet
+its rules, and keywords are looked for only where their longest word is. Detections are word intervals; one that lies inside
+another of higher priority, or of the same priority and greater length, is suppressed.
 """
 
 from __future__ import annotations
 
 import string
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import Signature, signatures
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 BASE_SCORE = 0.6
-
-SPDX = "spdx license identifier"
-
-#: License families: keyword (part of every name), names as words (a regular expression), and versions with their labels.
-FAMILIES = [
-    ("apache", r"apache(?: software)?(?: license)?", {"2 0": "apache-2.0", "1 1": "apache-1.1", "1 0": "apache-1.0"}),
-    ("mit", r"mit", {"": "mit", "0": "mit-0"}),
-    ("gpl", r"(?:gnu )?gpl", {"3 0": "gpl-3.0", "2 0": "gpl-2.0", "3": "gpl-3.0", "2": "gpl-2.0"}),
-    ("general public", r"(?:gnu )?general public license", {"3 0": "gpl-3.0", "2 0": "gpl-2.0", "3": "gpl-3.0", "2": "gpl-2.0", "1": "gpl-1.0"}),
-    ("lesser general", r"(?:gnu )?lesser general public license", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0", "3": "lgpl-3.0"}),
-    ("library general", r"(?:gnu )?library general public license", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0", "3": "lgpl-3.0"}),
-    ("lgpl", r"(?:gnu )?lgpl", {"3 0": "lgpl-3.0", "2 1": "lgpl-2.1", "2 0": "lgpl-2.0"}),
-    ("affero", r"(?:gnu )?affero general public license", {"3 0": "agpl-3.0", "3": "agpl-3.0", "1 0": "agpl-1.0"}),
-    ("agpl", r"(?:gnu )?agpl", {"3 0": "agpl-3.0", "3": "agpl-3.0"}),
-    ("free documentation", r"(?:gnu )?free documentation license", {"1 3": "gfdl-1.3", "1 2": "gfdl-1.2", "1 1": "gfdl-1.1"}),
-    ("bsd", r"bsd", {"3 clause": "bsd-3-clause", "2 clause": "bsd-2-clause", "4 clause": "bsd-4-clause", "zero clause": "0bsd"}),
-    ("mozilla", r"mozilla public license", {"2 0": "mpl-2.0", "1 1": "mpl-1.1", "1 0": "mpl-1.0"}),
-    ("mpl", r"mpl", {"2 0": "mpl-2.0", "1 1": "mpl-1.1"}),
-    ("eclipse", r"eclipse public license", {"2 0": "epl-2.0", "1 0": "epl-1.0"}),
-    ("eclipse distribution", r"eclipse distribution license", {"1 0": "edl-1.0"}),
-    ("common development", r"common development and distribution license", {"1 1": "cddl-1.1", "1 0": "cddl-1.0"}),
-    ("cddl", r"cddl", {"1 1": "cddl-1.1", "1 0": "cddl-1.0"}),
-    ("artistic", r"artistic license", {"2 0": "artistic-2.0", "1 0": "artistic-1.0"}),
-    ("boost", r"boost software license", {"1 0": "bsl-1.0"}),
-    ("isc", r"isc", {"": "isc"}),
-    ("zlib", r"zlib(?: libpng)?", {"": "zlib"}),
-    ("unlicense", r"unlicense", {"": "unlicense"}),
-    ("creative commons attribution", r"creative commons attribution", {"4 0": "cc-by-4.0", "3 0": "cc-by-3.0", "2 0": "cc-by-2.0"}),
-    ("creative commons attribution share", r"creative commons attribution share ?alike", {"4 0": "cc-by-sa-4.0", "3 0": "cc-by-sa-3.0"}),
-    ("creative commons attribution non", r"creative commons attribution non ?commercial", {"4 0": "cc-by-nc-4.0", "3 0": "cc-by-nc-3.0"}),
-    ("cc by", r"cc by", {"4 0": "cc-by-4.0", "3 0": "cc-by-3.0", "sa 4 0": "cc-by-sa-4.0", "sa 3 0": "cc-by-sa-3.0", "nc 4 0": "cc-by-nc-4.0"}),
-    ("cc0", r"cc0", {"1 0": "cc0-1.0"}),
-    ("european union", r"european union public licen[cs]e", {"1 2": "eupl-1.2", "1 1": "eupl-1.1"}),
-    ("open software", r"open software license", {"3 0": "osl-3.0", "2 1": "osl-2.1"}),
-    ("academic free", r"academic free license", {"3 0": "afl-3.0", "2 1": "afl-2.1"}),
-    ("common public", r"common public license", {"1 0": "cpl-1.0"}),
-    ("microsoft", r"microsoft (?:public|reciprocal) license", {"": "ms-pl"}),
-    ("python software", r"python software foundation license", {"2": "psf-2.0", "": "psf"}),
-    ("open font", r"(?:sil )?open font license", {"1 1": "ofl-1.1", "1 0": "ofl-1.0"}),
-    ("public domain", r"public domain", {"": "public-domain"}),
-    ("wtfpl", r"wtfpl", {"": "wtfpl"}),
-]
-#: How a license is named, with the priority and score of a detection. {n}: name, {v}: version, {l}: label as words.
-TEMPLATES = [
-    (r"spdx license identifier {l}", 100, 1.0),
-    (r"licensed under (?:the )?(?:terms of (?:the )?)?{n}(?: license)?{v}", 90, 0.98),
-    (r"(?:released|distributed|available|provided|published|redistributed) under (?:the )?(?:terms of (?:the )?)?{n}(?: license)?{v}", 80, 0.95),
-    (r"{n}(?: license)?{v}", 60, 0.85),
-]
-#: Opening words of license texts, in alphabetical order of their labels.
-TEXTS = {
-    "apache-2.0": ("you may not use", r"you may not use this file except in compliance with the license"),
-    "bsd": ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    "gpl": ("free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    "isc": ("permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    "mit": ("permission is", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    "unlicense": ("unencumbered", r"this is free and unencumbered software released into the public domain"),
-    "zlib": ("as is", r"this software is provided as is without any express or implied warranty"),
-}
-
-
-@dataclass(frozen=True)
-class Signature:
-    keyword: str
-    pattern: str
-    label: str
-    priority: int
-    score: float
-
-
-def signatures() -> list[Signature]:
-    """All rules: every template for every version of every family, family names alone, and license texts."""
-    out = []
-    for keyword, name, versions in FAMILIES:
-        for version, label in versions.items():
-            v = rf"(?: v)?(?: ?version)? ?v?{version}" if version else ""
-            for template, priority, score in TEMPLATES:
-                pattern = template.format(n=name, v=v, l=label.replace("-", " ").replace(".", " "))
-                if not version and priority == 60:
-                    pattern = rf"(?:the )?{name} license"
-                held = SPDX if template.startswith(SPDX) else keyword
-                out.append(Signature(held, pattern, label, priority + len(version) // 2, score))
-        if "" not in versions:
-            family = next(iter(versions.values())).rsplit("-", 1)[0]
-            out.append(Signature(keyword, rf"(?:licensed|released|distributed) under (?:the )?{name}(?: license)?", family, 50, 0.75))
-    out += [Signature(k, p, label, 85, 0.97) for label, (k, p) in TEXTS.items()]
-    return list(dict.fromkeys(out))
+FOUND = "array<struct<start:int,end:int,label:string,priority:int,score:double>>"
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -143,6 +58,36 @@ def _literal(rules: list[Signature]) -> Column:
     ))
 
 
+def _active(rules: list[Signature], padded: Column) -> Column:
+    """The rules whose keyword a text holds."""
+    longest: dict[str, dict[str, list[Signature]]] = {}
+    for r in rules:
+        longest.setdefault(max(r.keyword.split(" "), key=len), {}).setdefault(r.keyword, []).append(r)
+    held = lambda words: F.contains(padded, F.lit(f" {words} "))
+    of_word = (F.when(held(w), F.flatten(F.array_compact(F.array(*(F.when(held(k), _literal(g)) for k, g in by.items()))))) for w, by in longest.items())
+    return F.flatten(F.array_compact(F.array(*of_word)))
+
+
+def _suppressed(found: Column) -> Column:
+    """The detections that no other one suppresses, in order.
+
+    By start, then the longest and the strongest first, whatever suppresses a detection comes before it, and it suffices to look at
+    those of the detections left that reach beyond its start.
+    """
+    order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("e"), (-x["priority"]).alias("p"), x["label"].alias("label"), x["score"].alias("score"))))
+    row = "struct<start:int,e:int,p:int,label:string,score:double>"
+    none = F.array().cast(f"array<{row}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.filter(acc["near"], lambda b: b["e"] < -x["start"])
+        lost = F.exists(near, lambda b: (b["e"] <= x["e"]) & ((b["p"] < x["p"]) | (b["p"] == x["p"]) & (b["start"] + b["e"] < x["start"] + x["e"])))
+        own = F.when(lost, none).otherwise(F.array(x))
+        return F.struct(F.concat(acc["out"], own).alias("out"), F.concat(near, own).alias("near"))
+
+    left = F.aggregate(order, F.struct(none.alias("out"), none.alias("near")), step, lambda acc: acc["out"])
+    return F.transform(left, lambda x: F.struct(x["start"].alias("start"), (-x["e"]).alias("end"), x["label"].alias("label"), (-x["p"]).alias("priority"), x["score"].alias("score")))
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", rules: list[Signature] | None = None) -> DataFrame:
     """Detect licenses in each whole text; the text is left behind.
 
@@ -151,29 +96,20 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rules: list[Signature
     sorted, base ones included) and ``score`` (the largest of the detections' and the base score, else 0).
 
     Null text has no words, no places and empty lists. Equal intervals with equal priority all stay. Rows are
-    treated alone; columns that clash are replaced.
+    treated alone, so repeated ones give equal results, and an empty table gives an empty one; columns that clash are replaced,
+    but for names that begin with two underscores, which are the operator's own.
     """
-    groups: dict[str, list[Signature]] = {}
-    for r in signatures() if rules is None else rules:
-        groups.setdefault(r.keyword, []).append(r)
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score")
     keep = [c for c in docs.columns if c not in (text_col, *new)]
     words = F.btrim(F.regexp_replace(_ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, " "))
     df = docs.select(*keep, words.alias("__t"))
-    gate = F.lit(False)
-    for k in sorted({k.split(" ")[0] for k in groups} | {"license"}):
-        gate = gate | F.contains("__t", F.lit(k))
-    df = df.withColumn("__p", F.when(gate, F.concat(F.lit(" "), "__t", F.lit(" "))))
+    df = df.withColumn("__p", F.concat(F.lit(" "), "__t", F.lit(" ")))
     places = F.array(*(_base_places(F.col("__p"), phrase, label) for phrase, label in BASE.items()))
-    df = df.withColumn("__base", F.when(F.col("__p").isNotNull(), F.flatten(F.array_compact(places))))
-    active = F.flatten(F.array_compact(F.array(*(F.when(F.contains("__p", F.lit(k)), _literal(g)) for k, g in groups.items()))))
-    df = df.withColumn("__rules", F.when(F.col("__p").isNotNull(), active))
+    df = df.withColumn("__base", F.flatten(F.array_compact(places))).withColumn("__rules", _active(signatures() if rules is None else rules, F.col("__p")))
     found = F.flatten(F.transform("__rules", lambda r: F.transform(_intervals(F.col("__p"), r["pattern"]), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score")))))
-    df = df.withColumn("__found", F.array_distinct(F.coalesce(found, F.array().cast("array<struct<start:int,end:int,label:string,priority:int,score:double>>"))))
-    beats = lambda a, b: (b["start"] <= a["start"]) & (b["end"] >= a["end"]) & (
-        (b["priority"] > a["priority"]) | (b["priority"] == a["priority"]) & (b["end"] - b["start"] > a["end"] - a["start"]))
-    df = df.withColumn("detections", F.array_sort(F.filter("__found", lambda a: ~F.exists("__found", lambda b: beats(a, b)))))
+    df = df.withColumn("__found", F.when(F.size("__rules") > 0, F.array_distinct(found)))
+    df = df.withColumn("detections", F.coalesce(F.when(F.size("__found") > 0, _suppressed(F.col("__found"))), F.array().cast(FOUND)))
     starts = F.transform("__base", lambda x: x["start"])
     return df.select(
         *keep,

@@ -9,7 +9,8 @@ from skytrace.llm.decontaminate import decontaminate
 from skytrace.llm.html_extract import extract_main_text, main_text
 from skytrace.llm.jaccard_join import jaccard_components, keep_one
 from skytrace.llm.language_id import identify_language, prototypes
-from skytrace.llm.license_scan import scan_licenses, signatures
+from skytrace.llm.license_rules import signatures
+from skytrace.llm.license_scan import scan_licenses
 from skytrace.llm.line_dedup import dedup_lines
 from skytrace.llm.piece_codec import encode_pieces, piece_digests
 from skytrace.llm.quality_rules import quality_rules

@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.functions.columns import STEP_MINUTES, arr_mean, line_rmse, rate
-from skytrace.operators.sequences import histories, peaks
+from skytrace.operators.sequences import histories, peak_arrays
 
 #: Noise of a smoothed history (root mean square), a measured constant.
 NOISE = 0.0563
 
 
-def glaciation_events(seq: DataFrame, significant: float = 0.2, rise: float = 0.4) -> DataFrame:
+def glaciation_events(seq: DataFrame, significant: float = 0.2, rise: float = 0.4, keep_history: bool = False) -> DataFrame:
     """``key, event_no, start_idx, peak_idx, magnitude``: rises to significant peaks.
 
     Peaks are visited by height, the highest first. One that lies more than a step after the previous
     accepted peak and has the persistence ``significant`` is accepted; its start is the last minimum
-    since that peak, and it is an event if it stands ``rise`` or more above it.
+    since that peak, and it is an event if it stands ``rise`` or more above it. ``keep_history`` adds the history.
     """
-    tops = peaks(seq).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("down"), "idx", "value", "persistence"))).alias("tops"))
-    rows = histories(seq).join(tops, "key")
+    rows = peak_arrays(histories(seq))
+    tops = F.array_sort(F.transform("peaks", lambda p: F.struct((-p["value"]).alias("down"), p["idx"].alias("idx"), p["value"].alias("value"), p["persistence"].alias("persistence"))))
     empty = F.struct(F.lit(0).alias("prev"), F.array().cast("array<struct<start_idx:int,peak_idx:int,magnitude:double>>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
@@ -34,8 +34,9 @@ def glaciation_events(seq: DataFrame, significant: float = 0.2, rise: float = 0.
             F.when(accepted & (p["value"] - low >= rise), F.concat(s["out"], F.array(event))).otherwise(s["out"]).alias("out"),
         )
 
-    found = rows.select("key", F.posexplode(F.aggregate("tops", empty, step, lambda s: s["out"])).alias("event_no", "e"))
-    return found.select("key", "event_no", "e.start_idx", "e.peak_idx", "e.magnitude")
+    kept = ["history"] if keep_history else []
+    found = rows.select("key", "history", F.posexplode(F.aggregate(tops, empty, step, lambda s: s["out"])).alias("event_no", "e"))
+    return found.select("key", "event_no", "e.start_idx", "e.peak_idx", "e.magnitude", *kept)
 
 
 def event_metrics(events: DataFrame, minutes: int = STEP_MINUTES) -> DataFrame:
@@ -45,7 +46,7 @@ def event_metrics(events: DataFrame, minutes: int = STEP_MINUTES) -> DataFrame:
 
 def events_table(seq: DataFrame, significant: float = 0.2, rise: float = 0.4) -> DataFrame:
     """All events with their metrics and the history they come from."""
-    return event_metrics(glaciation_events(seq, significant, rise)).join(histories(seq), "key", "left")
+    return event_metrics(glaciation_events(seq, significant, rise, keep_history=True))
 
 
 def event_shape(events: DataFrame, noise: float = NOISE, most: float = 2.0) -> DataFrame:

@@ -113,20 +113,33 @@ def nearest_within(targets: DataFrame, sources: DataFrame, radius: float = 60.0,
 
 def regular_grid(points: DataFrame, ny: int, nx: int) -> DataFrame:
     """``target_id, y, x, lat, lon``: an even grid over the extent of the points, y downwards from the north."""
-    box = points.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
-    rows = box.select("*", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("x"))
-    return rows.select(
-        (F.col("y") * nx + F.col("x")).alias("target_id"), "y", "x",
+    box = points.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))  # one row
+    y, x = F.floor(F.col("id") / nx).cast("int"), (F.col("id") % nx).cast("int")
+    cells = points.sparkSession.range(ny * nx).select(F.col("id").alias("target_id"), y.alias("y"), x.alias("x"))
+    return cells.crossJoin(F.broadcast(box)).select(
+        "target_id", "y", "x",
         (F.col("b") - (F.col("b") - F.col("a")) * F.col("y") / max(1, ny - 1)).alias("lat"), (F.col("c") + (F.col("d") - F.col("c")) * F.col("x") / max(1, nx - 1)).alias("lon"),
     )
 
 
-def resample_nearest(pixels: DataFrame, aux: DataFrame, ny: int, nx: int, radius: float = 60.0, value: str = "cph", fill: float = -1.0) -> DataFrame:
-    """Frames on a regular grid: the index map is found once from ``aux`` (y, x, lat, lon), each frame is an equi join."""
+def resample_nearest(
+    pixels: DataFrame, aux: DataFrame, ny: int, nx: int, radius: float = 60.0, value: str = "cph", fill: float = -1.0, cell_block: int = 10_000, frame_block: int = 1_000
+) -> DataFrame:
+    """Frames on a regular grid: each cell of each frame has the value of the nearest place of ``aux`` (y, x, lat, lon) within ``radius`` km.
+
+    The index map is found once. Values come to the cells that map to their place by an equi join; all cells of all frames, which the
+    result has, are dealt in blocks of about ``frame_block`` frames by ``cell_block`` cells. Cells without a place or a value have ``fill``.
+    """
     points = aux.select(F.struct("y", "x").alias("source_id"), "lat", "lon")
     grid = regular_grid(points, ny, nx)
-    to = nearest_within(grid.select("target_id", "lat", "lon"), points, radius).join(grid.select("target_id", F.col("y").alias("gy"), F.col("x").alias("gx")), "target_id")
+    to = nearest_within(grid.select("target_id", "lat", "lon"), points, radius).select("target_id", "source_id")
+    to = to.withColumn("gy", F.floor(F.col("target_id") / nx).cast("int")).withColumn("gx", (F.col("target_id") % nx).cast("int"))
+    there = pixels.select(*FRAME, F.struct("y", "x").alias("source_id"), value).join(to.where("source_id IS NOT NULL"), "source_id")
     frames = pixels.select(*FRAME).distinct()
-    there = pixels.select(*FRAME, F.struct("y", "x").alias("source_id"), value)
-    cells = frames.crossJoin(F.broadcast(to.select("gy", "gx", "source_id"))) if to.count() <= 1_000_000 else frames.withColumn("k", F.lit(1)).join(to.select("gy", "gx", "source_id").withColumn("k", F.lit(1)), "k").drop("k")
-    return cells.join(there, [*FRAME, "source_id"], "left").select(*FRAME, F.col("gy").alias("y"), F.col("gx").alias("x"), F.coalesce(value, F.lit(fill)).alias(value))
+    parts, turns = -(-ny * nx // cell_block), max(1, -(-frames.count() // frame_block))
+    block = F.sequence(F.lit(0), F.lit(parts - 1))
+    dealt = frames.withColumn("turn", F.pmod(F.xxhash64(*FRAME), F.lit(turns)).cast("int")).withColumn("part", F.explode(block))
+    cells = to.select("gy", "gx", F.pmod("target_id", F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    every = dealt.join(cells, ["turn", "part"]).select(*FRAME, "gy", "gx")
+    out = every.join(there.select(*FRAME, "gy", "gx", value), [*FRAME, "gy", "gx"], "left")
+    return out.select(*FRAME, F.col("gy").alias("y"), F.col("gx").alias("x"), F.coalesce(value, F.lit(fill)).alias(value))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,25 +63,51 @@ def moving_mean(seq: DataFrame, width: int, mode: str = "valid") -> DataFrame:
     return seq.withColumn("m", (inner + lack) / width)
 
 
-#: Weights of the window-5, order-2 least squares parabola (over 35), for the value at each place of the window.
-SAVGOL = {0: (31, 9, -3, -5, 3), 1: (9, 13, 12, 6, -5), 2: (-3, 12, 17, 12, -3), 3: (-5, 6, 12, 13, 9), 4: (3, -5, -3, 9, 31)}
-
-
-def savgol(seq: DataFrame) -> DataFrame:
-    """Add ``m``: Savitzky-Golay smoothing, window 5, order 2, ends from the parabola of the end window.
+def savgol_weights(window: int, order: int) -> dict[int, tuple[list[int], int]]:
+    """For each place of a window the weights of its values in the least squares polynomial's value there, as whole numbers over one denominator.
 
-    Sequences of fewer than five values stay as they are.
+    The value of an inner row is taken at the window's centre: key -1, which is between two places if the window is even.
     """
-    n = F.count("*").over(_all())
-    place = F.when(F.col("idx") < 2, F.col("idx")).when(F.col("idx") > n - 3, F.col("idx") - n + 5).otherwise(2)
-
-    def at(k: int) -> Column:
-        terms = [w * (F.lead("v", j - k).over(_by()) if j > k else F.lag("v", k - j).over(_by()) if j < k else F.col("v")) for j, w in enumerate(SAVGOL[k])]
-        return sum(terms[1:], terms[0]) / 35
-
-    smooth = F.when(n < 5, F.col("v"))
-    for k in SAVGOL:
-        smooth = smooth.when(place == k, at(k))
+    places = [Fraction(2 * i - window + 1, 2) for i in range(window)]
+    # an orthogonal basis over the places, by Gram and Schmidt; the weights at x are sums of its products
+    basis: list[list[Fraction]] = []
+    dot = lambda f, g: sum((x * y for x, y in zip(f, g, strict=True)), Fraction(0))
+    points = [*places, Fraction(0)]
+    for k in range(order + 1):
+        f = [x**k for x in points]
+        for g in basis:
+            part = dot(f[:window], g[:window]) / dot(g[:window], g[:window])
+            f = [x - part * y for x, y in zip(f, g, strict=True)]
+        basis.append(f)
+    out = {}
+    for i in range(window + 1):
+        weights = [sum((g[i] * g[j] / dot(g[:window], g[:window]) for g in basis), Fraction(0)) for j in range(window)]
+        whole = math.lcm(*(w.denominator for w in weights))
+        out[i if i < window else -1] = [int(w * whole) for w in weights], whole
+    return dict(sorted(out.items()))
+
+
+def savgol(seq: DataFrame, window: int = 5, order: int = 2) -> DataFrame:
+    """Add ``m``: Savitzky-Golay smoothing; the first and last half window are on the polynomial of the end window.
+
+    An even window reaches one value further after its row than before it, and gives the polynomial's value between the two middle ones.
+    Sequences shorter than the window stay as they are.
+    """
+    if not 0 <= order < window:
+        raise ValueError("the order must be less than the window")
+    half, n = window // 2, F.count("*").over(_all())
+    before = half if window % 2 else half - 1
+    place = F.when(F.col("idx") < half, F.col("idx")).when(F.col("idx") >= n - half, F.col("idx") - n + window).otherwise(-1)
+
+    def at(k: int, weights: list[int], whole: int) -> Column:
+        own = before if k < 0 else k
+        terms = [w * (F.lead("v", j - own).over(_by()) if j > own else F.lag("v", own - j).over(_by()) if j < own else F.col("v")) for j, w in enumerate(weights)]
+        return sum(terms[1:], terms[0]) / whole
+
+    smooth = F.when(n < window, F.col("v"))
+    for k, weights in savgol_weights(window, order).items():
+        if k < half or k >= window - half:
+            smooth = smooth.when(place == k, at(k, *weights))
     return seq.withColumn("m", smooth)
 
 
@@ -111,33 +140,36 @@ def resample_to_peak(arrays: DataFrame, points: int = 100, name: str = "history"
     return out.withColumn("normalised", F.when(flat, F.array_repeat(F.lit(0.0), points)).otherwise(resample(F.col("__part"), points))).drop("__part")
 
 
-def peaks(seq: DataFrame) -> DataFrame:
-    """``key, idx, value, persistence``: local maxima with their 0-dimensional persistence.
-
-    A plateau counts once, at its first place. The elder on the left is the nearest higher value, on the right the
-    nearest that is higher, or equal with a lower value in between; the persistence is the
-    height over the higher of the two lowest points on the way, infinite without elders.
-    """
-    arrays = histories(seq)
-    v = F.col("history")
-    n = F.size(v)
+def peak_arrays(arrays: DataFrame, name: str = "history") -> DataFrame:
+    """Add ``peaks``, an array of ``idx, value, persistence`` as peaks() defines them, found inside each row."""
+    v, n = F.col(name), F.size(name)
     up = lambda x, i: (i == 0) | (F.get(v, i - 1) < x)
     down = lambda x, i: (i == n - 1) | (F.get(v, i + 1) <= x)
     tops = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("idx"), x.alias("value"), (up(x, i) & down(x, i)).alias("top"))), lambda p: p["top"])
-    rows = arrays.withColumn("p", F.explode(tops)).select("key", "history", "p.idx", "p.value")
-    left = F.reverse(F.slice(v, F.lit(1), F.col("idx")))
-    right = F.slice(v, F.col("idx") + 2, F.greatest(n - F.col("idx"), F.lit(1)))
-    rows = rows.withColumn("left", left).withColumn("right", right)
 
-    def key_of(side: str, equal: bool) -> Column:
+    def lowest(side: Column, value: Column, equal: bool) -> Column:
         """Lowest value before the nearest elder, null without one."""
-        start = F.struct(F.col("value").alias("low"), F.lit(False).alias("found"))
+        start = F.struct(value.alias("low"), F.lit(False).alias("found"))
 
         def step(s: Column, x: Column) -> Column:
-            elder = (x > F.col("value")) | ((x == F.col("value")) & (s["low"] < F.col("value")) if equal else F.lit(False))
+            elder = (x > value) | ((x == value) & (s["low"] < value) if equal else F.lit(False))
             return F.struct(F.when(s["found"] | elder, s["low"]).otherwise(F.least(s["low"], x)).alias("low"), (s["found"] | elder).alias("found"))
 
         return F.aggregate(side, start, step, lambda s: F.when(s["found"], s["low"]))
 
-    saddle = F.greatest(key_of("left", False), key_of("right", True))
-    return rows.select("key", "idx", "value", F.when(saddle.isNull(), F.lit(float("inf"))).otherwise(F.col("value") - saddle).alias("persistence"))
+    def peak(p: Column) -> Column:
+        left, right = F.reverse(F.slice(v, F.lit(1), p["idx"])), F.slice(v, p["idx"] + 2, F.greatest(n - p["idx"], F.lit(1)))
+        saddle = F.greatest(lowest(left, p["value"], False), lowest(right, p["value"], True))
+        return F.struct(p["idx"].alias("idx"), p["value"].alias("value"), F.when(saddle.isNull(), F.lit(float("inf"))).otherwise(p["value"] - saddle).alias("persistence"))
+
+    return arrays.withColumn("peaks", F.transform(tops, peak))
+
+
+def peaks(seq: DataFrame) -> DataFrame:
+    """``key, idx, value, persistence``: local maxima with their 0-dimensional persistence.
+
+    A plateau counts once, at its first place. The elder on the left is the nearest higher value, on the right the
+    nearest that is higher, or equal with a lower value in between; the persistence is the
+    height over the higher of the two lowest points on the way, infinite without elders.
+    """
+    return peak_arrays(histories(seq)).select("key", F.inline("peaks"))

@@ -65,6 +65,22 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
     return [lo + (hi - lo) * i / (n - 1) for i in range(n)]
 
 
+def histogram_even(df: DataFrame, column: str, lo: float, hi: float, bins: int, by: Sequence[str] = (), normalise: bool = False, log: bool = False) -> DataFrame:
+    """As histogram(), over ``bins`` of equal width from ``lo`` to ``hi``; with ``log`` over exponents of ten, ``lo`` and ``hi`` being exponents too.
+
+    A value's bin is computed, so their number doesn't lengthen the plan.
+    """
+    c = F.log10(column) if log else F.col(column)
+    step = (hi - lo) / bins
+    number = F.when((c >= lo) & (c <= hi), F.least(F.floor((c - lo) / step), F.lit(bins - 1)))
+    out = df.withColumn("bin", number.cast("int")).where(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    edge = lambda k: F.pow(F.lit(10.0), lo + k * step) if log else lo + k * step
+    out = out.withColumn("lo", edge(F.col("bin"))).withColumn("hi", edge(F.col("bin") + 1))
+    if normalise:
+        out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
+    return out
+
+
 def edge_variance_hist(arrays: DataFrame, history: str = "history", bins: int = 9, top: float = 0.2) -> DataFrame:
     """Histogram of the population variance of the first four values."""
     return histogram(arrays.withColumn("__v", arr_var_pop(head(F.col(history)))), "__v", linspace(0.0, top, bins + 1))
@@ -103,18 +119,53 @@ def lat_bin(lat: Column) -> Column:
 
 
 def trim_extremes(df: DataFrame, by: list[str], column: str, drop: int = 2, tie: str = "key") -> DataFrame:
-    """Without the ``drop`` smallest and largest rows of each group that has more than twice as many."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(column, tie)))
-    return out.where((F.col("__n") <= 2 * drop) | ((F.col("__i") > drop) & (F.col("__i") <= F.col("__n") - drop))).drop("__n", "__i")
+    """Without the ``drop`` smallest and largest rows of each group that has more than twice as many; ``tie`` names a row within its group.
+
+    Each task finds the extremes of its own rows, so a group meets in one task with a few rows of each; those to drop,
+    ``2 * drop`` of a group, go back by broadcast.
+    """
+    few = df.select(*by, column, tie)
+    ends = []
+    for order in ((F.col(column).asc(), F.col(tie).asc()), (F.col(column).desc(), F.col(tie).desc())):
+        ends.append(few.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__i") <= drop).drop("__i"))
+    large = few.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > 2 * drop).drop("__n")
+    extreme = ends[0].unionByName(ends[1]).join(F.broadcast(large), by, "left_semi").select(*by, tie).distinct()
+    return df.join(F.broadcast(extreme), [*by, tie], "left_anti")
+
+
+def exact_medians(df: DataFrame, by: str, columns: Sequence[str], parts: int = 1024) -> DataFrame:
+    """``by`` and ``<column>_median``: exact medians of few groups with many rows.
+
+    Rows are counted in ``parts`` equal intervals of each group's range; only the one or two intervals that hold the middle rows are
+    ordered, by distinct value.
+    """
+    out = df.select(by).distinct()
+    for c in columns:
+        rows = df.select(by, F.col(c).cast("double").alias("v")).where("v IS NOT NULL")
+        box = rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(0)
+        cut = rows.join(F.broadcast(box), by).withColumn("part", part.cast("int"))
+        upto = Window.partitionBy(by).orderBy("part")
+        counts = cut.groupBy(by, "part", "n").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(upto) - F.col("c"))
+        first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+        middle = counts.where((F.col("before") < last) & (F.col("before") + F.col("c") >= first)).select(by, "part", "before")
+        inner = cut.join(F.broadcast(middle), [by, "part"]).groupBy(by, "n", "before", "v").agg(F.count("*").alias("c"))
+        inner = inner.groupBy(by, "n", "v").agg(F.min("before").alias("before"), F.sum("c").alias("c"))
+        base = F.min("before").over(Window.partitionBy(by))
+        inner = inner.withColumn("to", base + F.sum("c").over(Window.partitionBy(by).orderBy("v")))
+        low, high = F.min(F.when(F.col("to") >= first, F.col("v"))), F.min(F.when(F.col("to") >= last, F.col("v")))
+        out = out.join(inner.groupBy(by).agg(((low + high) / 2).alias(f"{c}_median")), by, "left")
+    return out
 
 
 def latitude_profile(clouds: DataFrame, size: str = "avg_size_km", pixels: str = "avg_size_px", trim: int = 2) -> DataFrame:
     """Number, sums, mean and medians of sizes per latitude bin, extremes trimmed; empty bins are there with 0."""
     rows = trim_extremes(clouds.withColumn("lat_bin", lat_bin(F.col("avg_lat"))).where("lat_bin IS NOT NULL"), ["lat_bin"], size, trim)
     stats = rows.groupBy("lat_bin").agg(
-        F.count("*").alias("n_clouds"), F.sum(size).alias("area_sum"), F.sum(pixels).alias("px_sum"), F.avg(size).alias("area_avg"), F.median(size).alias("area_median"), F.median(pixels).alias("px_median")
+        F.count("*").alias("n_clouds"), F.sum(size).alias("area_sum"), F.sum(pixels).alias("px_sum"), F.avg(size).alias("area_avg")
     )
+    medians = exact_medians(rows, "lat_bin", [size, pixels]).withColumnsRenamed({f"{size}_median": "area_median", f"{pixels}_median": "px_median"})
+    stats = stats.join(F.broadcast(medians), "lat_bin")
     bins = clouds.sparkSession.createDataFrame([(e,) for e in LAT_EDGES[1:]], "lat_bin int")
     return bins.join(stats, "lat_bin", "left").na.fill(0, ["n_clouds", "area_sum", "px_sum"])
 
@@ -144,9 +195,11 @@ def noise_rmse(smoothed: DataFrame, lo: float = 0.1, hi: float = 0.9) -> DataFra
 
 def cohort_means(clouds: DataFrame, events: DataFrame, columns: list[str], key: str = "key") -> DataFrame:
     """Means over all clouds and over those with events."""
-    all_ = clouds.agg(*(F.avg(c).alias(c) for c in columns)).withColumn("cohort", F.lit("all"))
-    some = clouds.join(events.select(key).distinct(), key, "left_semi").agg(*(F.avg(c).alias(c) for c in columns)).withColumn("cohort", F.lit("glaciating"))
-    return all_.unionByName(some)
+    hit = events.select(key).distinct().withColumn("__hit", F.lit(True))
+    both = clouds.select(key, *columns).join(hit, key, "left")
+    some = lambda c: F.avg(F.when(F.col("__hit"), F.col(c))).alias(c)
+    row = both.agg(*(F.struct(*(f(c) for c in columns), F.lit(name).alias("cohort")).alias(name) for name, f in (("all", lambda c: F.avg(c).alias(c)), ("glaciating", some))))
+    return row.select(F.inline(F.array("all", "glaciating")))
 
 
 def gap_audit(clouds: DataFrame, history: str = "history", step_h: float = 0.25) -> DataFrame:

@@ -80,6 +80,13 @@ def merges_and_splits(tracks: DataFrame, links: DataFrame) -> DataFrame:
     return merge.unionByName(split).distinct()
 
 
+def track_status(tracks: DataFrame, links: DataFrame) -> DataFrame:
+    """``track_id, start_status, end_status``: whether a track appears new or splits from another one, and is gone or merges into another one in the end."""
+    kinds = merges_and_splits(tracks, links).groupBy(F.col("side").alias("track_id")).agg(F.bool_or(F.col("kind") == "split").alias("s"), F.bool_or(F.col("kind") == "merge").alias("m"))
+    out = tracks.select("track_id").distinct().join(kinds, "track_id", "left")
+    return out.select("track_id", F.when(F.col("s"), "split").otherwise("new").alias("start_status"), F.when(F.col("m"), "merged").otherwise("gone").alias("end_status"))
+
+
 def filter_tracks(tracks: DataFrame, links: DataFrame, least: int = 4, most: int = 1000) -> DataFrame:
     """Tracks of ``least`` to ``most`` frames; shorter ones stay if they merge or split."""
     n = track_stats(tracks).select("track_id", "n_frames").where(F.col("n_frames") <= most)

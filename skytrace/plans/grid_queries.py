@@ -268,6 +268,24 @@ def c1(spark, sf):
     return G.nearest_within(targets, sources, 300.0).select("target_id", F.round("km", 4).alias("km"), F.col("source_id").isNotNull().alias("found"))
 
 
+#: Places of the cells of the 60 x 60 grid, a quarter of them beyond the radius of all cells of the regular grid.
+AUX = """aux AS (SELECT DISTINCT y, x, y * 0.7::DOUBLE + (x % 7) * 0.05::DOUBLE + 40 AS lat, x * 0.9::DOUBLE + (y % 5) * 0.06::DOUBLE - 20 AS lon FROM pixels)"""
+
+
+@query(
+    "c1_resample_nearest",
+    f"""WITH {PIXELS}, {AUX}, box AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM aux),
+grid AS (SELECT gy, gx, b - (b - a) * gy / 23 AS lat, c + (d - c) * gx / 29 AS lon FROM box, unnest(range(24)) AS t(gy), unnest(range(30)) AS u(gx)),
+dist AS (SELECT gy, gx, aux.y, aux.x, 2 * 6371.0088::DOUBLE * asin(sqrt(least(power(sin(radians(aux.lat - grid.lat) / 2), 2) + cos(radians(grid.lat)) * cos(radians(aux.lat)) * power(sin(radians(aux.lon - grid.lon) / 2), 2), 1.0))) AS km FROM grid, aux),
+near AS (SELECT gy, gx, y, x FROM dist WHERE km <= 30 QUALIFY row_number() OVER (PARTITION BY gy, gx ORDER BY km, y, x) = 1)
+SELECT pole, {SQL_TS}, gy AS y, gx AS x, coalesce(cph, -1.0::DOUBLE) AS cph FROM (SELECT DISTINCT pole, ts FROM pixels) CROSS JOIN grid LEFT JOIN near USING (gy, gx) LEFT JOIN pixels USING (pole, ts, y, x)""",
+)
+def c1_resample(spark, sf):
+    cells = pixels(spark, sf)
+    aux = cells.select("y", "x").distinct().select("y", "x", (F.col("y") * 0.7 + (F.col("x") % 7) * 0.05 + 40).alias("lat"), (F.col("x") * 0.9 + (F.col("y") % 5) * 0.06 - 20).alias("lon"))
+    return G.resample_nearest(cells, aux, 24, 30, 30.0).select("pole", ts(), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "cph")
+
+
 @query("g1_union_all", "SELECT c_nationkey AS nation, count(*) AS n FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1")
 def g1(spark, sf):
     out = T.union_all(table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")))

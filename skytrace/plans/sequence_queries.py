@@ -57,6 +57,20 @@ def e5(spark, sf):
     return S.savgol(seq(spark, sf)).select("key", F.col("idx").cast("long").alias("idx"), r("m"))
 
 
+EVEN = {0: (19, 3, -3, 1), 1: (3, 11, 9, -3), -1: (-1, 9, 9, -1), 2: (-3, 9, 11, 3), 3: (1, -3, 3, 19)}
+EVEN_SQL = "CASE k " + " ".join(f"WHEN {k} THEN {list(w)}" for k, w in EVEN.items()) + " END"
+
+
+@query(
+    "e5_savgol_even_window",
+    f"""WITH {ARRAYS}, p AS (SELECT key, history AS h, n, i, CASE WHEN i < 2 THEN i WHEN i >= n - 2 THEN i - n + 4 ELSE -1 END AS k, CASE WHEN i < 2 THEN 0 WHEN i >= n - 2 THEN n - 4 ELSE i - 1 END AS b FROM arrays, unnest(range(n)) AS t(i)),
+w AS (SELECT *, {EVEN_SQL} AS w FROM p)
+SELECT key, i AS idx, round(CASE WHEN n < 4 THEN h[i + 1] ELSE (w[1] * h[b + 1] + w[2] * h[b + 2] + w[3] * h[b + 3] + w[4] * h[b + 4]) / CASE WHEN k < 0 THEN 16 ELSE 20 END END, 9) AS m FROM w""",
+)
+def e5_even(spark, sf):
+    return S.savgol(seq(spark, sf), 4, 2).select("key", F.col("idx").cast("long").alias("idx"), r("m"))
+
+
 @query(
     "e6_first_rise",
     f"""WITH {SEQ}, l AS (SELECT key, idx, v, least(1.0::DOUBLE, coalesce(min(v) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE)) AS low FROM seq),
@@ -158,9 +172,17 @@ def i6(spark, sf):
     return out.select("key", "event_no", F.size("rates").alias("n_rates"), r("mean_rate", 6))
 
 
-@query("i7_smoothed_events")
+#: SEQ with the smoothed values of e5 in place of the values.
+SMOOTH_SEQ = """raw AS (SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx, least(value / 100, 1.0) AS v FROM events),
+rawa AS (SELECT key, list(v ORDER BY idx) AS history, CAST(count(*) AS INTEGER) AS n FROM raw GROUP BY key),
+sp AS (SELECT key, history AS h, n, i, CASE WHEN i < 2 THEN i WHEN i > n - 3 THEN i - n + 5 ELSE 2 END AS k FROM rawa, unnest(range(n)) AS t(i)),
+sw AS (SELECT *, CASE k WHEN 0 THEN [31, 9, -3, -5, 3] WHEN 1 THEN [9, 13, 12, 6, -5] WHEN 2 THEN [-3, 12, 17, 12, -3] WHEN 3 THEN [-5, 6, 12, 13, 9] ELSE [3, -5, -3, 9, 31] END AS w FROM sp),
+seq AS (SELECT key, CAST(i AS INTEGER) AS idx, round(CASE WHEN n < 5 THEN h[i + 1] ELSE (w[1] * h[i - k + 1] + w[2] * h[i - k + 2] + w[3] * h[i - k + 3] + w[4] * h[i - k + 4] + w[5] * h[i - k + 5]) / 35 END, 9) AS v FROM sw)"""
+
+
+@query("i7_smoothed_events", f"WITH RECURSIVE {EVENTS.replace(SEQ, SMOOTH_SEQ)} SELECT key, event_no, start_idx, peak_idx, round(magnitude, 9) AS magnitude FROM found")
 def i7(spark, sf):
-    smooth = S.savgol(seq(spark, sf)).select("key", "idx", F.col("m").alias("v"))
+    smooth = S.savgol(seq(spark, sf)).select("key", "idx", F.round("m", 9).alias("v"))  # rounded, so that equal values are equal in the SQL too
     return E.glaciation_events(smooth).select("key", "event_no", "start_idx", "peak_idx", r("magnitude"))
 
 

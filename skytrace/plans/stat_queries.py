@@ -73,6 +73,19 @@ def d19(spark, sf):
     return X.histogram(clouds(spark, sf), "lifetime_h", [0, 1, 2, 5, 10], ["hemisphere"], True).select("hemisphere", "bin", "n", r("share", 9))
 
 
+@query(
+    "d19_histogram_even",
+    f"""WITH {CLOUDS}, e AS (SELECT hemisphere, 'even' AS kind, CAST(least(floor((lifetime_h - 0.1::DOUBLE) / ((9.9::DOUBLE - 0.1::DOUBLE) / 14)), 13) AS INTEGER) AS bin FROM clouds WHERE lifetime_h BETWEEN 0.1::DOUBLE AND 9.9::DOUBLE
+  UNION ALL SELECT hemisphere, 'log', CAST(least(floor((log10(avg_size_km) - 3) / 0.25::DOUBLE), 9) AS INTEGER) FROM clouds WHERE avg_size_km > 0 AND log10(avg_size_km) BETWEEN 3 AND 5.5),
+h AS (SELECT hemisphere, kind, bin, count(*) AS n FROM e GROUP BY ALL) SELECT hemisphere, kind, bin, n, round(n / sum(n) OVER (PARTITION BY hemisphere, kind), 9) AS share FROM h""",
+)
+def d19_even(spark, sf):
+    rows = clouds(spark, sf)
+    even = X.histogram_even(rows, "lifetime_h", 0.1, 9.9, 14, ["hemisphere"], True).withColumn("kind", F.lit("even"))
+    log = X.histogram_even(rows, "avg_size_km", 3, 5.5, 10, ["hemisphere"], True, log=True).withColumn("kind", F.lit("log"))
+    return even.unionByName(log).select("hemisphere", "kind", "bin", "n", r("share", 9))
+
+
 def _cascade(measure: str, lo: int, hi: int, bins: int) -> str:
     return f"""{CLOUDS}, casc AS (SELECT threshold, bin, count(*) AS n FROM (SELECT threshold, CAST(ceil((log10({measure} * lifetime_h) - {lo}) / ({hi - lo}.0::DOUBLE / {bins})) - 1 AS INTEGER) AS bin FROM clouds, (VALUES (0.0::DOUBLE), (1.0), (2.0), (4.0)) t(threshold) WHERE lifetime_h > threshold) WHERE bin BETWEEN 0 AND {bins - 1} GROUP BY ALL),
 cascade AS (SELECT *, {lo} + (bin + 0.5::DOUBLE) * ({hi - lo}.0::DOUBLE / {bins}) AS center, n / sum(n) OVER (PARTITION BY threshold) AS p FROM casc)"""
@@ -134,6 +147,19 @@ def d27(spark, sf):
     return X.noise_rmse(S.moving_mean(seq(spark, sf), 5)).select(r("rmse"), "n")
 
 
+@query(
+    "d27_noise_smoothed",
+    f"""WITH {ARRAYS}, p AS (SELECT key, history AS h, n, i, CASE WHEN i < 2 THEN i WHEN i > n - 3 THEN i - n + 5 ELSE 2 END AS k FROM arrays, unnest(range(n)) AS t(i) WHERE list_max(history) - list_min(history) >= 0.3 AND n * 0.25 >= 2),
+w AS (SELECT *, CASE k WHEN 0 THEN [31, 9, -3, -5, 3] WHEN 1 THEN [9, 13, 12, 6, -5] WHEN 2 THEN [-3, 12, 17, 12, -3] WHEN 3 THEN [-5, 6, 12, 13, 9] ELSE [3, -5, -3, 9, 31] END AS w FROM p),
+s AS (SELECT h[i + 1] AS v, CASE WHEN n < 5 THEN h[i + 1] ELSE (w[1] * h[i - k + 1] + w[2] * h[i - k + 2] + w[3] * h[i - k + 3] + w[4] * h[i - k + 4] + w[5] * h[i - k + 5]) / 35 END AS m FROM w)
+SELECT round(sqrt(sum(power(v - m, 2)) / count(*)), 6) AS rmse, count(*) AS n FROM s WHERE v > 0.1 AND v < 0.9""",
+)
+def d27_smoothed(spark, sf):
+    """The noise of smoothed histories that swing by 0.3 and last two hours."""
+    kept = arrays(spark, sf).where((F.array_max("history") - F.array_min("history") >= 0.3) & (F.size("history") * 0.25 >= 2))
+    return X.noise_rmse(S.savgol(S.steps(kept))).select(r("rmse"), "n")
+
+
 @query("d28_cohort_means", f"WITH {GLACIATING} SELECT 'all' AS cohort, round(avg(avg_size_km), 4) AS avg_size_km, round(avg(lifetime_h), 6) AS lifetime_h FROM clouds UNION ALL SELECT 'glaciating', round(avg(avg_size_km), 4), round(avg(lifetime_h), 6) FROM clouds WHERE key IN (SELECT key FROM glaciating)")
 def d28(spark, sf):
     return X.cohort_means(clouds(spark, sf), glaciating(spark, sf), ["avg_size_km", "lifetime_h"]).select("cohort", r("avg_size_km", 4), r("lifetime_h"))

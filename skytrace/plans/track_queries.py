@@ -97,6 +97,16 @@ def j9(spark, sf):
     return T.track_stats(_tracked(spark, sf)[2]).select("track_id", "n_frames", ts("start"), "duration_h")
 
 
+@query(
+    "j9_track_status",
+    f"""WITH RECURSIVE {TRACKS} SELECT track_id, CASE WHEN bool_or(kind = 'split') THEN 'split' ELSE 'new' END AS start_status, CASE WHEN bool_or(kind = 'merge') THEN 'merged' ELSE 'gone' END AS end_status
+FROM stats LEFT JOIN joins ON side = track_id GROUP BY 1""",
+)
+def j9_status(spark, sf):
+    _, links, tracks = _tracked(spark, sf)
+    return T.track_status(tracks, links)
+
+
 @query("j10_map_tracks_to_cells", f"WITH RECURSIVE {TRACKS} SELECT pole, {SQL_TS}, id, track_id FROM labelled JOIN tracks USING (pole, ts, label)")
 def j10(spark, sf):
     cells, _, tracks = _tracked(spark, sf)

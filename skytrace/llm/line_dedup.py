@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytrace.sources.storage import written
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -48,7 +50,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.groupBy("a", "b").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs).select("a", "b", "keeper")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Drop lines that many documents share.
 
     A key of ``min_chars`` code points or more in ``min_docs`` distinct documents or more loses all
@@ -57,9 +59,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as one empty line and stays null if nothing is dropped; rows with a null id
     are never a keeper and are not counted as documents; repeated rows of one id count once and are treated
-    alike; columns of ``docs`` that clash with the two new ones are replaced.
+    alike; columns of ``docs`` that clash with the two new ones are replaced, and names that begin with two underscores are
+    the operator's own. An empty table gives an empty one. The work on a document grows with its lines times the different
+    lines it drops. Up to ``broadcast_rows`` repeated keys are broadcast, so that a very common line meets its documents where they are; more are
+    joined by shuffle.
     """
-    hot = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
+    hot = written(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "repeated-lines")
+    hot = F.broadcast(hot) if hot.count() <= broadcast_rows else hot
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     held = docs.select(
         F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.array_compact(line_hashes(lines, min_chars)))).alias("k")

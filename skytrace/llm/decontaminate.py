@@ -148,14 +148,15 @@ def decontaminate(
     window; an item without words is none. The benchmark is taken in blocks of about ``block_bytes``
     of text, spread by hash; only one block at a time is broadcast.
 
-    Null text has no words. Items with a null id mark words but are not listed. Repeated items
-    and documents are treated row by row. Columns of ``docs`` that clash with the new ones are replaced.
+    Null text has no words. Items with a null id mark words but are not listed. Repeated items count
+    once, documents are treated row by row; an empty benchmark marks nothing, and no documents give no rows. Columns of
+    ``docs`` that clash with the new ones are replaced. The time of a pass grows with the documents, and there is one per block.
     """
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "spans", "item_ids"]
     out = docs.drop(*new).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast(T.ArrayType(SPAN)).alias("spans"), F.array().cast("array<string>").alias("item_ids"))
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     for b in range(blocks):

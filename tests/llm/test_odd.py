@@ -46,6 +46,24 @@ def test_empty_table(spark, none, name):
     assert OPERATORS[name](spark, none).collect() == []
 
 
+#: Columns of an input that have the names of new ones.
+CLASHES = {
+    "html": ("n_chars",), "pieces": ("ids",), "digests": ("n_tokens", "ids_sha256"), "quality": ("kept", "n_words"), "decontaminate": ("spans", "item_ids", "n_hit"), "lines": ("n_lines", "n_dropped"),
+    "licenses": ("detections", "labels"), "jaccard": ("n_shingles", "component_id", "id"), "tokens": ("start", "n_tokens", "id"), "language": ("lang_pred", "score"),
+}
+
+
+@pytest.mark.parametrize("name", CLASHES)
+def test_clashing_names(spark, odd, name):
+    plain = odd.select("doc_id", "text", "lang")
+    clash = plain.select("*", *(F.lit("own").alias(c) for c in CLASHES[name]))
+    out, expected = OPERATORS[name](spark, clash), OPERATORS[name](spark, plain)
+    new = [c for c in CLASHES[name] if c in expected.columns]
+    assert len(set(out.columns)) == len(out.columns)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, out.select(new).collect())) == sorted(map(key, expected.select(new).collect()))
+
+
 def test_passages_of_odd_texts(spark, odd, none):
     assert repeated_passages(none).collect() == []
     twice = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100))

@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import sentencepiece
 from oracle import SF
+from pyspark.sql import functions as F
 
 
 def test_pipeline(spark):
@@ -23,3 +24,14 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_odd_and_empty_tables(spark, odd, none, tmp_path):
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"file://{tmp_path}/odd/benchmark.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(f"file://{tmp_path}/none/benchmark.parquet")
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in got} >= {4, 6, 7, 8} and not {r["doc_id"] for r in got} & {1, 2}
+    assert {r["doc_id"] for r in got if not r["round_trip"]} == {7}  # its space mark comes back as a blank
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").collect() == []

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skytrace.operators import events as E
 from skytrace.operators import features as J
 from skytrace.operators import lifecycle as L
+from skytrace.operators import sequences as S
+from skytrace.operators import stats as X
 from skytrace.operators import tracks as T
 from skytrace.sources.storage import written
+from skytrace.sources.tables import tagged
 
-from .encodings import PIXELS, pixels, table
+from .encodings import PIXELS, SEQ, pixels, table
 from .grid_queries import SQL_TS, ts
 from .registry import query
+from .sequence_queries import EVENTS
 
 CELL_AREA = 2.42 * 3 * 2.42 * 3
 LABELLED = f"""{PIXELS}, cells AS MATERIALIZED (SELECT pole, ts, y, x, y * 60 + x AS id FROM pixels WHERE cph BETWEEN 0.9 AND 2.1),
@@ -224,3 +229,26 @@ def d10(spark, sf):
 @query("f4_cap_cells", f"WITH RECURSIVE {LABELLED} SELECT pole, {SQL_TS}, label, least(n, 3) AS n FROM sizes")
 def f4(spark, sf):
     return J.cap_cells(_labelled(spark, sf), 3).groupBy("pole", ts(), label()).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- all of it: from pixels to the rate of rise events
+
+TRACK_SEQ = """seq AS (SELECT track_id AS key, CAST(row_number() OVER (PARTITION BY track_id ORDER BY ts) - 1 AS INTEGER) AS idx, v FROM (SELECT track_id, ts, avg(cph) - 1 AS v FROM tracks JOIN labelled USING (pole, ts, label)
+  JOIN (SELECT pole, ts, y * 60 + x AS id, cph FROM pixels) USING (pole, ts, id) GROUP BY ALL))"""
+
+
+@query(
+    "pixels_to_occurrence_rate",
+    f"""WITH RECURSIVE {TRACKS}, {EVENTS.replace(SEQ, TRACK_SEQ)}, hit AS (SELECT DISTINCT key FROM found),
+n AS (SELECT CASE WHEN pole = 'np' THEN 'North' ELSE 'South' END AS hemisphere, count(*) AS n_clouds, count(hit.key) AS n_glaciating FROM ids LEFT JOIN hit ON key = track_id GROUP BY 1)
+SELECT hemisphere, n_clouds, n_glaciating, round(100 * n_glaciating / n_clouds, 6) AS rate FROM n""",
+)
+def pixels_to_occurrence_rate(spark, sf):
+    """Label features, link them to tracks, summarise the tracks, find events in their histories, and count them by hemisphere."""
+    labelled, _, tracks = _tracked(spark, sf)
+    phase = pixels(spark, sf).select("pole", "ts", "y", "x", "cph")
+    cells = T.map_tracks_to_cells(labelled, tracks).select("pole", "ts", "y", "x", "track_id").join(phase, ["pole", "ts", "y", "x"])
+    records = L.track_records(L.step_records(L.attach_attributes(cells, _aux(spark), BOUNDARY)))
+    clouds = written(tagged(records).withColumnRenamed("track_id", "key"), "clouds")
+    events = E.glaciation_events(S.steps(clouds.select("key", F.col("ice_frac_hist").alias("history"))))
+    return X.occurrence_rate(clouds, events, ["hemisphere"]).select("hemisphere", "n_clouds", "n_glaciating", F.round("rate", 6).alias("rate"))

@@ -117,11 +117,11 @@ def first_rise(seq: DataFrame, delta: float = 0.2) -> DataFrame:
     The running minimum starts at 1 and covers earlier values; steps count from 1. Keys without a rise are left out;
     min_step is null if no earlier value was below 1.
     """
-    before = F.least(F.lit(1.0), F.min("v").over(_by().rowsBetween(Window.unboundedPreceding, -1)))
-    rows = seq.withColumn("low", F.coalesce(before, F.lit(1.0))).withColumn("threshold", F.col("low") + delta)
-    hit = rows.where("v >= threshold").groupBy("key").agg(F.min(F.struct("idx", "low", "threshold")).alias("t"))
-    place = seq.join(hit, "key").where("idx < t.idx AND v = t.low AND v < 1").groupBy("key").agg(F.min("idx").alias("at"))
-    return hit.join(place, "key", "left").select("key", (F.col("at") + 1).alias("min_step"), (F.col("t.idx") + 1).alias("trigger_step"), F.col("t.threshold").alias("threshold"))
+    before = F.min(F.struct("v", "idx")).over(_by().rowsBetween(Window.unboundedPreceding, -1))
+    rows = seq.withColumn("before", before).withColumn("low", F.least(F.lit(1.0), F.coalesce("before.v", F.lit(1.0))))
+    rows = rows.withColumn("threshold", F.col("low") + delta).withColumn("at", F.when(F.col("before.v") < 1, F.col("before.idx")))
+    hit = rows.where("v >= threshold").groupBy("key").agg(F.min(F.struct("idx", "at", "threshold")).alias("t"))
+    return hit.select("key", (F.col("t.at") + 1).alias("min_step"), (F.col("t.idx") + 1).alias("trigger_step"), F.col("t.threshold").alias("threshold"))
 
 
 def resample_history(arrays: DataFrame, points: int = 100, name: str = "history") -> DataFrame:

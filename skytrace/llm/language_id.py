@@ -25,7 +25,7 @@ _letters: dict[str, np.ndarray] = {}
 def _letter_table() -> np.ndarray:
     """Code point of the lower-cased letter for each code point; a blank for all that is no letter."""
     if "table" not in _letters:
-        table = np.full(0x110000, 32, np.int64)
+        table = np.full(0x110000, 32, np.int32)
         for c in map(chr, range(0x110000)):
             if c.isalpha():
                 low = c.lower()
@@ -36,7 +36,7 @@ def _letter_table() -> np.ndarray:
 
 def gram_codes(text: str) -> np.ndarray:
     """The n-grams of letters and single blanks, the text standing between blanks; empty if it has no letter."""
-    x = _letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    x = _letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     x = np.concatenate(([32], x, [32]))
     x = x[np.concatenate(([True], (x[1:] != 32) | (x[:-1] != 32)))]
     if len(x) < GRAM:

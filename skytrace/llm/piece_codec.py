@@ -219,14 +219,9 @@ class PieceCodec:
         return self.decode_words([",".join(map(str, ids))]) if ids else ""
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
-
-
 def _over(path: str, text: str, columns: list[str], make) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = PieceCodec(path)  # with its caches it goes at the end of the task, as the worker stays
         for batch in slices(batches, text):
             new = make(own, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], columns)
@@ -265,7 +260,7 @@ def decode_pieces(docs: DataFrame, path: str, ids_col: str = "ids", text_col: st
     schema = _with(docs.schema, [T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = PieceCodec(path)  # with its caches it goes at the end of the task, as the worker stays
         for batch in batches:
             new = pa.array([None if x is None else own.decode(x) for x in batch.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in schema.names], schema.names)

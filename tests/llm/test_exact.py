@@ -1,6 +1,7 @@
 """Queries against their SQL, and operators against plain versions on whole small tables."""
 
 import random
+import re
 import zlib
 
 import brute
@@ -16,7 +17,7 @@ from skytrace.llm import queries as Q
 from skytrace.operators.components import components
 from skytrace.llm.decontaminate import decontaminate
 from skytrace.llm.jaccard_join import jaccard_components
-from skytrace.llm.language_id import held_out, identify_language, prototypes
+from skytrace.llm.language_id import Space, gram_codes, held_out, identify_language, prototypes
 from skytrace.llm.piece_codec import PieceCodec, decode_pieces, encode_pieces
 from skytrace.llm.token_shards import CachedEncoder, Index, build_index, read_token_shards, write_token_shards
 
@@ -187,6 +188,23 @@ def test_language(spark):
     assert docs.where(held_out(F.col("doc_id"))).first()["doc_id"] is not None and zlib.crc32(b"12") % 4 == docs.select(F.crc32(F.lit("12").cast("binary")) % 4).first()[0]
 
 
+def test_language_profiles():
+    """Bundles of bound and permuted letters, n-gram by n-gram."""
+    texts = ["", " 1 2 ", "a", "Ab c", "Straße ǅ İx", "日本 語", "the cat -- the CAT, the mat", "x" * 200 + " yz" * 300]
+    for most in (60_000, 40):  # with a table that is emptied now and then too
+        space = Space(64, most)
+        for t in texts:
+            letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t)
+            letters = re.sub(" +", " ", f" {letters} ")
+            expected = np.zeros(64)
+            for i in range(len(letters) - 2):
+                a, b, c = (space._letter(ord(x)).astype(int) for x in letters[i : i + 3])
+                expected += np.roll(a, 2) * np.roll(b, 1) * c
+            codes = gram_codes(t)
+            got = space.profile(*np.unique(codes, return_counts=True), block=16)
+            assert len(codes) == max(0, len(letters) - 2) and np.array_equal(got, expected), t
+
+
 def test_round_trip(spark, docs):
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     out = decode_pieces(encode_pieces(rows, Q.PIECE_MODEL), Q.PIECE_MODEL)

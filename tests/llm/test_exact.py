@@ -19,6 +19,7 @@ from skytrace.llm.decontaminate import decontaminate
 from skytrace.llm.jaccard_join import jaccard_components
 from skytrace.llm.language_id import Space, gram_codes, held_out, identify_language, prototypes
 from skytrace.llm.piece_codec import PieceCodec, decode_pieces, encode_pieces
+from skytrace.llm.quality_rules import quality_rules
 from skytrace.llm.token_shards import CachedEncoder, Index, build_index, read_token_shards, write_token_shards
 
 
@@ -101,6 +102,16 @@ def test_quality_learns(spark):
     assert sum(r["kept"] == bool(r["quality"]) for r in got) >= 0.97 * len(got)
 
 
+def test_quality_of_other_labels(spark):
+    """Rules learned from half of the labels agree with the other half."""
+    folder = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality_rules(docs, labels.where(half)).where("NOT base_failed").join(labels.where(~half), "doc_id").select("kept", "quality").collect()
+    assert len(got) > 200 and sum(r["kept"] == bool(r["quality"]) for r in got) >= 0.95 * len(got)
+
+
 def test_licenses(spark, docs):
     for r in Q.op7_license_scan(spark, SF).join(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id").collect():
         n, count, first, last, labels = brute.phrases(r["text"])

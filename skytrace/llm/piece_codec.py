@@ -9,11 +9,11 @@ so the table is short and most words are found in a cache.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -57,6 +57,7 @@ class PieceCodec:
         self.rank = {x: 0 for x in words if len(x) == 1} | {x: r for r, x in enumerate(merged, 1)}
         self.inside = {x[i : i + 2] for x in merged for i in range(len(x) - 1)}
         self.parts: dict[str, tuple[str, str]] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for x in words:
             if len(x) == 1 or self._split(x):
@@ -82,7 +83,6 @@ class PieceCodec:
             left[i : i + 2] = [left[i] + left[i + 1]]
         return False
 
-    @functools.lru_cache(maxsize=1 << 18)  # noqa: B019
     def compatible(self, left: str, right: str) -> bool:
         """Whether BPE leaves the two pieces apart: at no time do the symbols at their border merge first.
 
@@ -106,10 +106,21 @@ class PieceCodec:
         if word not in self.rank and len(word) == 1:
             return [self.bytes[b] for b in word.encode()]
         last: list[str | None] = [None] * len(word)
+        fits = self.fits
         for end, piece in self.automaton.iter(word):
+            if last[end] is not None:
+                continue
             start = end - len(piece)
-            if last[end] is None and (start < 0 or (before := last[start]) is not None and self.compatible(before, piece)):
+            if start < 0:
                 last[end] = piece
+            elif (before := last[start]) is not None:
+                apart = fits.get((before, piece))
+                if apart is None:
+                    if len(fits) >= 1 << 17:
+                        fits.clear()
+                    apart = fits[before, piece] = self.compatible(before, piece)
+                if apart:
+                    last[end] = piece
         out, at = [], len(word) - 1
         while at >= 0:
             out.append(self.ids[last[at]])
@@ -222,7 +233,7 @@ class PieceCodec:
 def _over(path: str, text: str, columns: list[str], make) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceCodec(path)  # with its caches it goes at the end of the task, as the worker stays
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             new = make(own, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], columns)
 
@@ -245,7 +256,9 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", decoded_co
 
     def make(own: PieceCodec, texts: list[str | None]) -> dict[str, pa.Array]:
         words = [own.words(t or "") for t in texts]
-        new = {"ids": pa.array([[int(i) for w in x for i in w.split(",")] for x in words], pa.list_(pa.int32()))}
+        ids = [np.fromstring(",".join(x), np.int32, sep=",") for x in words]
+        offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+        new = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))}
         return new | ({decoded_col: pa.array([own.decode_words(x) for x in words], pa.string())} if decoded_col else {})
 
     schema = _with(docs.schema, fields)

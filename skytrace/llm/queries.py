@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_components
 from .language_id import held_out, identify_language, prototypes
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .personal_data import BASE, base_spans, count_of, find_personal_data, spans_text
 from .piece_codec import piece_digests
 from .quality_rules import quality_rules
 from .substring_dedup import repeated_passages
@@ -123,10 +124,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [count_of(kind).alias(f"n_{kind}") for kind in BASE]
+    return out.select("doc_id", *counts, digest(spans_text(base_spans())).alias("base_sha256"), spans_text(F.col("personal")).alias("spans"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_piece_codec, op3_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_license_scan, op8_jaccard_join, op9_token_shards, op10_language_id,
+        op13_personal_data,
     )
 }
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}

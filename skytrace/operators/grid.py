@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAME = ["pole", "ts"]
+#: What tells layers of frames apart, unless an operator is given more columns (such as the bounds of temperature bins).
+LAYER = ("pole",)
+BINNED = ("pole", "min_temp", "max_temp")
+FRAME = [*LAYER, "ts"]
 ZERO_C = 273.15
 
 

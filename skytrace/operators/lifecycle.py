@@ -1,11 +1,17 @@
-"""From the cells of tracked clouds to one record per cloud, in two aggregations: step, then track."""
+"""From the cells of tracked clouds to one record per cloud, in two aggregations: step, then track.
+
+A track is a ``track_id`` of a layer; ``layer`` names the columns that tell layers apart.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRACK = ["pole", "track_id"]
+from skytrace.operators.grid import LAYER
+
 #: Size of a degree of longitude at the equator, and of latitude, in km.
 DEGREE_KM = 111.321, 111.111
 
@@ -31,7 +37,7 @@ def _valid(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def step_records(cells: DataFrame, optional: list[str] = ()) -> DataFrame:
+def step_records(cells: DataFrame, optional: Sequence[str] = (), layer: Sequence[str] = LAYER) -> DataFrame:
     """One row per track and slot: phase, geometry, large pixels and optional variables.
 
     Ice fraction is the mean phase of cloudy cells less 1. Cells without an area count for the phase and ``size_px``
@@ -47,7 +53,7 @@ def step_records(cells: DataFrame, optional: list[str] = ()) -> DataFrame:
             (1 - F.count(v) / F.count("*")).alias(f"{c}_nan_frac"),
             F.try_divide(F.sum(v * a), F.sum(F.when(v.isNotNull(), a))).alias(c),
         ]
-    return cells.groupBy(*TRACK, "ts").agg(
+    return cells.groupBy(*layer, "track_id", "ts").agg(
         (F.avg(F.when(F.col("cph") >= 1, F.col("cph"))) - 1).alias("ice_frac"),
         F.coalesce(total, F.lit(0.0)).alias("size_km"),
         F.count("*").alias("size_px"),
@@ -62,14 +68,14 @@ def phase_class(water: Column) -> Column:
     return F.when(water > 0.9, "liquid").when(water > 0.1, "mixed").otherwise("ice")
 
 
-def step_geometry_regular(cells: DataFrame, lats: DataFrame, resolution: float) -> DataFrame:
+def step_geometry_regular(cells: DataFrame, lats: DataFrame, resolution: float, layer: Sequence[str] = LAYER) -> DataFrame:
     """Size of each step on a regular grid: degrees squared at the latitude of the rounded mean row. ``lats``: y, lat."""
-    steps = cells.groupBy(*TRACK, "ts").agg(F.count("*").alias("size_px"), F.rint(F.avg("y")).cast("int").alias("y"))
+    steps = cells.groupBy(*layer, "track_id", "ts").agg(F.count("*").alias("size_px"), F.rint(F.avg("y")).cast("int").alias("y"))
     km = F.lit(resolution * resolution * DEGREE_KM[0] * DEGREE_KM[1]) * F.col("size_px") * F.cos(F.radians("lat"))
     return steps.join(lats, "y").withColumn("size_km", km).drop("y")
 
 
-def track_records(steps: DataFrame, optional: list[str] = (), nan_limit: float = 0.1) -> DataFrame:
+def track_records(steps: DataFrame, optional: Sequence[str] = (), nan_limit: float = 0.1, layer: Sequence[str] = LAYER) -> DataFrame:
     """One record per track: sizes, phases, places, times, flags and histories.
 
     An optional variable is averaged over the steps with a share of missing cells under ``nan_limit``, and is
@@ -82,7 +88,7 @@ def track_records(steps: DataFrame, optional: list[str] = (), nan_limit: float =
     for c in optional:
         nan = F.col(f"{c}_nan_frac")
         extra += [F.avg(F.when(nan < nan_limit, F.col(c))).alias(f"avg_{c}"), F.bool_and(nan <= nan_limit).alias(f"is_{c}_valid_cloud")]
-    out = steps.groupBy(*TRACK).agg(
+    out = steps.groupBy(*layer, "track_id").agg(
         F.avg("size_km").alias("avg_size_km"), F.max("size_km").alias("max_size_km"), F.min("size_km").alias("min_size_km"),
         F.avg("size_px").alias("avg_size_px"), F.max("size_px").alias("max_size_px"), F.min("size_px").alias("min_size_px"),
         F.max("water_frac").alias("max_water_frac"), F.max("ice_frac").alias("max_ice_fraction"),

@@ -1,13 +1,16 @@
-"""Linking of features through time into tracks."""
+"""Linking of features through time into tracks. ``layer`` names the columns that tell layers apart; tracks stay within one."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.operators.components import components
-from skytrace.operators.features import FEATURE
-from skytrace.sources.storage import written
+from skytrace.operators.features import feature_key
+from skytrace.operators.grid import LAYER
+from skytrace.sources.storage import Scratch, written
 
 STEP = 15
 
@@ -16,19 +19,19 @@ def _later(ts: Column, minutes: int) -> Column:
     return ts + F.make_dt_interval(mins=F.lit(minutes))
 
 
-def link_features(labelled: DataFrame, step_minutes: int = STEP, max_gap_h: float = 0.3, least: float = 0.3, most: int = 30) -> DataFrame:
+def link_features(labelled: DataFrame, step_minutes: int = STEP, max_gap_h: float = 0.3, least: float = 0.3, most: int = 30, layer: Sequence[str] = LAYER) -> DataFrame:
     """``a, b`` (features as structs, b one or more steps later), ``overlap``, ``share_a``, ``share_b``.
 
     Features of frames no further apart than ``max_gap_h`` are linked if the cells they share are ``least`` of either;
     each keeps its ``most`` largest links forward.
     """
-    feature = F.struct(*FEATURE)
-    cells = labelled.select("pole", "ts", "y", "x", feature.alias("f"))
+    feature = F.struct(*feature_key(layer))
+    cells = labelled.select(*layer, "ts", "y", "x", feature.alias("f"))
     size = labelled.groupBy(feature.alias("f")).agg(F.count("*").alias("n"))
     out = None
     for k in range(1, int(max_gap_h * 60 // step_minutes) + 1):
-        later = cells.select("pole", _later(F.col("ts"), -k * step_minutes).alias("ts"), "y", "x", F.col("f").alias("b"))
-        pairs = cells.withColumnRenamed("f", "a").join(later, ["pole", "ts", "y", "x"]).groupBy("a", "b").agg(F.count("*").alias("overlap"))
+        later = cells.select(*layer, _later(F.col("ts"), -k * step_minutes).alias("ts"), "y", "x", F.col("f").alias("b"))
+        pairs = cells.withColumnRenamed("f", "a").join(later, [*layer, "ts", "y", "x"]).groupBy("a", "b").agg(F.count("*").alias("overlap"))
         out = pairs if out is None else out.unionByName(pairs)
     out = out.join(size.select(F.col("f").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("f").alias("b"), F.col("n").alias("n_b")), "b")
     out = out.withColumn("share_a", F.col("overlap") / F.col("n_a")).withColumn("share_b", F.col("overlap") / F.col("n_b"))
@@ -53,13 +56,14 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return rows.withColumn(name, F.col("__base") + F.col("__i").bitwiseAND((1 << 33) - 1) + 1).drop("__i", "__p", "__base")
 
 
-def assign_tracks(labelled: DataFrame, links: DataFrame) -> DataFrame:
+def assign_tracks(labelled: DataFrame, links: DataFrame, layer: Sequence[str] = LAYER) -> DataFrame:
     """``f`` (feature), ``track_id``: chains of mutual best links, numbered by their first feature."""
-    features = labelled.select(F.struct(*FEATURE).alias("f")).distinct()
+    order = ["ts", *layer, "label_y", "label_x"]
+    features = labelled.select(F.struct(*feature_key(layer)).alias("f")).distinct()
     comp = components(mutual_links(links).select("a", "b"))
     named = features.join(comp.withColumnRenamed("node", "f"), "f", "left").withColumn("comp", F.coalesce("comp", "f"))
-    first = named.groupBy("comp").agg(F.min(F.struct("f.ts", "f.pole", "f.label_y", "f.label_x")).alias("first")).select("comp", "first.*")
-    ids = numbered(first, "track_id", "ts", "pole", "label_y", "label_x")
+    first = named.groupBy("comp").agg(F.min(F.struct(*(f"f.{c}" for c in order))).alias("first")).select("comp", "first.*")
+    ids = numbered(first, "track_id", *order)
     return named.join(ids.select("comp", "track_id"), "comp").select("f", "track_id")
 
 
@@ -72,12 +76,17 @@ def track_stats(tracks: DataFrame, step_minutes: int = STEP) -> DataFrame:
 
 def merges_and_splits(tracks: DataFrame, links: DataFrame) -> DataFrame:
     """``side, main, kind, ts``: links between tracks. A track that ends in another merges, one that begins in another splits."""
+    return _sides(tracks, links).select("side", "main", "kind", "ts").distinct()
+
+
+def _sides(tracks: DataFrame, links: DataFrame) -> DataFrame:
+    """As merges_and_splits(), with the ``overlap`` of each link."""
     span = track_stats(tracks)
     side = links.join(tracks.select(F.col("f").alias("a"), F.col("track_id").alias("ta")), "a").join(tracks.select(F.col("f").alias("b"), F.col("track_id").alias("tb")), "b").where("ta <> tb")
     side = side.join(span.select(F.col("track_id").alias("ta"), F.col("end").alias("end_a")), "ta").join(span.select(F.col("track_id").alias("tb"), F.col("start").alias("start_b")), "tb")
-    merge = side.where("a.ts = end_a").select(F.col("ta").alias("side"), F.col("tb").alias("main"), F.lit("merge").alias("kind"), F.col("b.ts").alias("ts"))
-    split = side.where("b.ts = start_b").select(F.col("tb").alias("side"), F.col("ta").alias("main"), F.lit("split").alias("kind"), F.col("b.ts").alias("ts"))
-    return merge.unionByName(split).distinct()
+    merge = side.where("a.ts = end_a").select(F.col("ta").alias("side"), F.col("tb").alias("main"), F.lit("merge").alias("kind"), F.col("b.ts").alias("ts"), "overlap")
+    split = side.where("b.ts = start_b").select(F.col("tb").alias("side"), F.col("ta").alias("main"), F.lit("split").alias("kind"), F.col("b.ts").alias("ts"), "overlap")
+    return merge.unionByName(split)
 
 
 def track_status(tracks: DataFrame, links: DataFrame) -> DataFrame:
@@ -95,20 +104,55 @@ def filter_tracks(tracks: DataFrame, links: DataFrame, least: int = 4, most: int
     return tracks.join(keep.select("track_id"), "track_id", "left_semi")
 
 
-def link_merge_split(tracks: DataFrame, links: DataFrame, labelled: DataFrame, cell_area: float, side_h: float = 1.0, main_area: float = 100.0, main_h: float = 1.0) -> DataFrame:
-    """Short side tracks with the long main track that they merge into or split from; the main one must reach ``main_area`` km2."""
-    size = labelled.groupBy(F.struct(*FEATURE).alias("f")).agg((F.count("*") * cell_area).alias("area"))
+def _joinable(
+    joined: DataFrame, tracks: DataFrame, labelled: DataFrame, cell_area: float, side_h: float, main_area: float, main_h: float, layer: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Merges and splits of short side tracks with long and large main ones, and ``track_id, duration_h, area`` of all tracks."""
+    size = labelled.groupBy(F.struct(*feature_key(layer)).alias("f")).agg((F.count("*") * cell_area).alias("area"))
     area = tracks.join(size, "f").groupBy("track_id").agg(F.max("area").alias("area"))
-    span = track_stats(tracks).select("track_id", "duration_h")
-    out = merges_and_splits(tracks, links)
-    out = out.join(span.select(F.col("track_id").alias("side"), F.col("duration_h").alias("side_h")), "side").where(F.col("side_h") <= side_h)
-    main = span.join(area, "track_id").where((F.col("duration_h") >= main_h) & (F.col("area") >= main_area))
-    return out.join(main.select(F.col("track_id").alias("main")), "main", "left_semi").select("side", "main", "kind", "ts")
+    about = track_stats(tracks).select("track_id", "duration_h").join(area, "track_id")
+    short = about.where(F.col("duration_h") <= side_h).select(F.col("track_id").alias("side"))
+    main = about.where((F.col("duration_h") >= main_h) & (F.col("area") >= main_area)).select(F.col("track_id").alias("main"))
+    return joined.join(short, "side", "left_semi").join(main, "main", "left_semi"), about
 
 
-def map_tracks_to_cells(labelled: DataFrame, tracks: DataFrame) -> DataFrame:
+def link_merge_split(
+    tracks: DataFrame, links: DataFrame, labelled: DataFrame, cell_area: float, side_h: float = 1.0, main_area: float = 100.0, main_h: float = 1.0, layer: Sequence[str] = LAYER
+) -> DataFrame:
+    """Short side tracks with the long main track that they merge into or split from; the main one must reach ``main_area`` km2."""
+    return _joinable(merges_and_splits(tracks, links), tracks, labelled, cell_area, side_h, main_area, main_h, layer)[0].select("side", "main", "kind", "ts")
+
+
+def attach_merge_split(
+    tracks: DataFrame, links: DataFrame, labelled: DataFrame, cell_area: float, side_h: float = 1.0, main_area: float = 100.0, main_h: float = 1.0, layer: Sequence[str] = LAYER
+) -> DataFrame:
+    """``f, track_id, own_id``: tracks with side tracks under the id of their main one; ``own_id`` is the id they had.
+
+    Sides and mains are those of link_merge_split(). A side joins one main: that of its link with the largest overlap, the smaller id among
+    equals. A main may be a side of another; ids follow to the end. A side never joins a track that ranks below it (by duration, then area, then the smaller
+    id), so there are no circles.
+    """
+    joined, about = _joinable(_sides(tracks, links), tracks, labelled, cell_area, side_h, main_area, main_h, layer)
+    rank = F.struct("duration_h", "area", (-F.col("track_id")).alias("id"))
+    ranked = lambda name: about.select(F.col("track_id").alias(name), rank.alias(f"{name}_rank"))
+    up = joined.join(ranked("side"), "side").join(ranked("main"), "main").where("main_rank > side_rank")
+    best = up.groupBy("side").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "main")).alias("best")).select("side", F.col("best.main").alias("main"))
+    scratch = Scratch(tracks.sparkSession, "attached")
+    hops = scratch.write(best, "hops")
+    while True:  # each turn doubles how far a hop reaches
+        further = hops.select(F.col("side").alias("main"), F.col("main").alias("last"))
+        if hops.join(further, "main", "left_semi").isEmpty():
+            break
+        longer = scratch.write(hops.join(further, "main", "left").select("side", F.coalesce("last", "main").alias("main")), "hops")
+        scratch.drop(hops)
+        hops = longer
+    to = hops.select(F.col("side").alias("track_id"), F.col("main").alias("__main"))
+    return tracks.join(to, "track_id", "left").select("f", F.coalesce("__main", "track_id").alias("track_id"), F.col("track_id").alias("own_id"))
+
+
+def map_tracks_to_cells(labelled: DataFrame, tracks: DataFrame, layer: Sequence[str] = LAYER) -> DataFrame:
     """Cells with the track of their feature."""
-    return labelled.withColumn("f", F.struct(*FEATURE)).join(tracks, "f").drop("f")
+    return labelled.withColumn("f", F.struct(*feature_key(layer))).join(tracks.select("f", "track_id"), "f").drop("f")
 
 
 def cells_by_track(cells: DataFrame) -> DataFrame:

@@ -50,6 +50,29 @@ PIXELS = """pixels AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'np' ELSE 'sp' E
   FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2, 3, 4)"""
 
 
+def pixels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a 60 x 60 grid from all rows of ``lineitem``: a frame per 250 order keys and pole, so that frames grow with the table."""
+    t = table(spark, sf_dir, "lineitem")
+    return t.groupBy(
+        F.when(F.col("l_linestatus") == "O", "np").otherwise("sp").alias("pole"),
+        (F.to_timestamp(F.lit("2022-01-01 00:00:00")) + F.make_dt_interval(mins=F.floor(F.col("l_orderkey") / 250).cast("int") * 15)).alias("ts"),
+        (F.col("l_suppkey") % 60).cast("int").alias("y"),
+        (F.col("l_partkey") % 60).cast("int").alias("x"),
+    ).agg(
+        F.max(F.when(F.col("l_returnflag") == "N", 1.0).when(F.col("l_quantity") > 25, 2.0).otherwise(1.5)).alias("cph"),
+        F.min(273.15 - F.col("l_quantity") * 0.76).alias("ctt"),
+        F.max(F.round("l_extendedprice", 0) / 1000).alias("pixel_area"),
+    )
+
+
+PIXELS_ALL = """pixels AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'np' ELSE 'sp' END AS pole,
+    TIMESTAMP '2022-01-01 00:00:00' + to_minutes(CAST((l_orderkey // 250) * 15 AS INTEGER)) AS ts,
+    CAST(l_suppkey % 60 AS INTEGER) AS y, CAST(l_partkey % 60 AS INTEGER) AS x,
+    max(CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE WHEN l_quantity > 25 THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END) AS cph, min(273.15::DOUBLE - l_quantity * 0.76::DOUBLE) AS ctt,
+    max(round(l_extendedprice, 0) / 1000) AS pixel_area
+  FROM lineitem GROUP BY 1, 2, 3, 4)"""
+
+
 def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cloud per order."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")

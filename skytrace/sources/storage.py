@@ -64,8 +64,6 @@ class Scratch:
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((table, path))
-        # shuffle files go when the driver has forgotten the plan that made them, which nothing needs once the table is there
-        self.spark._jvm.java.lang.System.gc()
         return table
 
     def drop(self, *tables: DataFrame) -> None:

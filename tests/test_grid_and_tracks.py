@@ -1,8 +1,11 @@
 """Blocks, bins, features and tracks on small rasters."""
 
 import datetime
+import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skytrace.operators import features as J
 from skytrace.operators import grid as G
@@ -108,3 +111,51 @@ def test_nearest_wraps(spark):
         spark.createDataFrame([("a", 0.0, -179.9), ("b", 89.9, 180.0)], "source_id string, lat double, lon double"),
     )
     assert {r["target_id"]: r["source_id"] for r in near.collect()} == {1: "a", 2: "b", 3: None}
+
+
+def test_bins_are_layers(spark):
+    """A cell that lies in bins of two widths is in a feature of each, and features of different bins don't touch."""
+    cells = raster(spark, [(0, x) for x in range(4)]).withColumn("ctt", F.lit(G.ZERO_C) - F.when(F.col("x") < 2, 2.0).otherwise(7.0))
+    sliced = G.slice_by_temperature(cells, G.temp_bins(spark, [5, 10]))
+    got = {(r["min_temp"], r["max_temp"], r["x"]): r["label_x"] for r in J.label_features(sliced, layer=G.BINNED).collect()}
+    assert got == {(-5, 0, 0): 0, (-5, 0, 1): 0, (-10, -5, 2): 2, (-10, -5, 3): 2, **{(-10, 0, x): 0 for x in range(4)}}
+    both = sliced.unionByName(sliced.withColumn("ts", F.col("ts") + F.expr("INTERVAL 15 MINUTES")))
+    labelled = J.label_features(both, layer=G.BINNED)
+    links = T.link_features(labelled, layer=G.BINNED)
+    assert links.count() == 3 and links.where("a.min_temp <> b.min_temp OR a.max_temp <> b.max_temp").count() == 0
+    assert T.assign_tracks(labelled, links, G.BINNED).select("track_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_large_frames_are_labelled_alike(spark, connectivity):
+    """A frame in one task, and the same as a graph of runs; repeated cells, columns and null layers come through."""
+    rng = random.Random(connectivity)
+    rows = [(rng.choice(["np", None]), T0, rng.randrange(25), rng.randrange(25), 1.0, i) for i in range(900)]
+    cells = spark.createDataFrame(rows, "pole string, ts timestamp, y int, x int, cph double, own int").where("pole IS NOT NULL")
+    key = lambda df: sorted(map(tuple, df.select("own", "y", "x", "label_y", "label_x").collect()))
+    one, graph = (key(J.label_features(cells, connectivity, frame_cells=n)) for n in (10_000, 100))
+    assert one == graph and len(one) == cells.count()
+
+
+def test_frames_in_batches():
+    """Frames that cross batches, and a frame longer than a table should be."""
+    frames = [0] * 5 + [1] * 700 + [2] * 3 + [3]
+    table = pa.table({"pole": ["np"] * len(frames), "ts": pa.array(frames, pa.int32())})
+    parts = list(J._whole_frames(iter(table.to_batches(max_chunksize=64)), ["pole", "ts"], 100))
+    assert [t.column("ts").to_pylist() for t, _ in parts][0] == [0] * 5 and sum(t.num_rows for t, _ in parts) == len(frames)
+    assert all(len(set(t.column("ts").to_pylist())) == n[-1] + 1 for t, n in parts)
+
+
+def test_attached_tracks(spark):
+    """Side 3 joins 2, which joins 1; 4 could join 2 or 1 and takes the larger overlap; 5 is joined by none and joins none."""
+    feature = lambda track, step: ("np", T0 + datetime.timedelta(minutes=15 * step), track, 0)
+    life = {1: range(12), 2: range(6, 12), 3: range(9, 12), 4: range(2, 5), 5: range(2)}
+    schema = "f struct<pole:string,ts:timestamp,label_y:int,label_x:int>, track_id long"
+    tracks = spark.createDataFrame([(feature(t, s), t) for t, steps in life.items() for s in steps], schema)
+    cells = tracks.select("f.*", F.explode(F.sequence(F.lit(0), 20 - F.col("f.label_y"))).alias("x")).withColumn("y", F.col("label_y"))
+    splits = [(1, 5, 2, 6, 5), (2, 8, 3, 9, 2), (1, 8, 3, 9, 1), (1, 1, 4, 2, 1), (1, 4, 4, 5, 9)]
+    meets = [(feature(a, i), feature(b, j), n, 1.0, 1.0) for a, i, b, j, n in splits if j in life[b]] + [(feature(4, 4), feature(1, 5), 3, 1.0, 1.0)]
+    links = spark.createDataFrame(meets, schema.split(", track")[0].replace("f ", "a ", 1) + ", " + schema.split(", track")[0].replace("f ", "b ", 1) + ", overlap long, share_a double, share_b double")
+    out = T.attach_merge_split(tracks, links, cells, 10.0, side_h=2.0, main_h=0.5)
+    assert {(r["own_id"], r["track_id"]) for r in out.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    assert out.count() == tracks.count()

@@ -22,8 +22,9 @@ _POWERS = np.multiply.accumulate(np.full(4096, np.uint64(0xD1342543DE82EF95)))
 
 
 def byte_table(separators: bytes) -> np.ndarray:
-    """A 256-entry map: separators to 0, A-Z to a-z, the rest to itself."""
+    """A 256-entry map: separators to 0, A-Z to a-z, the rest to itself, but NUL, where it is no separator, to a byte that UTF-8 doesn't have."""
     table = np.arange(256, dtype=np.uint8)
+    table[0] = 0xFF
     table[ord("A") : ord("Z") + 1] += 32
     table[list(separators)] = 0
     return table

@@ -225,3 +225,9 @@ def test_round_trip(spark, docs):
 def test_no_languages(spark, odd):
     none = prototypes(odd.where("doc_id < 0"))
     assert none == {} and {r["lang_pred"] for r in identify_language(odd, none).collect()} == {"und"}
+
+
+def test_jaccard_takes_nul_as_a_letter(spark):
+    rows = [(1, "a\x00b c d e f"), (2, "a b c d e f"), (3, "a b c d e f"), (4, "\x00"), (5, "\x00"), (6, "\x00 x"), (7, "a\x00b c d e f")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (2, 2), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 1)}

@@ -2,11 +2,11 @@
 
 Pages are cut into blocks at block-level tags. The first pass decides a block by its length, the
 share of its characters in links, and its density of stop words. What these leave open, short blocks above all, gets the
-label of the nearest decided blocks before and after it in the second pass. Both passes work alike inside and outside of article and
-main elements, except that inside one open blocks look at their own element first, and are main text if nothing there is decided.
+label of the nearest decided blocks before and after it in the second pass. Both passes judge all blocks, wherever they stand. An article or main
+element is a prior: its blocks need less to be good, look for neighbours within it first, and are good if nothing there is decided; blocks outside of it look for neighbours outside.
 
 Elements that never hold main text (page footers, forms, scripts, ...) and elements that their class or id names as adverts, notices, comments and the like
-are left out, and on pages that mark their main text so is what stands outside of it.
+are left out before.
 """
 
 from __future__ import annotations
@@ -42,20 +42,19 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li dd dt td th".split())
 MAIN = frozenset(["article", "main"])
 #: Elements whose names inside main text may tell that they hold none.
-CONTAINERS = frozenset("div section ul ol dl table article ins".split())
+CONTAINERS = frozenset("div section ul ol dl table article ins p figure".split())
 #: Words in class, id or role that name boilerplate around the main text.
 UNWANTED = re.compile(
     r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|widgets?|footer|masthead|site-?header|page-?header|topbar|toolbar|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|responses?|pagination|pager|tagcloud|copyright|disclaimer|search|contentinfo|complementary|dialog)",
     re.I,
 )
-#: Whole names of reader comments, wherever they stand.
-COMMENTS = re.compile(r"comments?(?:[-_]?(?:list|thread|section|area|body|content|wrapper))?|disqus(?:_thread)?|replies|respond", re.I)
-#: Whole names that count inside the main text.
-NAMED = re.compile(
-    COMMENTS.pattern + r"|ads?|advert|advertisement|adsense|sponsored|promo|sidebar|cookie[-_]?(?:notice|banner)|notice|newsletter|share|social|related(?:[-_]?(?:posts|articles|links))?",
-    re.I,
-)
-#: Frequent words of languages, by language in alphabetical order.
+#: Parts of names that mean the same inside the main text, whatever stands beside them, and parts that do so alone or beside a word for a place.
+CERTAIN = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo|cookies?|consent|gdpr|notices?|popup|newsletter|subscri(?:be|ption)|signup|comments?|disqus", re.I)
+LIKELY = re.compile(r"share|sharing|social|related|sidebar|replies|respond|responses?|recommend\w*|pagination|pager|breadcrumbs?|toolbar|disclaimer", re.I)
+PLACES = re.compile(r"list|box|bar|links?|buttons?|posts?|articles?|section|widget|area|wrapper|container|block|thread|content|body|items?|banner|nav", re.I)
+COMMENTS = re.compile(r"comments?|disqus|replies|respond", re.I)
+WITHOUT = frozenset("has no with without".split())
+#: Frequent words of languages, a line a language: English, Spanish, French, German, Italian, Portuguese, Dutch, Swedish, Polish, Turkish, Russian.
 STOP_WORDS = frozenset(
     """
     a an and are as at by for from he in is it of on or that the this to was with you
@@ -76,21 +75,21 @@ SPACES = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "links", "main", "item", "heading", "holders", "label", "by")
+    __slots__ = ("text", "links", "n_links", "main", "item", "heading", "kind", "holder", "label", "by")
 
-    def __init__(self, text: str, links: int, main: int, item: bool, heading: bool, holders: list[Element]) -> None:
-        self.text, self.links, self.main, self.item, self.heading, self.holders = text, links, main, item, heading, holders
+    def __init__(self, text: str, links: int, n_links: int, main: int, item: bool, heading: bool, kind: bool, holder: Element | None) -> None:
+        self.text, self.links, self.n_links, self.main, self.item, self.heading, self.kind, self.holder = text, links, n_links, main, item, heading, kind, holder
         #: good, bad, near (good next to a good block) or short; and what decided it
         self.label = self.by = ""
 
 
 class Element:
-    """An open element: why it holds no main text (its kind, its name, nothing), and how much text it holds."""
+    """An open element: why it holds no main text (its kind, its name, nothing), and how much text it holds once it is closed."""
 
     __slots__ = ("name", "why", "chars")
 
-    def __init__(self, name: str, why: str) -> None:
-        self.name, self.why, self.chars = name, why, 0
+    def __init__(self, name: str, why: str, before: int) -> None:
+        self.name, self.why, self.chars = name, why, -before
 
 
 def _why(name: str, attributes: str, in_main: bool) -> str:
@@ -106,25 +105,36 @@ def _why(name: str, attributes: str, in_main: bool) -> str:
             return "kind"
         if key in ("class", "id", "role"):
             words += value.split()
-    if name in CONTAINERS and any((NAMED if in_main else COMMENTS).fullmatch(w) for w in words):
-        return "kind"
-    if in_main or name in MAIN:
-        return ""
+    found = ""
     for w in words:
-        parts = re.split(r"[-_]+", w)
-        if parts[0].lower() not in ("has", "no", "with", "without") and any(UNWANTED.fullmatch(p) for p in [w, *parts]):
-            return "name"
-    return ""
+        parts = [p for p in re.split(r"[-_]+", w) if p]
+        if WITHOUT.intersection(p.lower() for p in parts):
+            continue
+        if name in CONTAINERS and any(map(COMMENTS.fullmatch, parts)) and all(CERTAIN.fullmatch(p) or PLACES.fullmatch(p) or COMMENTS.fullmatch(p) or p.lower() in ("user", "reader", "post") for p in parts):
+            return "kind"
+        if in_main:
+            certain, likely = any(map(CERTAIN.fullmatch, parts)), any(map(LIKELY.fullmatch, parts))
+            rest = all(CERTAIN.fullmatch(p) or LIKELY.fullmatch(p) or PLACES.fullmatch(p) for p in parts)
+            if name in CONTAINERS and (certain or likely) and rest:
+                return "kind"
+            if name in CONTAINERS and certain:
+                found = "name"
+        elif name not in MAIN and any(UNWANTED.fullmatch(p) for p in [w, *parts]):
+            found = "name"
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what their elements say about them. Time grows with the page's length."""
     out: list[Block] = []
     open_: list[Element] = []
+    names: dict[str, int] = {}  # how many elements of a name are open
     mains: list[int] = []  # where main elements stand in open_
-    main_no = 0
+    named: list[tuple[int, Element]] = []  # open elements left out by name, and where they stand
+    kinds = 0  # open elements left out by kind
+    main_no = total = 0
     parts: list[str] = []
-    links = in_link = 0
+    links = n_links = in_link = 0
     broke = False
 
     def text(raw: str) -> None:
@@ -137,24 +147,38 @@ def blocks(page: str) -> list[Block]:
             parts.append(piece)
 
     def flush() -> None:
-        nonlocal links, broke
+        nonlocal links, n_links, broke, total
         if parts:
             content = SPACES.sub(" ", "".join(parts)).strip()
             if content:
-                begin = mains[0] if mains else 0
-                # what stands around a main element doesn't count, but for comments and the like that it is in
-                holders = [e for i, e in enumerate(open_) if e.why and (i >= begin or e.why == "kind")]
-                for e in open_:
-                    e.chars += len(content)
+                # of nested elements the innermost holds the least; names around a main element don't count in it
+                holder = named[-1][1] if named and (not mains or named[-1][0] > mains[0]) else None
+                total += len(content)
                 inner = open_[-1].name if open_ else ""
-                out.append(Block(content, min(links, len(content)), main_no if mains else 0, inner in ITEMS, any(e.name in HEADINGS for e in open_[-3:]), holders))
+                out.append(Block(content, min(links, len(content)), n_links, main_no if mains else 0, inner in ITEMS, any(e.name in HEADINGS for e in open_[-3:]), kinds > 0, holder))
             parts.clear()
-        links, broke = 0, False
+        links, n_links, broke = 0, 0, False
+
+    def enter(name: str, why: str) -> None:
+        nonlocal kinds
+        element = Element(name, why, total)
+        names[name] = names.get(name, 0) + 1
+        kinds += why == "kind"
+        if why == "name":
+            named.append((len(open_), element))
+        open_.append(element)
 
     def leave(place: int) -> None:
-        del open_[place:]
+        nonlocal kinds
+        while len(open_) > place:
+            element = open_.pop()
+            element.chars += total
+            names[element.name] -= 1
+            kinds -= element.why == "kind"
         while mains and mains[-1] >= place:
             mains.pop()
+        while named and named[-1][0] >= place:
+            named.pop()
 
     at, size = 0, len(page)
     while at < size:
@@ -202,6 +226,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "a":
             in_link = 0 if closing else 1
+            n_links += in_link
             continue
         edge = name in BLOCK or name in ASIDE
         if edge:
@@ -210,19 +235,19 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            if edge or any(e.name == name for e in open_[-8:]):
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i].name == name:
-                        if not edge and any(e.why for e in open_[i:]):
-                            flush()
-                        leave(i)
-                        break
+            if edge and names.get(name) or not edge and any(e.name == name for e in open_[-8:]):
+                place = len(open_) - 1
+                while open_[place].name != name:
+                    place -= 1
+                if not edge and any(e.why for e in open_[place:]):
+                    flush()
+                leave(place)
             continue
         if not edge:
             why = _why(name, m[3], bool(mains)) if m[3] else ""
             if why:
                 flush()
-                open_.append(Element(name, why))
+                enter(name, why)
             continue
         if name in BLOCK and open_ and open_[-1].name == "p":
             leave(len(open_) - 1)
@@ -233,52 +258,54 @@ def blocks(page: str) -> list[Block]:
                     break
                 if open_[i].name in ("ul", "ol", "dl", "table"):
                     break
-        why = _why(name, m[3], bool(mains))
-        open_.append(Element(name, why))
-        if name in MAIN and not any(e.why == "kind" for e in open_):
+        enter(name, _why(name, m[3], bool(mains)))
+        if name in MAIN and not kinds:
             if not mains:
                 main_no += 1
             mains.append(len(open_) - 1)
     flush()
+    leave(0)
     return out
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, some_links: float = 0.2, most_links: float = 0.5) -> list[bool]:
-    """Whether each block is main text: first by its own measures, then by its neighbours. ``by`` tells what decided it."""
+def classify(
+    found: list[Block], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.3, some_links: float = 0.2, most_links: float = 0.5, few_links: int = 2,
+    stop_words: frozenset[str] = STOP_WORDS, inherit: bool = True,
+) -> list[bool]:
+    """Whether each block is main text: first by its own measures, then by its neighbours. ``by`` tells what decided it.
+
+    Without ``inherit`` there is no second pass, and what the first leaves open is no main text.
+    """
     chars = sum(len(b.text) for b in found)
-    left = [b for b in found if not any(e.why == "kind" or 2 * e.chars <= chars for e in b.holders)]
-    left_ids = set(map(id, left))
-    marked = any(b.main for b in left)
-    stops = {}
-    for b in left:
-        words = WORD.findall(b.text.lower())
-        stops[id(b)] = (sum(w in STOP_WORDS for w in words), len(words))
-    hits, words = (sum(x[i] for x in stops.values()) for i in (0, 1))
-    fits = hits >= low / 2 * words  # else the stop words are of other languages than the page
-    for b in found:
-        size, linked = len(b.text), b.links / len(b.text)
-        if linked > most_links and (b.item or not b.main):
+    out = [b.kind or b.holder is not None and 2 * b.holder.chars <= chars for b in found]
+    stops = []
+    for b, without in zip(found, out, strict=True):
+        words = WORD.findall(b.text.lower()) if not without and len(b.text) >= short else []
+        stops.append((sum(w in stop_words for w in words), len(words)))
+    hits, all_ = (sum(x[i] for x in stops) for i in (0, 1))
+    fits = hits >= low / 2 * all_  # else the stop words are of other languages than the page
+    for b, without, (own, words) in zip(found, out, stops, strict=True):
+        size, linked, density = len(b.text), b.links / len(b.text), own / words if words else 0.0
+        if without:
+            b.label, b.by = "bad", "markup"
+        elif linked > most_links and (b.item or not b.main or b.n_links > few_links):
             b.label, b.by = "bad", "links"
-        elif id(b) not in left_ids or marked and not b.main:
-            b.label, b.by = "bad", "place"
-        elif size < short or linked > most_links:
-            b.label = "bad" if linked > some_links and not b.main else "short"
-            b.by = "links" if b.label == "bad" else "neighbours"
-        elif linked > some_links and not b.main:
+        elif linked > some_links and (not b.main or size >= short and fits and density < low):
             b.label, b.by = "bad", "links"
+        elif size < short or linked > most_links:
+            b.label, b.by = "short", "neighbours"
+        elif not fits:
+            b.label, b.by = ("good", "length") if size > long else ("near", "neighbours")
+        elif density >= high and (size > long or b.main) or density >= low and size > long and b.main:
+            b.label, b.by = "good", "density"
+        elif density >= low or b.main:
+            b.label, b.by = "near", "neighbours"
         else:
-            own, all_ = stops[id(b)]
-            density = own / all_ if all_ else 0.0
-            if not fits:
-                b.label, b.by = ("good", "length") if size > long else ("near", "neighbours")
-            elif density >= high:
-                b.label, b.by = ("good", "density") if size > long or b.main else ("near", "neighbours")
-            elif density >= low:
-                b.label, b.by = ("good", "density") if size > long and b.main else ("near", "neighbours")
-            else:
-                b.label, b.by = ("near", "neighbours") if b.main else ("bad", "density")
-    _inherit(found, "near")
-    _inherit(found, "short")
+            b.label, b.by = "bad", "density"
+    if inherit:
+        _inherit(found, "near")
+        _inherit(found, "short")
+        _headings(found)
     return [b.label == "good" for b in found]
 
 
@@ -300,15 +327,31 @@ def _inherit(found: list[Block], kind: str) -> None:
 
 
 def _neighbours(found: list[Block]) -> list[str]:
-    """The label of the last decided block before each block: of the same main element; of any outside."""
+    """The label of the last decided block before each block: of the same main element; of any outside. What is left out of a main element doesn't count in it."""
     out, last = [], {}
     for b in found:
         out.append(last.get(b.main, ""))
-        if b.label in ("good", "bad") and (b.by != "place" or not b.main):
+        if b.label in ("good", "bad") and (b.by != "markup" or not b.main):
             last[b.main] = b.label
     return out
 
 
+def _headings(found: list[Block]) -> None:
+    """A heading over nothing but what is left out, as over a list of comments, goes with it."""
+    good = without = False
+    for i in range(len(found) - 1, -1, -1):
+        b = found[i]
+        if i + 1 == len(found) or found[i + 1].main != b.main:
+            good = without = False
+        if b.heading and b.label == "good":
+            if without and not good:
+                b.label, b.by = "bad", "neighbours"
+            good = without = False
+        else:
+            good |= b.label == "good"
+            without |= b.by == "markup"
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page: its good blocks, joined by line feeds; empty if there are none."""
     if not page:

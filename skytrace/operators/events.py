@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.functions.columns import STEP_MINUTES, arr_mean, line_rmse, rate
-from skytrace.operators.sequences import histories, peak_arrays
+from skytrace.operators.sequences import histories, peak_arrays, peaks_of_long
+from skytrace.sources.storage import written
 
 #: Noise of a smoothed history (root mean square), a measured constant.
 NOISE = 0.0563
@@ -39,6 +40,45 @@ def glaciation_events(seq: DataFrame, significant: float = 0.2, rise: float = 0.
     return found.select("key", "event_no", "e.start_idx", "e.peak_idx", "e.magnitude", *kept)
 
 
+def glaciation_events_of_long(seq: DataFrame, significant: float = 0.2, rise: float = 0.4, chunk: int = 4096) -> DataFrame:
+    """As glaciation_events(), for keys of any length, by windows over a key's peaks and steps instead of arrays.
+
+    Accepted peaks are those that lie behind all higher ones, and the steps from one of them to the next are the range in which the next one's
+    minimum is looked for.
+    """
+    seq = written(seq.select("key", "idx", "v"), "long-seq")
+    tops = peaks_of_long(seq, chunk).where(F.col("persistence") >= significant)
+    by_height = Window.partitionBy("key").orderBy(F.col("value").desc(), "idx")
+    behind = F.coalesce(F.max("idx").over(by_height.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    accepted = tops.withColumn("behind", behind).where((F.col("idx") > 1) & (F.col("idx") > F.col("behind"))).select("key", F.col("idx").alias("peak_idx"), "value")
+    accepted = written(accepted, "accepted")
+    onward = Window.partitionBy("key").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
+    marked = seq.join(accepted.select("key", F.col("peak_idx").alias("idx"), F.col("value").alias("peak_value")), ["key", "idx"], "left")
+    peak = F.struct(F.col("idx").alias("peak_idx"), F.col("peak_value").alias("value"))
+    rows = marked.withColumn("to", F.min(F.when(F.col("peak_value").isNotNull(), peak)).over(onward)).where("to IS NOT NULL")
+    low = rows.groupBy("key", "to").agg(F.min(F.struct("v", (-F.col("idx")).alias("back"))).alias("low"))
+    out = low.select("key", (-F.col("low.back")).alias("start_idx"), "to.peak_idx", (F.col("to.value") - F.col("low.v")).alias("magnitude"), F.col("to.value").alias("value"))
+    out = out.where(F.col("magnitude") >= rise).withColumn("event_no", F.row_number().over(Window.partitionBy("key").orderBy("peak_idx")) - 1)
+    return out.select("key", "event_no", F.col("start_idx").cast("int").alias("start_idx"), F.col("peak_idx").cast("int").alias("peak_idx"), "magnitude")
+
+
+def event_clock(events: DataFrame, times: DataFrame, key: str = "key") -> DataFrame:
+    """Add ``start_time``, ``end_time`` and ``time_clock``, the minutes between them. ``times``: ``key, idx, ts`` of all steps.
+
+    Equal to ``time_min`` where no step is missing between the two, and longer by the gaps where some are.
+    """
+    ends = times.select(F.col(key), F.col("idx").alias("start_idx"), F.col("ts").alias("start_time")), times.select(F.col(key), F.col("idx").alias("peak_idx"), F.col("ts").alias("end_time"))
+    out = events.join(ends[0], [key, "start_idx"], "left").join(ends[1], [key, "peak_idx"], "left")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return out.withColumn("time_clock", (seconds("end_time") - seconds("start_time")) / 60_000_000)
+
+
+def first_event_times(clouds: DataFrame, events: DataFrame, key: str = "key") -> DataFrame:
+    """Clouds with ``event_start_time`` and ``event_end_time`` of their first event by the clock, null without one. Needs event_clock()."""
+    first = events.groupBy(key).agg(F.min(F.struct("start_time", "end_time")).alias("__e"))
+    return clouds.join(first, key, "left").withColumn("event_start_time", F.col("__e.start_time")).withColumn("event_end_time", F.col("__e.end_time")).drop("__e")
+
+
 def event_metrics(events: DataFrame, minutes: int = STEP_MINUTES) -> DataFrame:
     """Add ``time_min`` and ``time_h`` from the number of steps."""
     return events.withColumn("time_min", (F.col("peak_idx") - F.col("start_idx")) * minutes).withColumn("time_h", F.col("time_min") / 60)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.operators.grid import LAYER
@@ -26,9 +26,26 @@ def common_times(a: DataFrame, b: DataFrame, on: list[str]) -> tuple[DataFrame,
     return a.join(b.select(*on).distinct(), on, "left_semi"), b.join(a.select(*on).distinct(), on, "left_semi")
 
 
-def attach_attributes(cells: DataFrame, aux: DataFrame, boundary: str, optional: DataFrame | None = None) -> DataFrame:
-    """Cells with area, latitude and longitude of their epoch, and with optional retrievals where there are any."""
-    out = cells.withColumn("epoch", geometry_epoch(F.col("ts"), boundary)).join(aux, ["pole", "epoch", "y", "x"])
+def epoch_of_frames(cells: DataFrame, epochs: DataFrame, by: Sequence[str] = ("pole",)) -> DataFrame:
+    """Add ``epoch``: that of the last row of ``epochs`` (``by``, ``start``, ``epoch``) which starts at the cell's ``ts`` or before; null before the first.
+
+    An as-of join: the distinct frames and the starts are put in one order, where each frame takes the last epoch before it. Cells, of which there are many more,
+    meet their frame by an equi-join.
+    """
+    starts = epochs.select(*by, F.col("start").cast("timestamp").alias("ts"), F.struct("epoch").alias("start"), F.lit(0).alias("last"))
+    frames = cells.select(*by, F.col("ts").cast("timestamp").alias("ts")).distinct().withColumn("start", F.lit(None).cast(starts.schema["start"].dataType)).withColumn("last", F.lit(1))
+    order = Window.partitionBy(*by).orderBy("ts", "last").rowsBetween(Window.unboundedPreceding, 0)
+    known = starts.unionByName(frames).withColumn("start", F.last("start", ignorenulls=True).over(order)).where("last = 1")
+    return cells.join(known.select(*by, "ts", F.col("start.epoch").alias("epoch")), [*by, "ts"])
+
+
+def attach_attributes(cells: DataFrame, aux: DataFrame, epochs: str | DataFrame, optional: DataFrame | None = None) -> DataFrame:
+    """Cells with area, latitude and longitude of their epoch, and with optional retrievals where there are any.
+
+    ``epochs`` is the instant where epoch 1 follows on epoch 0, or a table of any number of them as epoch_of_frames() takes it.
+    """
+    dated = cells.withColumn("epoch", geometry_epoch(F.col("ts"), epochs)) if isinstance(epochs, str) else epoch_of_frames(cells, epochs)
+    out = dated.join(aux, ["pole", "epoch", "y", "x"])
     return out if optional is None else out.join(optional, ["pole", "ts", "y", "x"], "left")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.functions.columns import arr_argmax, resample
+from skytrace.sources.storage import Scratch
 
 
 def _by():
@@ -173,3 +174,86 @@ def peaks(seq: DataFrame) -> DataFrame:
     height over the higher of the two lowest points on the way, infinite without elders.
     """
     return peak_arrays(histories(seq)).select("key", F.inline("peaks"))
+
+
+# ---------------------------------------------------------------- long keys: chunks instead of whole histories
+
+
+def chunked(seq: DataFrame, chunk: int) -> DataFrame:
+    """``key, chunk, values``: ``chunk`` values of a key a row, in order."""
+    rows = seq.select("key", F.floor(F.col("idx") / chunk).cast("long").alias("chunk"), "idx", "v")
+    return rows.groupBy("key", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("values"))
+
+
+def _again(values: Column) -> Column:
+    """Whether the largest value comes again, or first, after a lower one."""
+    top = F.array_max(values)
+    last = F.size(values) - F.array_position(F.reverse(values), top) + 1
+    return F.array_min(F.slice(values, F.lit(1), last.cast("int"))) < top
+
+
+def _elder(values: Column, value: Column, low: Column, equal: bool) -> Column:
+    """Scan from the near end: the lowest value before the first elder (``low`` from before included), and whether there is one."""
+
+    def step(s: Column, x: Column) -> Column:
+        elder = (x > value) | ((x == value) & (s["low"] < value) if equal else F.lit(False))
+        return F.struct(F.when(s["found"] | elder, s["low"]).otherwise(F.least(s["low"], x)).alias("low"), (s["found"] | elder).alias("found"))
+
+    return F.aggregate(values, F.struct(low.alias("low"), F.lit(False).alias("found")), step)
+
+
+def peaks_of_long(seq: DataFrame, chunk: int = 4096) -> DataFrame:
+    """As peaks(), for keys of any length: no array is longer than ``chunk``, or than the number of a key's chunks.
+
+    Elders are looked for in a peak's own chunk first. For peaks without one there, the extremes of the key's chunks name the nearest chunk that
+    holds one, and a join on (key, chunk) finds it inside. A chunk of about the root of the longest key's length is the cheapest.
+    """
+    scratch = Scratch(seq.sparkSession, "long-peaks")
+    chunks = scratch.write(chunked(seq, chunk), "chunks")
+    v = F.col("values")
+    ends = F.struct("chunk", F.array_max(v).alias("top"), F.array_min(v).alias("low"), v[0].alias("first"), F.element_at(v, -1).alias("last"), _again(v).alias("again"))
+    keys = chunks.groupBy("key").agg(F.array_sort(F.collect_list(ends)).alias("ends"))
+    rows = chunks.join(keys, "key")
+    at = F.col("chunk").cast("int")
+    before = F.when(at > 0, F.get("ends", at - 1)["last"])
+    after = F.get("ends", at + 1)["first"]
+    n = F.size("values")
+
+    def is_top(x: Column, i: Column) -> Column:
+        left, right = F.when(i > 0, F.get(v, i - 1)).otherwise(before), F.when(i < n - 1, F.get(v, i + 1)).otherwise(after)
+        return (left.isNull() | (left < x)) & (right.isNull() | (right <= x))
+
+    tops = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("value"), is_top(x, i).alias("top"))), lambda p: p["top"])
+    none = F.lit(float("inf"))
+
+    def beside(p: Column) -> Column:
+        left, right = F.reverse(F.slice(v, F.lit(1), p["i"])), F.slice(v, p["i"] + 2, F.greatest(n - p["i"], F.lit(1)))
+        return F.struct(p["i"].alias("i"), p["value"].alias("value"), _elder(left, p["value"], none, False).alias("left"), _elder(right, p["value"], none, True).alias("right"))
+
+    found = rows.select("key", "chunk", "ends", F.inline(F.transform(tops, beside)))
+    found = found.withColumn("to_left", F.when(~F.col("left.found"), _chunk_of_elder(F.reverse(F.slice("ends", F.lit(1), at)), F.col("value"), F.col("left.low"), False)))
+    found = found.withColumn("to_right", F.when(~F.col("right.found"), _chunk_of_elder(F.slice("ends", at + 2, F.greatest(F.size("ends") - at, F.lit(1))), F.col("value"), F.col("right.low"), True)))
+    found = scratch.write(found.drop("ends"), "tops")
+    for side, turn in (("left", F.reverse), ("right", lambda x: x)):
+        there = chunks.select("key", F.col("chunk").alias("there"), turn(F.col("values")).alias("other"))
+        out = found.withColumn("there", F.col(f"to_{side}.chunk")).join(there, ["key", "there"], "left")
+        low = F.when(F.col(f"{side}.found"), F.col(f"{side}.low")).when(F.col("there").isNotNull(), _elder(F.col("other"), F.col("value"), F.col(f"to_{side}.low"), side == "right")["low"])
+        found = scratch.write(out.withColumn(f"low_{side}", low).drop("there", "other"), f"beside-{side}")
+    saddle = F.greatest("low_left", "low_right")
+    return found.select(
+        "key", (F.col("chunk") * chunk + F.col("i")).cast("int").alias("idx"), "value", F.when(saddle.isNull(), F.lit(float("inf"))).otherwise(F.col("value") - saddle).alias("persistence")
+    )
+
+
+def _chunk_of_elder(ends: Column, value: Column, low: Column, equal: bool) -> Column:
+    """The first of the chunks that holds an elder, null if none does, and the lowest value before that chunk."""
+    start = F.struct(low.alias("low"), F.lit(None).cast("long").alias("chunk"))
+
+    def step(s: Column, e: Column) -> Column:
+        holds = (e["top"] > value) | ((e["top"] == value) & ((s["low"] < value) | e["again"]) if equal else F.lit(False))
+        return F.struct(
+            F.when(s["chunk"].isNotNull() | holds, s["low"]).otherwise(F.least(s["low"], e["low"])).alias("low"),
+            F.coalesce(s["chunk"], F.when(holds, e["chunk"])).alias("chunk"),
+        )
+
+    return F.aggregate(ends, start, step)

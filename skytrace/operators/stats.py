@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrace.functions.columns import arr_mean, arr_var_pop, cut, head, tail
+from skytrace.sources.storage import written
 
 
 def counts_by(df: DataFrame, *by: str) -> DataFrame:
@@ -121,53 +122,71 @@ def lat_bin(lat: Column) -> Column:
 def trim_extremes(df: DataFrame, by: list[str], column: str, drop: int = 2, tie: str = "key") -> DataFrame:
     """Without the ``drop`` smallest and largest rows of each group that has more than twice as many; ``tie`` names a row within its group.
 
-    Each task finds the extremes of its own rows, so a group meets in one task with a few rows of each; those to drop,
-    ``2 * drop`` of a group, go back by broadcast.
+    Each task finds the extremes of its own rows, so a group meets in one task with a few rows of each. Those to drop, ``2 * drop`` of a
+    group, are a table; Spark broadcasts it only while it is small.
     """
     few = df.select(*by, column, tie)
     ends = []
     for order in ((F.col(column).asc(), F.col(tie).asc()), (F.col(column).desc(), F.col(tie).desc())):
         ends.append(few.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__i") <= drop).drop("__i"))
     large = few.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > 2 * drop).drop("__n")
-    extreme = ends[0].unionByName(ends[1]).join(F.broadcast(large), by, "left_semi").select(*by, tie).distinct()
-    return df.join(F.broadcast(extreme), [*by, tie], "left_anti")
+    extreme = written(ends[0].unionByName(ends[1]).join(large, by, "left_semi").select(*by, tie).distinct(), "extremes")
+    return df.join(extreme, [*by, tie], "left_anti")
 
 
-def exact_medians(df: DataFrame, by: str, columns: Sequence[str], parts: int = 1024) -> DataFrame:
-    """``by`` and ``<column>_median``: exact medians of few groups with many rows.
+def median_brackets(columns: Sequence[str], accuracy: int = 10_000) -> list[Column]:
+    """Aggregates ``<column>_bracket``: number of values, and two values that the middle ones lie between, from a sketch of quantiles.
 
-    Rows are counted in ``parts`` equal intervals of each group's range; only the one or two intervals that hold the middle rows are
-    ordered, by distinct value.
+    The sketch's ranks are wrong by a share of ``1 / accuracy`` of the values at most, so the bracket reaches twice as far to both sides.
     """
-    out = df.select(by).distinct()
+    near = [max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)]
+    out = []
     for c in columns:
-        rows = df.select(by, F.col(c).cast("double").alias("v")).where("v IS NOT NULL")
-        box = rows.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(0)
-        cut = rows.join(F.broadcast(box), by).withColumn("part", part.cast("int"))
-        upto = Window.partitionBy(by).orderBy("part")
-        counts = cut.groupBy(by, "part", "n").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(upto) - F.col("c"))
-        first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-        middle = counts.where((F.col("before") < last) & (F.col("before") + F.col("c") >= first)).select(by, "part", "before")
-        inner = cut.join(F.broadcast(middle), [by, "part"]).groupBy(by, "n", "before", "v").agg(F.count("*").alias("c"))
-        inner = inner.groupBy(by, "n", "v").agg(F.min("before").alias("before"), F.sum("c").alias("c"))
-        base = F.min("before").over(Window.partitionBy(by))
-        inner = inner.withColumn("to", base + F.sum("c").over(Window.partitionBy(by).orderBy("v")))
-        low, high = F.min(F.when(F.col("to") >= first, F.col("v"))), F.min(F.when(F.col("to") >= last, F.col("v")))
-        out = out.join(inner.groupBy(by).agg(((low + high) / 2).alias(f"{c}_median")), by, "left")
+        cut = F.approx_percentile(F.col(c).cast("double"), near, accuracy)
+        out.append(F.struct(F.count(c).alias("n"), cut[0].alias("lo"), cut[1].alias("hi")).alias(f"{c}_bracket"))
     return out
 
 
-def latitude_profile(clouds: DataFrame, size: str = "avg_size_km", pixels: str = "avg_size_px", trim: int = 2) -> DataFrame:
+def medians_within(rows: DataFrame, brackets: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """``by`` and ``<column>_median`` from one scan: rows below a bracket are counted, those inside are counted by value and only these values are put in order."""
+    both = rows.select(by, *(F.col(c).cast("double").alias(c) for c in columns)).join(brackets.select(by, *(f"{c}_bracket" for c in columns)), by)
+    parts = []
+    for c in columns:
+        v, b = F.col(c), F.col(f"{c}_bracket")
+        # all that lies below counts as one value
+        parts.append(F.when(v.isNotNull() & (v <= b["hi"]), F.struct(F.lit(c).alias("name"), (v >= b["lo"]).alias("inside"), F.when(v >= b["lo"], v).alias("v"), b["n"].alias("n"))))
+    kept = both.select(by, F.explode(F.array_compact(F.array(*parts))).alias("x")).groupBy(by, "x.name", "x.inside", "x.v", "x.n").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by, "name").orderBy("inside", "v"))
+    placed = kept.withColumn("to", upto)
+    first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    low, high = F.min(F.when(F.col("to") >= first, F.struct("to", "v"))), F.min(F.when(F.col("to") >= last, F.struct("to", "v")))
+    # a middle row below the bracket would have no value; the sketch's bound excludes it
+    found = placed.groupBy(by, "name").agg(((low["v"] + high["v"]) / 2).alias("median"))
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in columns))
+
+
+def exact_medians(df: DataFrame, by: str, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """``by`` and ``<column>_median``: exact medians of groups with any number of rows, in two scans; null for a group without values.
+
+    A sketch of quantiles brackets the middle of each column, whatever its distribution; only values inside the brackets, a few ten
+    thousandths of all, are put in order.
+    """
+    groups = df.groupBy(by).agg(*median_brackets(columns, accuracy))
+    return groups.select(by).join(medians_within(df, groups, by, columns), by, "left")
+
+
+def latitude_profile(clouds: DataFrame, size: str = "avg_size_km", pixels: str = "avg_size_px", trim: int = 2, tie: str = "key") -> DataFrame:
     """Number, sums, mean and medians of sizes per latitude bin, extremes trimmed; empty bins are there with 0."""
-    rows = trim_extremes(clouds.withColumn("lat_bin", lat_bin(F.col("avg_lat"))).where("lat_bin IS NOT NULL"), ["lat_bin"], size, trim)
+    few = written(clouds.select(lat_bin(F.col("avg_lat")).alias("lat_bin"), tie, size, pixels).where("lat_bin IS NOT NULL"), "sizes")
+    rows = trim_extremes(few, ["lat_bin"], size, trim, tie)
     stats = rows.groupBy("lat_bin").agg(
-        F.count("*").alias("n_clouds"), F.sum(size).alias("area_sum"), F.sum(pixels).alias("px_sum"), F.avg(size).alias("area_avg")
+        F.count("*").alias("n_clouds"), F.sum(size).alias("area_sum"), F.sum(pixels).alias("px_sum"), F.avg(size).alias("area_avg"), *median_brackets([size, pixels])
     )
-    medians = exact_medians(rows, "lat_bin", [size, pixels]).withColumnsRenamed({f"{size}_median": "area_median", f"{pixels}_median": "px_median"})
-    stats = stats.join(F.broadcast(medians), "lat_bin")
+    stats = written(stats, "profile")
+    medians = medians_within(rows, stats, "lat_bin", [size, pixels]).withColumnsRenamed({f"{size}_median": "area_median", f"{pixels}_median": "px_median"})
     bins = clouds.sparkSession.createDataFrame([(e,) for e in LAT_EDGES[1:]], "lat_bin int")
-    return bins.join(stats, "lat_bin", "left").na.fill(0, ["n_clouds", "area_sum", "px_sum"])
+    out = stats.drop(f"{size}_bracket", f"{pixels}_bracket").join(medians, "lat_bin", "left")
+    return bins.join(out, "lat_bin", "left").na.fill(0, ["n_clouds", "area_sum", "px_sum"])
 
 
 def cohort_pivot(df: DataFrame, rows: str, columns: str, values: list[str], measure: Column) -> DataFrame:
@@ -216,17 +235,27 @@ SWEEP = [0.1, 0.3, 0.5, 0.7, 0.9], [0.75, 1.0, 2.0, 3.0], [-1.0, 0.0, 0.3, 0.6,
 
 
 def sweep(clouds: DataFrame, grid: tuple[list[float], list[float], list[float], list[int]] = SWEEP) -> DataFrame:
-    """How many clouds pass each combination of thresholds, and the percentage. Needs normalised, steps_to_max, lifetime_h."""
-    spark = clouds.sparkSession
-    rows = spark.createDataFrame(list(product(*grid)), "max_if double, lifetime double, delta double, steps int")
-    # the thresholds need four numbers per cloud, not its history
-    four = clouds.select(
-        F.array_max("normalised").alias("__top"), arr_mean(F.slice("normalised", 1, 10)).alias("__base"), F.coalesce("steps_to_max", F.lit(-1)).alias("__steps"), "lifetime_h"
-    )
-    passes = (F.col("__top") >= F.col("max_if")) & (F.col("__steps") >= F.col("steps")) & (F.col("lifetime_h") >= F.col("lifetime")) & (F.col("__top") >= F.col("__base") + F.col("delta"))
-    met = four.join(F.broadcast(rows), passes).groupBy("max_if", "lifetime", "delta", "steps").agg(F.count("*").alias("n"))
-    total = four.agg(F.count("*").alias("__all"))
-    out = rows.join(met, ["max_if", "lifetime", "delta", "steps"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """How many clouds pass each combination of thresholds, and the percentage. Needs normalised, steps_to_max, lifetime_h.
+
+    A cloud becomes four ordinals: how many thresholds of each kind it passes. Clouds are counted by ordinals, once; the counts, no more than the grid has
+    cells, then go to all combinations at or below their ordinals.
+    """
+    axes = [sorted(set(axis)) for axis in grid]
+    names = ["max_if", "lifetime", "delta", "steps"]
+    top, base = F.array_max("normalised"), arr_mean(F.slice("normalised", 1, 10))
+    steps = F.coalesce("steps_to_max", F.lit(-1))
+    passes = [lambda t: top >= t, lambda t: F.col("lifetime_h") >= t, lambda t: top >= base + t, lambda t: steps >= t]
+    ordinals = [sum((F.coalesce(test(F.lit(t)).cast("int"), F.lit(0)) for t in axis), F.lit(0)).alias(name) for name, axis, test in zip(names, axes, passes, strict=True)]
+    counts = written(clouds.select(*ordinals).groupBy(*names).agg(F.count("*").alias("n")), "sweep")
+    met = counts.where(" AND ".join(f"{name} > 0" for name in names))
+    for name in names:
+        met = met.withColumn(name, F.explode(F.sequence(F.lit(1), name)))
+    met = met.groupBy(*names).agg(F.sum("n").alias("n"))
+    for name, axis in zip(names, axes, strict=True):
+        met = met.withColumn(name, F.element_at(F.array(*map(F.lit, axis)), F.col(name)))
+    rows = clouds.sparkSession.createDataFrame(list(product(*grid)), "max_if double, lifetime double, delta double, steps int")
+    out = rows.join(met, names, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = counts.agg(F.sum("n").alias("__all"))  # one row
     return out.crossJoin(F.broadcast(total)).withColumn("percent", F.col("n") * 100 / F.col("__all")).drop("__all")
 
 

@@ -19,7 +19,7 @@ from .sequence_queries import EVENTS
 from .track_queries import BOUNDARY, CELL_AREA, LABELLED, TRACKS, _aux, label
 
 WIDTHS = 5, 12
-BINNED = G.BINNED
+LAYER, BINNED = G.LAYER, G.BINNED
 #: A layer as one string that sorts as its columns do.
 LAYER_SQL = "pole || '/' || (2000 + min_temp) || '/' || (2000 + max_temp)"
 BINS = " UNION ALL ".join(f"SELECT CAST(-{d} * (i + 1) AS INTEGER) AS min_temp, CAST(-{d} * i AS INTEGER) AS max_temp FROM range({38 // d}) b(i)" for d in WIDTHS)
@@ -35,10 +35,10 @@ def _sliced(spark, sf):
     return G.slice_by_temperature(pixels_all(spark, sf), G.temp_bins(spark, WIDTHS))
 
 
-def _tracked(blocks):
-    cells = written(J.label_features(J.feature_cells(blocks), layer=BINNED), "labelled")
-    links = written(T.link_features(cells, layer=BINNED), "links")
-    return cells, links, written(T.assign_tracks(cells, links, BINNED), "tracks")
+def _tracked(blocks, by=BINNED):
+    cells = written(J.label_features(J.feature_cells(blocks), layer=by), "labelled")
+    links = written(T.link_features(cells, layer=by), "links")
+    return cells, links, written(T.assign_tracks(cells, links, by), "tracks")
 
 
 @query("b3_temperature_slices_all", f"WITH {SLICED} SELECT pole, {SQL_TS}, count(*) AS n, round(sum(cph), 6) AS cph FROM pixels GROUP BY ALL")
@@ -69,17 +69,17 @@ ATTACHED = f"""area AS MATERIALIZED (SELECT track_id, max(n) * {CELL_AREA} AS ar
 met AS (SELECT l.ts AS ts_a, x.track_id AS ta, y.track_id AS tb, overlap FROM links l JOIN tracks x ON x.pole = l.pole AND x.ts = l.ts AND x.label = l.a JOIN tracks y ON y.pole = l.pole AND y.ts = l.ts + INTERVAL 15 MINUTE AND y.label = l.b WHERE x.track_id <> y.track_id),
 ends AS (SELECT ta AS side, tb AS main, overlap FROM met JOIN stats ON track_id = ta WHERE ts_a = e UNION ALL SELECT tb, ta, overlap FROM met JOIN stats ON track_id = tb WHERE ts_a + INTERVAL 15 MINUTE = s),
 parent AS MATERIALIZED (SELECT side, main FROM ends JOIN area a ON a.track_id = side JOIN area b ON b.track_id = main
-  WHERE a.e - a.s <= INTERVAL 30 MINUTE AND b.e - b.s >= INTERVAL 15 MINUTE AND b.area >= 50 AND (b.e - b.s, b.area, -b.track_id) > (a.e - a.s, a.area, -a.track_id)
+  WHERE a.e - a.s <= INTERVAL 30 MINUTE AND b.area >= 50 AND (b.e - b.s, b.area, -b.track_id) > (a.e - a.s, a.area, -a.track_id)
   QUALIFY row_number() OVER (PARTITION BY side ORDER BY overlap DESC, main) = 1),
 climb AS (SELECT track_id AS own_id, track_id AS top FROM area UNION ALL SELECT own_id, main FROM climb JOIN parent ON side = top),
 attached AS (SELECT own_id, top AS track_id FROM climb WHERE NOT EXISTS (SELECT 1 FROM parent WHERE side = top))"""
 
 
-@query("j8_attached_tracks", f"WITH RECURSIVE {BINNED_TRACKS}, {ATTACHED} SELECT pole, {SQL_TS}, label, a.track_id, own_id FROM tracks t JOIN attached a ON own_id = t.track_id")
+@query("j8_attached_tracks", f"WITH RECURSIVE {TRACKS.replace(PIXELS, PIXELS_ALL)}, {ATTACHED} SELECT pole, {SQL_TS}, label, a.track_id, own_id FROM tracks t JOIN attached a ON own_id = t.track_id")
 def j8_attached(spark, sf):
-    cells, links, tracks = _tracked(_sliced(spark, sf))
-    out = T.attach_merge_split(tracks, links, cells, CELL_AREA, side_h=0.5, main_h=0.25, main_area=50, layer=BINNED)
-    return out.select("f.*", "track_id", "own_id").select(layer(), ts(), label(), "track_id", "own_id")
+    cells, links, tracks = _tracked(pixels_all(spark, sf), LAYER)
+    out = T.attach_merge_split(tracks, links, cells, CELL_AREA, side_h=0.5, main_h=0.0, main_area=50)
+    return out.select("f.*", "track_id", "own_id").select("pole", ts(), label(), "track_id", "own_id")
 
 
 # ---------------------------------------------------------------- pixels, blocks, slices, features, tracks, native steps, clouds, swing, events, rates

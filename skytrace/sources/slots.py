@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,18 @@ def quality_reports(*reports: tuple[str, DataFrame]) -> DataFrame:
         one = df.where("failed").withColumn("source", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def refresh_stale(source: DataFrame, target: str, stale: DataFrame, compute: Callable[[DataFrame], DataFrame], day: str = "date", most: int = 10_000) -> int:
+    """Compute the days of ``stale`` (a column ``day``) anew and write them over theirs in ``target``, a Parquet table partitioned by ``day``; how many.
+
+    ``source`` is partitioned by ``day`` too. The days, ``most`` of them at most (else an error), become a filter on its partitions, so that no other is
+    listed or read; of the target only the partitions of these days are replaced.
+    """
+    days = [r[day] for r in stale.select(day).distinct().limit(most + 1).collect()]
+    if len(days) > most:
+        raise ValueError(f"more than {most} stale days: compute the table as a whole")
+    if days:
+        fresh = compute(source.where(F.col(day).isin(days)))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
+    return len(days)

@@ -13,7 +13,9 @@ from skytrace.operators import grid as G
 from skytrace.operators import sequences as S
 from skytrace.operators import stats as X
 from skytrace.operators import tracks as K
+from skytrace.operators.lifecycle import epoch_of_frames
 from skytrace.sources import slots, tables
+from skytrace.sources.slots import refresh_stale
 
 
 def test_assert_complete(spark):
@@ -122,3 +124,61 @@ def test_track_status(spark):
     tracks = spark.createDataFrame([(f(0, 0), 1), (f(1, 0), 1), (f(2, 0), 1), (f(0, 5), 2), (f(2, 9), 3)], f"f {feature}, track_id long")
     links = spark.createDataFrame([(f(0, 0), f(1, 0)), (f(1, 0), f(2, 0)), (f(0, 5), f(1, 0)), (f(1, 0), f(2, 9))], f"a {feature}, b {feature}")
     assert sorted(tuple(r) for r in K.track_status(tracks, links).collect()) == [(1, "new", "gone"), (2, "new", "merged"), (3, "split", "gone")]
+
+
+def test_medians_of_skewed_values(spark):
+    """An outlier doesn't widen the bracket: few values are put in order."""
+    rng = random.Random(5)
+    values = [rng.lognormvariate(0, 1) for _ in range(20_000)] + [1e9]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    brackets = df.groupBy("g").agg(*X.median_brackets(["v"]))
+    lo, hi = brackets.select("v_bracket.lo", "v_bracket.hi").first()
+    assert sum(lo <= v <= hi for v in values) < 40
+    assert X.exact_medians(df, "g", ["v"]).first()["v_median"] == statistics.median(values)
+    assert X.exact_medians(df.withColumn("v", F.lit(2.0)), "g", ["v"]).first()["v_median"] == 2.0
+
+
+def test_sweep_has_no_nested_loops(spark):
+    grid = [0.9, 0.1], [1.0, 0.5], [0.0, 0.3], [0, 2]
+    rows = [([0.0] * 10 + [0.5], 10, 1.0), ([0.95] * 11, 0, 0.75), ([0.2] * 11, None, 3.0), (None, 5, 9.0)]
+    out = X.sweep(spark.createDataFrame(rows, "normalised array<double>, steps_to_max int, lifetime_h double"), grid)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") <= 1  # the total, one row
+    for r in out.collect():
+        top = lambda h: max(h) >= r["max_if"] and max(h) >= sum(h[:10]) / 10 + r["delta"]  # noqa: E731, B023
+        assert r["n"] == sum(h is not None and top(h) and (-1 if s is None else s) >= r["steps"] and life >= r["lifetime"] for h, s, life in rows)
+    assert out.count() == 16
+
+
+def test_refresh_of_stale_days(spark, tmp_path):
+    """Days that are not stale keep their files, and are not read."""
+    days = [f"2024-01-0{d}" for d in range(1, 5)]
+    rows = spark.createDataFrame([(d, i) for i, d in enumerate(days * 3)], "date string, v int")
+    rows.write.partitionBy("date").parquet(f"file://{tmp_path}/source")
+    source = spark.read.schema("v int, date string").parquet(f"file://{tmp_path}/source")
+    seen = []
+
+    def total(df):
+        seen.append(df.inputFiles())
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.groupBy("date").agg(F.sum("v").alias("v"))
+
+    target = f"file://{tmp_path}/target"
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "target").glob("date=*/*.parquet")}
+    assert refresh_stale(source, target, source.select("date"), total) == 4
+    before = files()
+    assert refresh_stale(source, target, spark.createDataFrame([(days[1],), (days[1],)], "date string"), total) == 1
+    after = files()
+    assert {d for d in before if before[d] != after[d]} == {f"date={days[1]}"}
+    assert "PartitionFilters: [isnotnull(date" in seen[3] or "PartitionFilters: [(date" in seen[3]
+    assert refresh_stale(source, target, source.where("v < 0"), total) == 0 and files() == after
+    assert {r["date"]: r["v"] for r in spark.read.parquet(target).select(F.col("date").cast("string").alias("date"), "v").collect()} == {d: 12 + 3 * i for i, d in enumerate(days)}
+    with pytest.raises(ValueError, match="stale days"):
+        refresh_stale(source, target, source, total, most=3)
+
+
+def test_epochs(spark):
+    epochs = spark.createDataFrame([("a", "2022-01-02", 7), ("a", "2022-01-03", 9), ("b", "2022-01-01", 1)], "pole string, start string, epoch int")
+    cells = spark.createDataFrame([("a", "2022-01-01"), ("a", "2022-01-02"), ("a", "2022-01-02 23:59:00"), ("a", "2022-01-05"), ("b", "2022-01-05"), ("c", "2022-01-05")] * 2, "pole string, ts string")
+    got = [(r["pole"], str(r["ts"]), r["epoch"]) for r in epoch_of_frames(cells.withColumn("ts", F.col("ts").cast("timestamp")), epochs).collect()]
+    assert sorted({(p, t[8:10], e if e is not None else -1) for p, t, e in got}) == [("a", "01", -1), ("a", "02", 7), ("a", "05", 9), ("b", "05", 1), ("c", "05", -1)] and len(got) == 12

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytrace.functions.columns import resample
-from skytrace.operators.events import glaciation_events
-from skytrace.operators.sequences import first_rise, moving_mean, peaks, savgol
+from skytrace.operators.events import event_clock, event_metrics, first_event_times, glaciation_events, glaciation_events_of_long
+from skytrace.operators.sequences import first_rise, moving_mean, peaks, peaks_of_long, savgol
 
 
 def seq(spark, *lists):
@@ -88,3 +88,32 @@ def test_first_rise(spark):
 def test_resample(spark):
     got = spark.createDataFrame([([0.0, 1.0, 0.5],), ([2.0],), ([],)], "h array<double>").select(resample(F.col("h"), 5).alias("r")).collect()
     assert got[0]["r"] == pytest.approx([0, 0.5, 1, 0.75, 0.5]) and got[1]["r"] == [2.0] * 5 and got[2]["r"] is None
+
+
+def test_long_keys_are_like_short_ones(spark):
+    """Random histories with ties, of any number of chunks, and the same by arrays."""
+    rng = random.Random(7)
+    lists = [[rng.randrange(levels) / levels for _ in range(rng.randint(1, 40))] for levels in (2, 3, 5, 30) for _ in range(150)]
+    lists += [[0.5] * 12, [0.0], [0.1 * i for i in range(10)], [1 - 0.1 * i for i in range(10)], [0.5, 0.5, 0.2, 0.5, 0.5, 0.5, 0.5, 0.1, 0.5]]
+    df = seq(spark, *lists).cache()
+    key = lambda rows: sorted((r["key"], r["idx"], r["value"], round(min(r["persistence"], 9), 9)) for r in rows)
+    expected = key(peaks(df).collect())
+    events = lambda rows: sorted((r["key"], r["event_no"], r["start_idx"], r["peak_idx"], round(r["magnitude"], 9)) for r in rows)
+    found = events(glaciation_events(df).collect())
+    for chunk in (1, 4, 7, 1000):
+        assert key(peaks_of_long(df, chunk).collect()) == expected
+        assert events(glaciation_events_of_long(df, chunk=chunk).collect()) == found
+    assert found and peaks_of_long(df.where("key < 0")).count() == 0
+
+
+def test_clock(spark):
+    df = seq(spark, [0, 0.1, 0.9, 0.2, 0, 0.8, 0.1], [0.0, 0.9, 0.0, 0.5])
+    start = F.to_timestamp(F.lit("2022-01-01"))
+    late = F.when(F.col("idx") >= 5, 2 * F.col("key") + 60).otherwise(0)
+    times = df.select("key", "idx", (start + F.make_dt_interval(mins=(F.col("idx") * 15 + late).cast("int"))).alias("ts"))
+    out = event_clock(event_metrics(glaciation_events(df)), times)
+    got = {(r["key"], r["event_no"]): (r["time_min"], r["time_clock"]) for r in out.collect()}
+    assert got == {(0, 0): (30, 30.0), (0, 1): (15, 75.0), (1, 0): (15, 15.0)}
+    clouds = df.select("key").distinct().unionByName(spark.createDataFrame([(9,)], "key long"))
+    first = {r["key"]: (r["event_start_time"], r["event_end_time"]) for r in first_event_times(clouds, out).collect()}
+    assert str(first[0][0]).endswith("00:00:00") and str(first[0][1]).endswith("00:30:00") and first[9] == (None, None)

@@ -3,12 +3,12 @@
 Under BPE every prefix of a word has one encoding, and that encoding has one last token. An
 automaton yields the pieces that end at each place; a piece is the last token there if it is
 compatible with the last token of the prefix before it, that is if BPE would not merge across the
-two. The ids come out backwards from the last place. Words are cut where no piece can stand across,
-so the table is short and most words are found in a cache.
+two. The ids come out backwards from the last place. No piece stands across words, so tables are short, and most words are found in a cache.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,14 +23,14 @@ from .words import slices
 SPACE = "▁"
 
 
-class PieceCodec:
-    """Encodes and decodes as the sentencepiece library does, for BPE models that keep texts as they are.
+class PieceTables:
+    """What a model says: pieces by id, their ranks and last merges, and the automaton. The same for all tasks of a worker.
 
-    Such a model has byte fallback, a dummy prefix, no text normalisation and no own symbols; runs of
-    spaces are merged after everything else. Other models are refused with ValueError.
+    Models are those that the sentencepiece library reads as BPE and that keep texts as they are: byte fallback, a dummy prefix, no text normalisation and no own
+    symbols; runs of spaces are merged after everything else. Other models are refused with ValueError.
     """
 
-    def __init__(self, path: str, cache_bytes: int = 112 << 20) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -47,6 +47,7 @@ class PieceCodec:
         self.names = names
         self.silent = {i for i in range(size) if model.is_control(i)}
         self.ids = {x: i for i, x in enumerate(names) if not special[i]}
+        self.written = [str(i) for i in range(size)]
         words = [x for x in self.ids if x.strip(SPACE) or x == SPACE]
         self.runs = {len(x): i for x, i in self.ids.items() if not x.strip(SPACE)}
         if any(SPACE in x[1:] for x in words):
@@ -55,19 +56,14 @@ class PieceCodec:
             raise ValueError("the model merges spaces before words")
         merged = sorted((x for x in words if len(x) > 1), key=lambda x: -model.get_score(self.ids[x]))
         self.rank = {x: 0 for x in words if len(x) == 1} | {x: r for r, x in enumerate(merged, 1)}
-        self.inside = {x[i : i + 2] for x in merged for i in range(len(x) - 1)}
         self.parts: dict[str, tuple[str, str]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: by the ids of two neighbours; emptied when it is full
+        self.fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for x in words:
             if len(x) == 1 or self._split(x):
-                self.automaton.add_word(x, x)
+                self.automaton.add_word(x, (self.ids[x], len(x)))
         self.automaton.make_automaton()
-        self.cache_bytes, self.room = cache_bytes, cache_bytes // 2
-        self.known: dict[str, str] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.spoken: dict[str, str] = {}
-        self.older: tuple[dict, dict, dict] = {}, {}, {}
 
     def _split(self, piece: str) -> bool:
         """Find the last merge that makes a piece; False if BPE never ends with it."""
@@ -101,71 +97,79 @@ class PieceCodec:
             else:
                 until, later, right = b, True, self.parts[right][0]
 
-    def _table(self, word: str) -> list[int]:
-        """The ids of a stretch in which every neighbouring pair of characters occurs in some piece."""
-        if word not in self.rank and len(word) == 1:
-            return [self.bytes[b] for b in word.encode()]
-        last: list[str | None] = [None] * len(word)
+    def last_tokens(self, word: str) -> list[int]:
+        """The id of the last token of each prefix of a word, -1 where a letter is no piece."""
+        last = [-1] * len(word)
         fits = self.fits
-        for end, piece in self.automaton.iter(word):
-            if last[end] is not None:
+        for end, (token, size) in self.automaton.iter(word):
+            if last[end] >= 0:
                 continue
-            start = end - len(piece)
+            start = end - size
             if start < 0:
-                last[end] = piece
-            elif (before := last[start]) is not None:
-                apart = fits.get((before, piece))
+                last[end] = token
+            elif (before := last[start]) >= 0:
+                apart = fits.get(before << 32 | token)
                 if apart is None:
                     if len(fits) >= 1 << 17:
                         fits.clear()
-                    apart = fits[before, piece] = self.compatible(before, piece)
+                    apart = fits[before << 32 | token] = self.compatible(self.names[before], self.names[token])
                 if apart:
-                    last[end] = piece
-        out, at = [], len(word) - 1
-        while at >= 0:
-            out.append(self.ids[last[at]])
-            at -= len(last[at])
-        return out[::-1]
-
-    def _word(self, word: str) -> list[int]:
-        """The ids of a word with its space mark."""
-        out: list[int] = []
-        begin = 0
-        for i in range(1, len(word) + 1):
-            if i == len(word) or word[i - 1 : i + 1] not in self.inside:
-                stretch = word[begin:i]
-                ids = self.pieces.get(stretch)
-                if ids is None:
-                    ids = self.older[1].get(stretch) or self._table(stretch)
-                    if len(stretch) < len(word):  # whole words are kept by _learn()
-                        self._keep("pieces", stretch, ids, 40 * len(ids))
-                out += ids
-                begin = i
-        return out
+                    last[end] = token
+        return last
+
+
+@functools.lru_cache(maxsize=2)
+def piece_tables(path: str) -> PieceTables:
+    return PieceTables(path)
+
+
+class PieceCodec:
+    """Encodes and decodes as the sentencepiece library does. Caches of words are bounded by bytes and go with the codec."""
+
+    def __init__(self, path: str, cache_bytes: int = 112 << 20) -> None:
+        self.tables = piece_tables(path)
+        self.cache_bytes, self.room = cache_bytes, cache_bytes // 2
+        self.known: dict[str, str] = {}
+        self.spoken: dict[str, str] = {}
+        self.older: tuple[dict, dict] = {}, {}
+
+    def _word(self, word: str) -> str:
+        """The ids of a word with its space mark, comma-joined."""
+        tables, out, end = self.tables, [], len(word)
+        while end:
+            last = tables.last_tokens(word[:end])
+            while end and (token := last[end - 1]) >= 0:
+                out.append(tables.written[token])
+                end -= len(tables.names[token])
+            if end:  # a letter that is no piece is written in bytes, and what stands before it merges with nothing behind it
+                while end and word[end - 1] not in tables.rank:
+                    out += [tables.written[tables.bytes[b]] for b in reversed(word[end - 1].encode())]
+                    end -= 1
+        return ",".join(out[::-1])
 
     def _spaces(self, count: int) -> list[int]:
         """The ids of a run of space marks: the leftmost pair that makes a piece merges first."""
         done: list[int] = []
         for _ in range(count):
             done.append(1)
-            while len(done) > 1 and done[-2] + done[-1] in self.runs:
+            while len(done) > 1 and done[-2] + done[-1] in self.tables.runs:
                 done[-2:] = [done[-2] + done[-1]]
-        return [self.runs[n] for n in done]
+        return [self.tables.runs[n] for n in done]
 
-    def _keep(self, cache: str, key: str, value: object, size: int) -> None:
+    def _keep(self, cache: str, key: str, value: str) -> None:
         """Remember a result. Full caches become the older ones, which are emptied next time unless what they hold is asked for."""
-        self.room -= 160 + len(key) + size
+        self.room -= 160 + len(key) + len(value)
         if self.room < 0:
             self.room = self.cache_bytes // 2
-            self.older = self.known, self.pieces, self.spoken
-            self.known, self.pieces, self.spoken = {}, {}, {}
+            self.older = self.known, self.spoken
+            self.known, self.spoken = {}, {}
         getattr(self, cache)[key] = value
 
     def _learn(self, word: str) -> str:
         out = self.known.get(word)
         if out is None:
-            out = self.older[0].get(word) or ",".join(map(str, self._word(SPACE + word)))
-            self._keep("known", word, out, len(out))
+            out = self.older[0].get(word) or self._word(SPACE + word)
+            self._keep("known", word, out)
         return out
 
     def words(self, text: str) -> list[str]:
@@ -179,7 +183,7 @@ class PieceCodec:
                 return [known[p] for p in parts]
             except KeyError:
                 return [known.get(p) or self._learn(p) for p in parts]
-        out, empty, mark = [], 0, str(self.ids[SPACE])
+        out, empty, mark = [], 0, str(self.tables.ids[SPACE])
         for p in parts:
             if not p:
                 empty += 1
@@ -201,23 +205,23 @@ class PieceCodec:
         return [int(i) for word in self.words(text) for i in word.split(",")]
 
     def _speak(self, ids: str) -> str:
-        if text := self.spoken.get(ids) or self.older[2].get(ids):
-            self._keep("spoken", ids, text, len(text))
+        if text := self.spoken.get(ids) or self.older[1].get(ids):
+            self._keep("spoken", ids, text)
             return text
-        out, pending = [], bytearray()
+        tables, out, pending = self.tables, [], bytearray()
         for i in map(int, ids.split(",")):
-            if i in self.byte_of:
-                pending.append(self.byte_of[i])
+            if i in tables.byte_of:
+                pending.append(tables.byte_of[i])
                 continue
             if pending:
                 out.append(pending.decode(errors="replace"))
                 pending.clear()
-            if i not in self.silent:
-                out.append(self.names[i].replace(SPACE, " "))
+            if i not in tables.silent:
+                out.append(tables.names[i].replace(SPACE, " "))
         if pending:
             out.append(pending.decode(errors="replace"))
         text = "".join(out)
-        self._keep("spoken", ids, text, len(text))
+        self._keep("spoken", ids, text)
         return text
 
     def decode_words(self, words: list[str]) -> str:

@@ -105,9 +105,9 @@ class PieceTables:
             if last[end] >= 0:
                 continue
             start = end - size
-            if start < 0:
+            if start < 0 or (before := last[start]) < 0:  # nothing stands before it that could merge with it
                 last[end] = token
-            elif (before := last[start]) >= 0:
+            else:
                 apart = fits.get(before << 32 | token)
                 if apart is None:
                     if len(fits) >= 1 << 17:
@@ -136,15 +136,15 @@ class PieceCodec:
     def _word(self, word: str) -> str:
         """The ids of a word with its space mark, comma-joined."""
         tables, out, end = self.tables, [], len(word)
+        last = tables.last_tokens(word)
         while end:
-            last = tables.last_tokens(word[:end])
-            while end and (token := last[end - 1]) >= 0:
+            token = last[end - 1]
+            if token >= 0:
                 out.append(tables.written[token])
                 end -= len(tables.names[token])
-            if end:  # a letter that is no piece is written in bytes, and what stands before it merges with nothing behind it
-                while end and word[end - 1] not in tables.rank:
-                    out += [tables.written[tables.bytes[b]] for b in reversed(word[end - 1].encode())]
-                    end -= 1
+            else:  # a letter that is no piece is written in bytes and merges with nothing
+                out += [tables.written[tables.bytes[b]] for b in reversed(word[end - 1].encode())]
+                end -= 1
         return ",".join(out[::-1])
 
     def _spaces(self, count: int) -> list[int]:

@@ -128,6 +128,7 @@ class PieceCodec:
 
     def __init__(self, path: str, cache_bytes: int = 112 << 20) -> None:
         self.tables = piece_tables(path)
+        self.ids = self.tables.ids
         self.cache_bytes, self.room = cache_bytes, cache_bytes // 2
         self.known: dict[str, str] = {}
         self.spoken: dict[str, str] = {}

@@ -47,6 +47,7 @@ def test_pieces_of_odd_texts():
     pieces = list(own.ids)
     texts = ["", " ", "a  b", "▁x", "a\x00b", "<s>hi", "   lead", "trail  ", "  ①  ② ", "a" * 300, " " * 77 + "x" + " " * 1000, "日本語", "▁▁①", "😀 a😀"]
     texts += ["".join(random.choices(pieces, k=random.randint(1, 6))).replace("▁", " ") for _ in range(5000)]
+    texts += ["".join(random.choices("aint日漢ē😀▁ ", k=random.randint(1, 14))) for _ in range(2000)]  # letters before and behind some that are no pieces
     texts += ["".join(random.choices("abcdehinorst -('", k=random.randint(1, 14))) for _ in range(5000)]
     for t in texts:
         ids = model.encode(t)

@@ -42,7 +42,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (words in 8-word windows
     that occur twice or more in the text) and the shares in STATISTICS. Null text has no words and all
-    zeros. Windows are compared by 64-bit hashes within a text. Columns that clash are replaced.
+    zeros. Windows are compared by 64-bit hashes within a text. Columns that clash are replaced, and names that begin with two
+    underscores are the operator's own. Rows are treated alone, whatever their length; an empty table gives an empty one.
     """
     text, n = F.col("__t"), F.col("n_words")
     keep = [c for c in docs.columns if c not in (text_col, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATISTICS)]

@@ -108,3 +108,19 @@ def test_html_without_article():
     good = "This is the first paragraph of the article, and it is long enough to be decided as good by the rules: it has many of the stop words that prose in this language has, and no links in it at all. So it goes on."
     page = f"<body><ul><li><a href=1>one</a><li><a href=2>two</a></ul><div><p>{good}</p><p>Short one.</p><p>{good}</p></div><p>Tail</p><div><a href=3>more</a></div></body>"
     assert main_text(page) == f"{good}\nShort one.\n{good}"
+
+
+def test_lines_of_repeated_ids_fall_by_their_own_places(spark):
+    shared = "a line that stands in more than five documents of all"
+    texts = [(i, f"own {i}\n{shared}") for i in range(5)] + [(2, f"{shared}\nother\n {shared.upper()} \n\nlast"), (2, f"{shared}\nother\n {shared.upper()} \n\nlast"), (None, shared)]
+    got = dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str) == sorted(
+        [(i, f"own {i}", 2, 1) for i in range(4)] + [(4, f"own 4\n{shared}", 2, 0)] + [(2, "other\n\nlast", 5, 2)] * 2 + [(None, shared, 1, 0)], key=str
+    )
+
+
+def test_lines_of_a_long_document(spark):
+    shared = "a line that stands in more than five documents of all"
+    long = "\n".join(x for i in range(50_000) for x in (f"{shared} {i}", str(i)))
+    got = dedup_lines(spark.createDataFrame([(i, long) for i in range(5)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_dropped, r.text == (long if r.doc_id == 4 else "\n".join(map(str, range(50_000))))) for r in got} == {(i, 0 if i == 4 else 50_000, True) for i in range(5)}

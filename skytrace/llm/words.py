@@ -48,8 +48,11 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about ``limit`` bytes of text, one row at least, to bound memory."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``limit`` bytes of text, one row at least, to bound memory.
+
+    Arrays made of a slice take some 30 times its bytes. After the last one Arrow's free memory goes back, as the worker stays.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 22) -
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
@@ -91,7 +95,7 @@ def split_words(column: pa.Array, table: np.ndarray) -> Words:
     return Words(data, starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, at))
 
 
-def word_hashes(words: Words, limit: int = 1 << 22) -> np.ndarray:
+def word_hashes(words: Words, limit: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word."""
     out = np.zeros(len(words.starts), np.uint64)
     lo = 0

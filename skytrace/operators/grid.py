@@ -92,6 +92,8 @@ def nearest_within(targets: DataFrame, sources: DataFrame, radius: float = 60.0,
     Both sides are bucketed by latitude bands of the radius and, within a band, by longitude cells as wide as the
     radius there; a target looks into the neighbouring cells of its own and the two next bands. Ties go to the
     smallest key; targets without a source have null. Longitudes run from -180 to 180 and wrap around.
+    Of sources at one place only the smallest key can be the nearest, and targets at one place have the same one, so places are compared and not
+    rows. All places of a target's cells are.
     """
     degrees = radius / 111.0
 
@@ -104,14 +106,15 @@ def nearest_within(targets: DataFrame, sources: DataFrame, radius: float = 60.0,
         return F.least(F.floor((lon + 180) / 360 * cells(band)).cast("long"), cells(band) - 1)
 
     band = F.floor((F.col("lat") + 90) / degrees).cast("long")
-    right = sources.select(F.col(key), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), band.alias("band"), cell(F.col("lon"), band).alias("cell"))
-    left = targets.select("target_id", "lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    places = sources.groupBy("lat", "lon").agg(F.min(key).alias(key))
+    right = places.select(F.col(key), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), band.alias("band"), cell(F.col("lon"), band).alias("cell"))
+    left = targets.select("lat", "lon").distinct().select("lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     own = cell(F.col("lon"), F.col("band"))
     left = left.withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(own + d, cells(F.col("band")))))))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
     near = left.join(right, ["band", "cell"]).withColumn("km", d).where(F.col("km") <= radius)
-    best = near.groupBy("target_id").agg(F.min(F.struct("km", key)).alias("best"))
-    return targets.join(best, "target_id", "left").select("target_id", "lat", "lon", F.col(f"best.{key}").alias(key), F.col("best.km").alias("km"))
+    best = near.groupBy("lat", "lon").agg(F.min(F.struct("km", key)).alias("best"))
+    return targets.join(best, ["lat", "lon"], "left").select("target_id", "lat", "lon", F.col(f"best.{key}").alias(key), F.col("best.km").alias("km"))
 
 
 def regular_grid(points: DataFrame, ny: int, nx: int) -> DataFrame:

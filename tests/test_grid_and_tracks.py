@@ -113,6 +113,25 @@ def test_nearest_wraps(spark):
     assert {r["target_id"]: r["source_id"] for r in near.collect()} == {1: "a", 2: "b", 3: None}
 
 
+def test_nearest_compares_places(spark):
+    """Copies of a place make no more pairs: 50 targets and 50 sources at one place are one pair, and all have the smallest key."""
+    targets = spark.range(50).selectExpr("id AS target_id", "1.0D AS lat", "2.0D AS lon")
+    near = G.nearest_within(targets, spark.range(50).selectExpr("99 - id AS source_id", "1.0D AS lat", "2.1D AS lon"))
+    assert {(r["target_id"], r["source_id"]) for r in near.collect()} == {(i, 50) for i in range(50)}
+    pairs, plans = [], [near._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+        elif "QueryStage" in plan.nodeName():
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+            pairs.append(plan.metrics().apply("numOutputRows").value())
+    assert sorted(pairs) == [1, 50]
+
+
 def test_bins_are_layers(spark):
     """A cell that lies in bins of two widths is in a feature of each, and features of different bins don't touch."""
     cells = raster(spark, [(0, x) for x in range(4)]).withColumn("ctt", F.lit(G.ZERO_C) - F.when(F.col("x") < 2, 2.0).otherwise(7.0))

@@ -40,9 +40,9 @@ def split_on_gap(df: DataFrame, key: str, ts: str, step_minutes: int = 15, max_m
     """Keep the rows of a key up to its first gap of more than ``max_missing`` steps; all rows by default."""
     if max_missing is None:
         return df
-    w = Window.partitionBy(key).orderBy(ts)
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    gap = (seconds - F.lag(seconds).over(w)) > (max_missing + 1) * step_minutes * 60
+    w = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_last())
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))  # a gap may exceed the bound by less than a second
+    gap = (micros - F.lag(micros).over(w)) > (max_missing + 1) * step_minutes * 60_000_000
     return df.withColumn("__gap", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("__seg", F.sum("__gap").over(w)).where("__seg = 0").drop("__gap", "__seg")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions.columns import resample
 from skytrace.operators.events import event_clock, event_metrics, first_event_times, glaciation_events, glaciation_events_of_long
-from skytrace.operators.sequences import first_rise, moving_mean, peaks, peaks_of_long, savgol
+from skytrace.operators.sequences import first_rise, moving_mean, peaks, peaks_of_long, savgol, split_on_gap
 
 
 def seq(spark, *lists):
@@ -117,3 +117,10 @@ def test_clock(spark):
     clouds = df.select("key").distinct().unionByName(spark.createDataFrame([(9,)], "key long"))
     first = {r["key"]: (r["event_start_time"], r["event_end_time"]) for r in first_event_times(clouds, out).collect()}
     assert str(first[0][0]).endswith("00:00:00") and str(first[0][1]).endswith("00:30:00") and first[9] == (None, None)
+
+
+def test_gap_of_less_than_a_second_more(spark):
+    """A gap counts as soon as it exceeds the bound, by whatever; one that equals it doesn't."""
+    rows = spark.sql("""SELECT * FROM VALUES (1, 0, TIMESTAMP '2022-01-01 00:00:00.2'), (1, 1, TIMESTAMP '2022-01-01 00:30:00.9'),
+        (2, 0, TIMESTAMP '2022-01-01 00:00:00.9'), (2, 1, TIMESTAMP '2022-01-01 00:30:00.9') AS t(key, idx, ts)""")
+    assert sorted((r["key"], r["idx"]) for r in split_on_gap(rows, "key", "ts", 15, 1).collect()) == [(1, 0), (2, 0), (2, 1)]

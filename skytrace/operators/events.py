@@ -100,14 +100,14 @@ def event_rate(events: DataFrame, least: float = 0.01) -> DataFrame:
     """Add ``rates`` per step and ``mean_rate``, per hour. Needs ``linear`` and ``history``.
 
     Linear events have one constant rate. Others have the first differences per hour, scaled to add up to the magnitude, that
-    exceed ``least``.
+    exceed ``least``; rounded to nine digits for that, so that the noise of doubles does not lift one that equals it.
     """
     steps = F.col("peak_idx") - F.col("start_idx")
     constant = F.array_repeat(rate(F.col("magnitude"), F.col("time_h")), steps)
     out = events.withColumn("__d", F.transform(F.sequence(F.col("start_idx") + 1, F.col("peak_idx")), lambda i: F.get("history", i) - F.get("history", i - 1)))
-    total = F.aggregate("__d", F.lit(0.0), lambda s, x: s + x)
+    total = F.get("history", "peak_idx") - F.get("history", "start_idx")
     scaled = F.transform("__d", lambda d: F.try_divide(d * F.col("magnitude"), total) * (60 / STEP_MINUTES))
-    out = out.withColumn("rates", F.when(F.col("linear"), constant).otherwise(F.filter(scaled, lambda x: x > least)))
+    out = out.withColumn("rates", F.when(F.col("linear"), constant).otherwise(F.filter(scaled, lambda x: F.round(x, 9) > least)))
     return out.withColumn("mean_rate", arr_mean(F.col("rates"))).drop("__d")
 
 

@@ -164,12 +164,12 @@ def i5(spark, sf):
 @query(
     "i6_event_rate",
     f"""WITH RECURSIVE {SHAPE}, d AS (SELECT *, CASE WHEN line_rmse <= 0.0563 * 2.0 THEN list_transform(range(start_idx, peak_idx), lambda i: magnitude / ((peak_idx - start_idx) * 0.25::DOUBLE))
-  ELSE list_filter(list_transform(range(start_idx + 1, peak_idx + 1), lambda i: (history[i + 1] - history[i]) * magnitude / (history[peak_idx + 1] - history[start_idx + 1]) * 4), lambda x: x > 0.01) END AS rates FROM shape)
-SELECT key, event_no, CAST(len(rates) AS INTEGER) AS n_rates, round(list_avg(rates), 6) AS mean_rate FROM d""",
+  ELSE list_filter(list_transform(range(start_idx + 1, peak_idx + 1), lambda i: (history[i + 1] - history[i]) * magnitude / (history[peak_idx + 1] - history[start_idx + 1]) * 4), lambda x: round(x, 9) > 0.01) END AS rates FROM shape)
+SELECT key, event_no, CAST(len(rates) AS INTEGER) AS n_rates, round(list_avg(rates), 9) AS mean_rate FROM d""",
 )
 def i6(spark, sf):
     out = E.event_rate(E.event_shape(E.events_table(seq(spark, sf))))
-    return out.select("key", "event_no", F.size("rates").alias("n_rates"), r("mean_rate", 6))
+    return out.select("key", "event_no", F.size("rates").alias("n_rates"), r("mean_rate"))
 
 
 #: SEQ with the smoothed values of e5 in place of the values.

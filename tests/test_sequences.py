@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytrace.functions.columns import resample
-from skytrace.operators.events import event_clock, event_metrics, first_event_times, glaciation_events, glaciation_events_of_long
+from skytrace.operators.events import event_clock, event_metrics, event_rate, first_event_times, glaciation_events, glaciation_events_of_long
 from skytrace.operators.sequences import first_rise, moving_mean, peaks, peaks_of_long, savgol, split_on_gap
 
 
@@ -124,3 +124,11 @@ def test_gap_of_less_than_a_second_more(spark):
     rows = spark.sql("""SELECT * FROM VALUES (1, 0, TIMESTAMP '2022-01-01 00:00:00.2'), (1, 1, TIMESTAMP '2022-01-01 00:30:00.9'),
         (2, 0, TIMESTAMP '2022-01-01 00:00:00.9'), (2, 1, TIMESTAMP '2022-01-01 00:30:00.9') AS t(key, idx, ts)""")
     assert sorted((r["key"], r["idx"]) for r in split_on_gap(rows, "key", "ts", 15, 1).collect()) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_rate_that_equals_the_least(spark):
+    """A rise of 0.0025 a step is a rate of 0.01, which does not exceed it, however the doubles fall."""
+    history = [0.1, 0.7, 0.7025, 0.705, 0.8, 0.8025]
+    assert len({h - g > 0.0025 for g, h in zip(history, history[1:], strict=False) if h - g < 0.003}) == 2
+    rows = spark.createDataFrame([(0, 5, 0.7025, 1.25, False, history)], "start_idx int, peak_idx int, magnitude double, time_h double, linear boolean, history array<double>")
+    assert event_rate(rows).first()["rates"] == pytest.approx([2.4, 0.38])

@@ -33,7 +33,9 @@ def link_features(labelled: DataFrame, step_minutes: int = STEP, max_gap_h: floa
         later = cells.select(*layer, _later(F.col("ts"), -k * step_minutes).alias("ts"), "y", "x", F.col("f").alias("b"))
         pairs = cells.withColumnRenamed("f", "a").join(later, [*layer, "ts", "y", "x"]).groupBy("a", "b").agg(F.count("*").alias("overlap"))
         out = pairs if out is None else out.unionByName(pairs)
-    out = out.join(size.select(F.col("f").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("f").alias("b"), F.col("n").alias("n_b")), "b")
+    # the pairs are few beside the features, whose side is not sorted
+    out = out.hint("shuffle_hash").join(size.select(F.col("f").alias("a"), F.col("n").alias("n_a")), "a")
+    out = out.hint("shuffle_hash").join(size.select(F.col("f").alias("b"), F.col("n").alias("n_b")), "b")
     out = out.withColumn("share_a", F.col("overlap") / F.col("n_a")).withColumn("share_b", F.col("overlap") / F.col("n_b"))
     order = Window.partitionBy("a").orderBy(F.col("overlap").desc(), "b")
     out = out.where(F.greatest("share_a", "share_b") >= least).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
@@ -57,14 +59,21 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def assign_tracks(labelled: DataFrame, links: DataFrame, layer: Sequence[str] = LAYER) -> DataFrame:
-    """``f`` (feature), ``track_id``: chains of mutual best links, numbered by their first feature."""
+    """``f`` (feature), ``track_id``: chains of mutual best links, numbered by their first feature.
+
+    Most features have no link and are their own first, so only those with one are grouped; joins hash the links' side, so that
+    no task sorts its features for them.
+    """
     order = ["ts", *layer, "label_y", "label_x"]
     features = labelled.select(F.struct(*feature_key(layer)).alias("f")).distinct()
-    comp = components(mutual_links(links).select("a", "b"))
-    named = features.join(comp.withColumnRenamed("node", "f"), "f", "left").withColumn("comp", F.coalesce("comp", "f"))
-    first = named.groupBy("comp").agg(F.min(F.struct(*(f"f.{c}" for c in order))).alias("first")).select("comp", "first.*")
-    ids = numbered(first, "track_id", *order)
-    return named.join(ids.select("comp", "track_id"), "comp").select("f", "track_id")
+    comp = components(mutual_links(links).select("a", "b")).withColumnRenamed("node", "f").hint("shuffle_hash")
+    comp = written(comp.join(features, "f"), "linked")
+    first = comp.groupBy("comp").agg(F.min(F.struct(*(f"f.{c}" for c in order))).alias("x"))
+    first = first.select("comp", F.struct(*(F.col(f"x.{c}") for c in feature_key(layer))).alias("first"))
+    later = written(comp.join(first, "comp").where("f <> first").select("f", "first"), "later")
+    heads = features.join(later.select("f").hint("shuffle_hash"), "f", "left_anti").select("f.*")
+    ids = numbered(heads, "track_id", *order).select(F.struct(*feature_key(layer)).alias("f"), "track_id")
+    return ids.unionByName(later.hint("shuffle_hash").join(ids.withColumnRenamed("f", "first"), "first").select("f", "track_id"))
 
 
 def track_stats(tracks: DataFrame, step_minutes: int = STEP) -> DataFrame:
@@ -76,16 +85,16 @@ def track_stats(tracks: DataFrame, step_minutes: int = STEP) -> DataFrame:
 
 def merges_and_splits(tracks: DataFrame, links: DataFrame) -> DataFrame:
     """``side, main, kind, ts``: links between tracks. A track that ends in another merges, one that begins in another splits."""
-    return _sides(tracks, links).select("side", "main", "kind", "ts").distinct()
+    return _sides(tracks, links.select("a", "b")).distinct()
 
 
 def _sides(tracks: DataFrame, links: DataFrame) -> DataFrame:
-    """As merges_and_splits(), with the ``overlap`` of each link."""
-    span = track_stats(tracks)
+    """As merges_and_splits(), a row per link, with the other columns of the links."""
+    span, more = track_stats(tracks), [c for c in links.columns if c not in ("a", "b")]
     side = links.join(tracks.select(F.col("f").alias("a"), F.col("track_id").alias("ta")), "a").join(tracks.select(F.col("f").alias("b"), F.col("track_id").alias("tb")), "b").where("ta <> tb")
     side = side.join(span.select(F.col("track_id").alias("ta"), F.col("end").alias("end_a")), "ta").join(span.select(F.col("track_id").alias("tb"), F.col("start").alias("start_b")), "tb")
-    merge = side.where("a.ts = end_a").select(F.col("ta").alias("side"), F.col("tb").alias("main"), F.lit("merge").alias("kind"), F.col("b.ts").alias("ts"), "overlap")
-    split = side.where("b.ts = start_b").select(F.col("tb").alias("side"), F.col("ta").alias("main"), F.lit("split").alias("kind"), F.col("b.ts").alias("ts"), "overlap")
+    merge = side.where("a.ts = end_a").select(F.col("ta").alias("side"), F.col("tb").alias("main"), F.lit("merge").alias("kind"), F.col("b.ts").alias("ts"), *more)
+    split = side.where("b.ts = start_b").select(F.col("tb").alias("side"), F.col("ta").alias("main"), F.lit("split").alias("kind"), F.col("b.ts").alias("ts"), *more)
     return merge.unionByName(split)
 
 
@@ -132,7 +141,7 @@ def attach_merge_split(
     equals. A main may be a side of another; ids follow to the end. A side never joins a track that ranks below it (by duration, then area, then the smaller
     id), so there are no circles.
     """
-    joined, about = _joinable(_sides(tracks, links), tracks, labelled, cell_area, side_h, main_area, main_h, layer)
+    joined, about = _joinable(_sides(tracks, links.select("a", "b", "overlap")), tracks, labelled, cell_area, side_h, main_area, main_h, layer)
     rank = F.struct("duration_h", "area", (-F.col("track_id")).alias("id"))
     ranked = lambda name: about.select(F.col("track_id").alias(name), rank.alias(f"{name}_rank"))
     up = joined.join(ranked("side"), "side").join(ranked("main"), "main").where("main_rank > side_rank")

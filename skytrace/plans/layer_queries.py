@@ -36,7 +36,8 @@ def _sliced(spark, sf):
 
 
 def _tracked(blocks, by=BINNED):
-    cells = written(J.label_features(J.feature_cells(blocks), layer=by), "labelled")
+    cells = written(J.feature_cells(blocks), "cells")  # read twice
+    cells = written(J.label_features(cells, layer=by), "labelled")
     links = written(T.link_features(cells, layer=by), "links")
     return cells, links, written(T.assign_tracks(cells, links, by), "tracks")
 

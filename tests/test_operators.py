@@ -182,3 +182,22 @@ def test_epochs(spark):
     cells = spark.createDataFrame([("a", "2022-01-01"), ("a", "2022-01-02"), ("a", "2022-01-02 23:59:00"), ("a", "2022-01-05"), ("b", "2022-01-05"), ("c", "2022-01-05")] * 2, "pole string, ts string")
     got = [(r["pole"], str(r["ts"]), r["epoch"]) for r in epoch_of_frames(cells.withColumn("ts", F.col("ts").cast("timestamp")), epochs).collect()]
     assert sorted({(p, t[8:10], e if e is not None else -1) for p, t, e in got}) == [("a", "01", -1), ("a", "02", 7), ("a", "05", 9), ("b", "05", 1), ("c", "05", -1)] and len(got) == 12
+
+
+def test_tracks_sort_no_features(spark):
+    """Joins of tracks hash the links' side and leave the features, most of which have no link, unsorted."""
+    t = [datetime.datetime(2022, 1, 1) + datetime.timedelta(minutes=15 * k) for k in range(3)]
+    labelled = spark.createDataFrame([("np", t[k], 2 * y, 0, 2 * y, 0) for k in range(3) for y in range(4)], "pole string, ts timestamp, y int, x int, label_y int, label_x int")
+    f = lambda k, y: ("np", t[k], 2 * y, 0)
+    feature = "struct<pole:string,ts:timestamp,label_y:int,label_x:int>"
+    links = spark.createDataFrame([(f(0, 2), f(1, 1), 5), (f(1, 1), f(2, 3), 4), (f(1, 1), f(2, 0), 3)], f"a {feature}, b {feature}, overlap int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = K.assign_tracks(labelled, links)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+        got = {tuple(r["f"])[1:3]: r["track_id"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    firsts = [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
+    want = {(t[k], 2 * y): i + 1 for i, (k, y) in enumerate(firsts)}
+    assert got == want | {(t[1], 2): 3, (t[2], 6): 3}

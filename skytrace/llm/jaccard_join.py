@@ -240,7 +240,7 @@ class _Join:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 20, worth: int = 30,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, share: float = 0.375, rounds: int = 20, worth: int = 3,
     block: int = 2000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` for every row: the smallest id that links reach.

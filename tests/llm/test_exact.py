@@ -172,6 +172,24 @@ def test_jaccard_options(spark):
         assert got == expected
 
 
+def test_jaccard_compares_no_linked_group(spark, monkeypatch):
+    """Near copies that a pivot links are not compared with each other any more."""
+    from skytrace.llm.jaccard_join import _Join
+
+    left, rest = [], _Join.rest
+
+    def counted(self, rows, block):
+        out = rest(self, rows, block)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(_Join, "rest", counted)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:10 + i], f"x{i}", *base[11 + i:]])) for i in range(40)]
+    got = {r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0} and left == [0]
+
+
 def test_jaccard_of_a_large_group(spark):
     """2,000 near copies of one text, most of them linked by way of others only."""
     rng, rows = random.Random(7), []

@@ -14,8 +14,8 @@ themselves: a stretch is a near copy if enough of its shingles occur in the othe
 1. Every window meets the first window of its value.
 2. In values where that leaves a window without a near copy, windows are grouped by the exact shingles right or left of
    the centre too, and meet the first of each group.
-3. Windows that still have no near copy, but neighbouring shingles in common with another window of their value, meet all windows of
-   their value; those with two windows or more on a diagonal are candidates.
+3. Windows that still have no near copy meet all windows of their value that share a rare print with them: a shingle or a run that few windows of
+   the value have. Each window lists its rarest prints, as many as leave a near copy no room beside them.
 
 Exact copies need no comparison. Windows that hold the same shingles all through are grouped by a hash of them, and only the first of each
 group takes part in the steps above, which keeps them small where many copies are. Of these, each run of the whole length whose
@@ -29,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,18 +244,19 @@ def near_stretches(a: np.ndarray, b: np.ndarray, length: int, percent: int) -> t
     return _merged(start[long], end[long])
 
 
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    if not len(column):
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u4"), (at - at[0]) // 4
+
+
 def _verify(length: int, percent: int, reach: int, columns: list[str]):
     """Each candidate's near-equal stretches, and which of its windows lie in none."""
     stretch = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("similarity", pa.float64())]))
     part = 2 * percent / (100 + percent)
 
-    def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not len(column):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        _, offsets, data = column.buffers()
-        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u4"), (at - at[0]) // 4
-
     def may_match(a: np.ndarray, row_a: np.ndarray, b: np.ndarray, row_b: np.ndarray, n: int) -> np.ndarray:
         """False for candidates with too few places whose shingle can occur in the other sequence, by its last bits."""
         seen = np.zeros((n, 4096), bool)
@@ -266,7 +268,7 @@ def _verify(length: int, percent: int, reach: int, columns: list[str]):
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 n = batch.num_rows
-                (a, at), (b, bt) = tokens(batch.column("a")), tokens(batch.column("b"))
+                (a, at), (b, bt) = _tokens(batch.column("a")), _tokens(batch.column("b"))
                 row_a, row_b = (np.repeat(np.arange(n), np.diff(x)) for x in (at, bt))
                 may = may_match(a, row_a, b, row_b, n) & may_match(b, row_b, a, row_a, n)
                 hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
@@ -296,13 +298,136 @@ def _verify(length: int, percent: int, reach: int, columns: list[str]):
     return run
 
 
+def _prints(run: int):
+    """``value, id, c, fine, print, lo, hi, begin, end`` of windows with the shingles around them.
+
+    Where ``fine``, each shingle is a print. Elsewhere prints are hashes of three quarters of a run of ``run`` shingles, one for each run: the least of its
+    parts of that length, so that an equal run in another text has an equal one. ``lo`` to ``hi`` are the places, from the centre, whose runs have the print.
+    """
+    names = ["value", "id", "c", "fine", "print", "lo", "hi", "begin", "end"]
+
+    def made(batch: pa.RecordBatch, run: int) -> pa.RecordBatch:
+        part = run - run // 4
+        tokens, at = _tokens(batch.column("tokens"))
+        starts, row = _starts(at[:-1], np.diff(at), run)
+        low = np.zeros(0, np.uint64)
+        if len(starts):
+            hashes = run_hashes(tokens.astype(np.uint64), part, np.arange(len(tokens) - part + 1))
+            low = lowest((hashes & ~LOW) | np.arange(len(hashes), dtype=np.uint64), run - part + 1)[starts]
+        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(low, prepend=~np.uint64(0)) != 0))
+        last, of = np.append(new[1:], len(starts))[: len(new)] - 1, row[new]
+        begin = batch.column("begin").to_numpy().astype(np.int64)
+        place = (begin - at[:-1])[of]
+        shorts = [pa.array(x, pa.int16()) for x in (starts[new] + place, starts[last] + place, begin[of], (begin + np.diff(at))[of])]
+        own = [batch.column(c).take(pa.array(of)) for c in names[:4]]
+        return pa.RecordBatch.from_arrays([*own, pa.array((low[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)), *shorts], names)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 4096):
+                batch = whole.slice(first, 4096)
+                fine = batch.column("fine")
+                yield made(batch.filter(fine), 1)
+                yield made(batch.filter(pc.invert(fine)), run)
+
+    return one
+
+
+def may_copy(common: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, percent: int, reach: int, run: int, shingle: int) -> np.ndarray:
+    """Of each window: can a near copy hold its centre, if no runs of ``run`` shingles but those in ``common`` are copied whole?
+
+    ``common[i, p]`` is the run from place ``p - reach`` of the centre on; the text goes from ``begin`` to ``end`` (exclusive). A run that is not copied
+    holds an edit, and an edit takes ``shingle - 1`` shingles or more. So a stretch with as many runs apart as its score has no room for is no near copy.
+    """
+    n, width, far = len(common), 2 * reach + 1, 1 << 20
+    place = np.arange(width)
+    missing = np.full((n, far_end := width + run + 1), far)
+    at = place[: common.shape[1]]
+    missing[:, : common.shape[1]] = np.where(common, far, at)
+    following = np.minimum.accumulate(missing[:, ::-1], 1)[:, ::-1]
+    start, stop = place[: reach + 1], (end + reach)[:, None]
+    inside = start >= (begin + reach)[:, None]
+    cost = max(shingle - 1, 0.5) / (1 - 2 * percent / (100 + percent)) if percent < 100 else math.inf
+    out, edits = np.zeros(n, bool), 0
+    cut = following[:, start]
+    while True:
+        limit = np.minimum(cut + run - 1, stop)
+        out |= (inside & (limit - start >= max(length, edits * cost if edits else 0) - 1e-9) & (limit > reach)).any(1)
+        edits += 1
+        if edits * cost > width:
+            return out
+        cut = np.take_along_axis(following, np.minimum(cut + run, far_end - 1), 1)
+
+
+def may_copy_shingles(common: np.ndarray, length: int, percent: int, reach: int, shingle: int) -> np.ndarray:
+    """As may_copy(), of single shingles: those not in ``common`` are missing in the other text, which has ``shingle - 1`` others or more at each gap.
+
+    A stretch begins and ends with common shingles here; what this takes off its length is an edit at most.
+    """
+    missing = ~common
+    gaps = missing & np.hstack([np.ones((len(common), 1), bool), common[:, :-1]])
+    score = 1 - missing / 2 - gaps * ((shingle - 1) / 2) - 2 * percent / (100 + percent)
+    total = np.hstack([np.zeros((len(common), 1)), np.cumsum(score, 1)])
+    ends = np.where(common, total[:, 1:], -np.inf)
+    best = np.maximum.accumulate(ends[:, ::-1], 1)[:, ::-1]  # of the stretches that end with this place or a later one
+    start = np.arange(reach + 1)
+    stop = np.maximum(start + max(1, length - shingle + 1) - 1, reach)
+    inside = stop < common.shape[1]
+    start, stop = start[inside], stop[inside]
+    return (common[:, start] & (best[:, stop] - total[:, start] >= -1e-9)).any(1)
+
+
+def _rarest(length: int, percent: int, reach: int, run: int, shingle: int):
+    """``value, id, c, print``: of each window the rarest prints, as many as leave a near copy no room beside them.
+
+    Two windows that are near copies have the rarest print that they share among these, since what is left of either is not enough.
+    """
+
+    def chosen(batch: pa.RecordBatch, fine: bool) -> pa.RecordBatch:
+        lists = batch.column("prints")
+        count, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+        lo, hi = (flat.field(c).to_numpy().astype(np.int64) + reach for c in ("lo", "hi"))
+        row = np.repeat(np.arange(len(count)), count)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        begin, end = (batch.column(c).to_numpy().astype(np.int64) for c in ("begin", "end"))
+
+        def possible(skipped: np.ndarray) -> np.ndarray:
+            """Without the ``skipped`` rarest prints of each window."""
+            held = np.zeros((len(count), 2 * reach + 2), np.int32)
+            kept = rank >= skipped[row]
+            np.add.at(held, (row[kept], lo[kept]), 1)
+            np.add.at(held, (row[kept], hi[kept] + 1), -1)
+            common = np.cumsum(held, 1)[:, :-1] > 0
+            return may_copy_shingles(common, length, percent, reach, shingle) if fine else may_copy(common[:, : 2 * reach + 2 - run], begin, end, length, percent, reach, run, shingle)
+
+        # the least number of prints whose lack leaves no near copy
+        least, most = np.zeros(len(count), np.int64), count.copy()
+        while (least < most).any():
+            mid = (least + most) // 2
+            yes = possible(mid)
+            least, most = np.where(yes & (least < most), mid + 1, least), np.where(yes | (least >= most), most, mid)
+        kept = np.flatnonzero(rank < least[row])
+        own = [batch.column(c).take(pa.array(row[kept])) for c in ("value", "id", "c")]
+        return pa.RecordBatch.from_arrays([*own, flat.field("print").take(pa.array(kept))], ["value", "id", "c", "print"])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
+                fine = batch.column("fine")
+                yield chosen(batch.filter(fine), True)
+                yield chosen(batch.filter(pc.invert(fine)), False)
+
+    return one
+
+
 class _Passages:
-    def __init__(self, entries: DataFrame, stretches: DataFrame, length: int, percent: int, reach: int, scratch: Scratch) -> None:
+    def __init__(self, entries: DataFrame, stretches: DataFrame, length: int, percent: int, reach: int, shingle: int, scratch: Scratch) -> None:
         self.entries, self.stretches, self.scratch = entries, stretches, scratch
-        self.length, self.percent, self.reach = length, percent, reach
+        self.length, self.percent, self.reach, self.shingle = length, percent, reach, shingle
 
-    def verified(self, pairs: DataFrame, name: str, least: int = 1) -> DataFrame:
-        """``id, first, shift, found, windows, open`` of the candidates ``id, c, value, first, first_c`` with ``least`` windows on their diagonal."""
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """``id, first, shift, found, windows, open`` of the candidates ``id, c, value, first, first_c``."""
         reach = self.reach
         diagonals = pairs.groupBy("id", "first", (F.col("c") - F.col("first_c")).alias("shift")).agg(F.array_sort(F.collect_set(F.struct("c", "value"))).alias("w"))
         # windows of a diagonal that are far apart make candidates of their own
@@ -311,7 +436,6 @@ class _Passages:
         cut = F.arrays_zip(begins.alias("lo"), ends.alias("hi"))
         diagonals = diagonals.select("id", "first", "shift", "w", F.explode(cut).alias("part")).select("id", "first", "shift", "w", F.col("part")["lo"]["c"].alias("lo"), F.col("part")["hi"]["c"].alias("hi"))
         diagonals = diagonals.select("id", "first", "shift", "lo", "hi", F.filter("w", lambda x: x["c"].between(F.col("lo"), F.col("hi"))).alias("windows"))
-        diagonals = diagonals.where(F.size("windows") >= least)
 
         def piece(low: Column, high: Column) -> tuple[Column, Column]:
             begin = F.greatest(low - reach, F.col("s.start"))
@@ -345,43 +469,38 @@ class _Passages:
         leads = leads.join(known, "value").where("first <> x OR first_c <> y").drop("x", "y")
         again = self.verified(keyed.join(leads, ["value", "side", "key"]).where(F.col("id") != F.col("first")).select("id", "c", "value", "first", "first_c"), "again")
 
-        # what is linked to nothing yet, the first windows of each value too, meets all windows of its value
-        linked = lambda df: df.where("size(found) > 0").select("id", "first", "shift", F.explode(F.array_except("windows", "open")).alias("w"))
-        both = linked(near).unionByName(linked(again))
+        # what is linked to nothing yet, the first windows of each value too, meets all of its value that share what is rare in it
+        both = near.unionByName(again).where("size(found) > 0").select("id", "first", "shift", F.explode(F.array_except("windows", "open")).alias("w"))
         done = both.select("id", "w.c", "w.value").unionByName(both.select(F.col("first").alias("id"), (F.col("w.c") - F.col("shift")).alias("c"), "w.value")).distinct()
         alone = self.scratch.write(around.select("id", "c", "value").join(done, ["id", "c", "value"], "left_anti"), "alone")
-        alone = self.scratch.write(self.supported(alone, around), "unlinked")
-        one = alone.select("value", "id", "c")
-        other = around.join(alone.select("value").distinct(), "value", "left_semi").join(one.withColumn("waits", F.lit(True)), ["value", "id", "c"], "left").select("value", F.col("id").alias("first"), F.col("c").alias("first_c"), "waits")
-        pairs = one.join(other, "value").where("id <> first AND (waits IS NULL OR id < first)")
-        last = self.verified(pairs.select("id", "c", "value", "first", "first_c"), "last", 2)
+        last = self.verified(self.sharing(alone, around), "last")
         found = near.unionByName(again).unionByName(last)
         # the smaller id stands for the other one
         found = found.select("id", "first", "shift", F.inline("found"))
         turned = found.where("first > id").select(F.col("first").alias("id"), F.col("id").alias("first"), (-F.col("shift")).alias("shift"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"), "similarity")
         return found.where("first < id").unionByName(turned)
 
-    def supported(self, alone: DataFrame, around: DataFrame, step: int = 5) -> DataFrame:
-        """The windows that lie in a stretch of the least length whose shingles, but for a few, other documents' windows of the value have at the same places.
+    def sharing(self, alone: DataFrame, around: DataFrame, hot: int = 64) -> DataFrame:
+        """``id, c, value, first, first_c``: windows of ``alone`` with those of their value that they can be near copies of: both have one of their rarest prints in common.
 
-        One place in ``step`` is looked at, so that a changed word, which changes ``shingle`` shingles, is met once.
+        Prints stand for runs; in values of more than ``hot`` windows, where the same runs are in many, each shingle is a print.
         """
-        key, n = ["value", "id", "c"], -(-self.length // step) - 1
-        offsets = F.array(*(F.lit(k * step) for k in range(-n, n + 1) if k))
-
-        def one(df: DataFrame) -> DataFrame:
-            held = self.stretches.alias("s")
-            rows = df.select(*key).alias("w").join(held, (F.col("w.id") == F.col("s.id")) & F.col("w.c").between(F.col("s.start"), F.col("s.end") - 1))
-            rows = rows.select("w.*", "s.start", "s.end", "s.tokens", F.explode(offsets).alias("offset")).where((F.col("c") + F.col("offset") >= F.col("start")) & (F.col("c") + F.col("offset") < F.col("end")))
-            return rows.select(*key, "offset", F.substring("tokens", 4 * (F.col("c") + F.col("offset") - F.col("start")) + 1, F.lit(4)).alias("token"))
-
-        same = one(around.join(alone.select("value").distinct(), "value", "left_semi")).groupBy("value", "offset", "token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("value", "offset", "token")
-        bit = F.expr(f"shiftleft(1, cast(offset / {step} as int) + {n})")
-        marks = one(alone).join(same, ["value", "offset", "token"]).groupBy(*key).agg(F.bit_or(bit).bitwiseOR(1 << n).alias("marks"))
-        # of the places in any stretch of the least length that holds the centre
-        full = (1 << (n + 1)) - 1
-        most = F.greatest(*(F.bit_count(F.shiftright("marks", k).bitwiseAND(full)) for k in range(n + 1)))
-        return marks.where(most >= math.floor((n + 1) * 2 * self.percent / (100 + self.percent))).select(*key)
+        key, same, copied = ["value", "id", "c"], Window.partitionBy("value", "print"), self.length // 3 + 1
+        # two windows have met in the first step
+        values = around.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 2 AND low <> high")
+        rows = around.select(*key).join(values.join(alone.select("value").distinct(), "value", "left_semi").select("value", (F.col("n") > hot).alias("fine")), "value").alias("w")
+        rows = rows.join(self.stretches.alias("s"), (F.col("w.id") == F.col("s.id")) & F.col("w.c").between(F.col("s.start"), F.col("s.end") - 1))
+        begin, end = F.greatest(F.col("c") - self.reach, F.col("start")), F.least(F.col("c") + self.reach + 1, F.col("end"))
+        rows = rows.where(end - begin >= self.length).select("w.*", (begin - F.col("c")).alias("begin"), F.substring("tokens", 4 * (begin - F.col("start")) + 1, 4 * (end - begin)).alias("tokens"))
+        kind = around.schema["id"].dataType.simpleString()
+        prints = rows.mapInArrow(_prints(copied), f"value long, id {kind}, c int, fine boolean, print int, lo short, hi short, begin short, end short")
+        prints = prints.select("*", F.count("*").over(same).cast("int").alias("n"), F.min("id").over(same).alias("low"), F.max("id").over(same).alias("high")).where("low <> high")
+        prints = prints.groupBy(*key, "fine").agg(F.first("begin").alias("begin"), F.first("end").alias("end"), F.array_sort(F.collect_list(F.struct("n", "print", "lo", "hi"))).alias("prints"))
+        rare = prints.mapInArrow(_rarest(self.length, self.percent, self.reach, copied, self.shingle), f"value long, id {kind}, c int, print int").distinct()
+        rare = self.scratch.write(rare.join(alone.select(*key, F.lit(True).alias("waits")), key, "left"), "rare")
+        other = rare.select("value", "print", F.col("id").alias("first"), F.col("c").alias("first_c"), F.col("waits").alias("both"))
+        pairs = rare.where("waits").join(other, ["value", "print"]).where("id <> first AND (both IS NULL OR id < first)")
+        return pairs.select("id", "c", "value", "first", "first_c")
 
 
 def repeated_passages(
@@ -427,7 +546,7 @@ def repeated_passages(
     stretches = stored.where("value IS NULL").select("id", F.col("c").alias("start"), (F.col("c") + F.octet_length("tokens") / 4).cast("int").alias("end"), "tokens")
     # the first window of each value, of those that are no plain ones
     shared = scratch.write(entries.groupBy("value").agg(F.min(F.struct("id", "c")).alias("f")), "first")
-    found = _Passages(entries, stretches, length, percent, reach, scratch).run(shared)
+    found = _Passages(entries, stretches, length, percent, reach, shingle, scratch).run(shared)
 
     # exact copies: equal runs of the whole length; runs of a diagonal that overlap or touch are one stretch
     runs = stored.where("tokens IS NOT NULL AND value IS NOT NULL").select("id", "c", F.col("value").alias("run"))

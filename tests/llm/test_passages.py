@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from skytrace.llm.substring_dedup import compact_windows, near_stretches, ordered, repeated_passages
+from skytrace.llm.substring_dedup import _prints, _rarest, compact_windows, near_stretches, ordered, repeated_passages
 
 
 def words(rng, n):
@@ -136,3 +137,58 @@ def test_equal_texts(spark):
     for limit in (1_000_000, 0):
         got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["class_id"], r["class_start"]) for r in repeated_passages(rows, broadcast_rows=limit).collect())
         assert got == [(3, 0, 90, 3, 0), (5, 0, 90, 3, 0), (9, 0, 90, 3, 0), (12, 30, 100, 3, 0)]
+
+
+def test_rare_prints_lose_no_near_copy():
+    """Windows of one value whose stretches are near copies around the centre have one of their rarest prints in common, whatever the edits."""
+    length, percent, shingle = 46, 75, 5
+    reach, run, rng = length + length // 3, length // 3 + 1, random.Random(4)
+    names, near = ["value", "id", "c", "fine", "begin", "tokens"], 0
+    for fine in (True, False):
+        base, pieces = words(rng, 240), []
+        for _ in range(70):
+            w, phrase = list(base) if rng.random() < 0.8 else words(rng, 240), base[115:126]
+            for at in sorted(rng.sample([*range(60, 110), *range(130, 180)], rng.randrange(5)), reverse=True):
+                w[at : at + rng.randrange(2)] = words(rng, rng.randrange(3))
+            i = next((i for i in range(len(w) - 10) if w[i : i + 11] == phrase), None)
+            if i is None:
+                continue
+            hashes = [hash(tuple(w[j : j + 5])) & 0xFFFFFFFF for j in range(len(w) - 4)]
+            begin, end = max(0, i - reach), min(len(hashes), i + reach + 1)
+            pieces.append((begin - i, np.array(hashes[begin:end], "<u4")))
+        batch = pa.RecordBatch.from_pydict({"value": [1] * len(pieces), "id": list(range(len(pieces))), "c": [0] * len(pieces), "fine": [fine] * len(pieces), "begin": pa.array([b for b, _ in pieces], pa.int32()), "tokens": [t.tobytes() for _, t in pieces]})
+        assert batch.schema.names == names
+        rows = [r for b in _prints(run)([batch]) for r in b.to_pylist()]
+        holders = {}
+        for r in rows:
+            holders.setdefault(r["print"], []).append(r["id"])
+        lists = [sorted(({"n": len(holders[r["print"]]), **{k: r[k] for k in ("print", "lo", "hi")}} for r in rows if r["id"] == i and len(set(holders[r["print"]])) > 1), key=lambda x: tuple(x.values())) for i in range(len(pieces))]
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("print", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16())]))
+        grouped = pa.RecordBatch.from_pydict({"value": [1] * len(pieces), "id": list(range(len(pieces))), "c": [0] * len(pieces), "fine": [fine] * len(pieces), "begin": [b for b, _ in pieces], "end": [b + len(t) for b, t in pieces], "prints": pa.array(lists, kind)})
+        rare = [set() for _ in pieces]
+        for b in _rarest(length, percent, reach, run, shingle)([grouped]):
+            for r in b.to_pylist():
+                rare[r["id"]].add(r["print"])
+        for i, (p, x) in enumerate(pieces):
+            for j, (q, y) in enumerate(pieces[:i]):
+                lo, hi = max(p, q), min(p + len(x), q + len(y))
+                a, b = np.isin(x, y)[lo - p : hi - p], np.isin(y, x)[lo - q : hi - q]
+                if any(lo + s <= 0 < lo + e for s, e in zip(*near_stretches(a, b, length, percent), strict=True)):
+                    near += 1
+                    assert rare[i] & rare[j]
+    assert near > 300
+
+
+def test_unrelated_documents_hide_no_inserted_word(spark):
+    """Near copies with inserted words, all of whose phrases unrelated earlier documents hold too."""
+    rng, pairs, others = random.Random(12), [], []
+    for _ in range(40):
+        a, b = words(rng, 110), []
+        for at in range(0, 110, 36):
+            b += a[at : at + 36] + words(rng, 1)
+        pairs += [a, b]
+        others += [[x for at in range(first, 110, 24) for x in a[at : at + 24] + words(rng, 40)] for first in (0, 12)]
+    found = lambda docs: {r["doc_id"] for r in repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()}
+    own = [(1000 + i, t) for i, t in enumerate(pairs)]
+    alone = found(own)
+    assert len(alone) >= 0.95 * len(pairs) and alone <= found(own + list(enumerate(others)))

@@ -14,8 +14,9 @@ themselves: a stretch is a near copy if enough of its shingles occur in the othe
 1. Every window meets the first window of its value.
 2. In values where that leaves a window without a near copy, windows are grouped by the exact shingles right or left of
    the centre too, and meet the first of each group.
-3. Windows that still have no near copy meet all windows of their value that share a rare print with them: a shingle or a run that few windows of
-   the value have. Each window lists its rarest prints, as many as leave a near copy no room beside them.
+3. Windows that still have no near copy, but can have one, meet all of their value that can. Prints tell which: shingles or runs that other windows of the
+   value have. A window lists its rarest prints, as many as leave a near copy no room beside them; if none do, it is out. The windows of
+   a value are compared in blocks on their shingles, and only near copies go on as candidates.
 
 Exact copies need no comparison. Windows that hold the same shingles all through are grouped by a hash of them, and only the first of each
 group takes part in the steps above, which keeps them small where many copies are. Of these, each run of the whole length whose
@@ -421,6 +422,70 @@ def _rarest(length: int, percent: int, reach: int, run: int, shingle: int):
     return one
 
 
+def near_windows(one: list[tuple[np.ndarray, np.ndarray]], other: list[tuple[np.ndarray, np.ndarray]], length: int, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of two blocks have a stretch that is a near copy, as near_stretches() has it, at the same places from their centres.
+
+    A block is ``begins, tokens``: the first place of each window from its centre, and its shingles.
+    """
+    shared = np.intersect1d(np.concatenate([t for _, t in one]), np.concatenate([t for _, t in other]))
+    width, absent = 2 * reach + 1, len(shared)
+
+    def marks(block: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each window the shingle at each place, which places it has, how often it holds each shingle, and whether it does."""
+        row = np.repeat(np.arange(len(block)), [len(t) for _, t in block])
+        place = np.concatenate([np.arange(b + reach, b + reach + len(t)) for b, t in block])
+        tokens = np.concatenate([t for _, t in block])
+        at = np.searchsorted(shared, tokens)
+        at[np.append(shared, 0)[at] != tokens] = absent
+        at = np.where(at < absent, at, absent)
+        token, has = np.full((len(block), width), absent), np.zeros((len(block), width), bool)
+        token[row, place], has[row, place] = at, True
+        count = np.bincount(row * (absent + 1) + at, minlength=len(block) * (absent + 1)).reshape(len(block), -1).astype(np.float32)
+        count[:, absent] = 0
+        return token, has, count, count > 0
+
+    token_a, has_a, count_a, holds_a = marks(one)
+    token_b, has_b, count_b, holds_b = marks(other)
+    # both sides' common shingles, wherever they are
+    common = count_a @ holds_b.T.astype(np.float32) + holds_a.astype(np.float32) @ count_b.T
+    i, j = np.nonzero(common * (100 + percent) >= 4 * percent * length)
+    near = np.zeros(len(i), bool)
+    for first in range(0, len(i), 4096):
+        x, y = i[first : first + 4096], j[first : first + 4096]
+        hits = holds_b[y[:, None], token_a[x]].astype(np.int32) + holds_a[x[:, None], token_b[y]]
+        score = np.where(has_a[x] & has_b[y], hits * (100 + percent) - 4 * percent, -1000 * width)
+        total, low = np.cumsum(score, 1, np.int32), np.iinfo(np.int32).min
+        # a stretch begins and ends with a hit; best[j]: the largest total at place j or later
+        best = np.maximum.accumulate(np.where(hits > 0, total, low)[:, ::-1], 1)[:, ::-1][:, length - 1 :]
+        near[first : first + 4096] = ((hits > 0)[:, : width + 1 - length] & (best >= (total - score)[:, : width + 1 - length])).any(1)
+    return i[near], j[near]
+
+
+def _compared(length: int, percent: int, reach: int):
+    """``id, c, value, first, first_c`` of the near copies between two blocks of windows of a value, each once: ``one`` waits, and so may some of ``other``."""
+
+    def windows(lists: pa.Array) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        flat = lists.flatten()
+        tokens, at = _tokens(flat.field("tokens"))
+        begin = flat.field("begin").to_numpy().tolist()
+        return flat, [(b, tokens[x:y]) for b, x, y in zip(begin, at[:-1].tolist(), at[1:].tolist(), strict=True)], np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                batch = whole.slice(first, 64)
+                (one, a, at), (other, b, bt) = (windows(batch.column(x)) for x in ("one", "other"))
+                pairs = [near_windows(a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]], length, percent, reach) for k in range(batch.num_rows)]
+                i, j = (np.concatenate([p[n] + start for p, start in zip(pairs, starts[:-1].tolist(), strict=True)]).astype(np.int64) for n, starts in enumerate((at, bt)))
+                row = np.repeat(np.arange(batch.num_rows), [len(p[0]) for p in pairs])
+                x, y = one.take(pa.array(i)), other.take(pa.array(j))
+                out = pa.RecordBatch.from_arrays([pc.struct_field(x, "id"), pc.struct_field(x, "c"), batch.column("value").take(pa.array(row)), pc.struct_field(y, "id"), pc.struct_field(y, "c")], ["id", "c", "value", "first", "first_c"])
+                once = pc.or_(pc.less(out.column("id"), out.column("first")), pc.and_(pc.invert(pc.struct_field(y, "waits")), pc.not_equal(out.column("id"), out.column("first"))))
+                yield out.filter(once)
+
+    return run
+
+
 class _Passages:
     def __init__(self, entries: DataFrame, stretches: DataFrame, length: int, percent: int, reach: int, shingle: int, scratch: Scratch) -> None:
         self.entries, self.stretches, self.scratch = entries, stretches, scratch
@@ -469,7 +534,7 @@ class _Passages:
         leads = leads.join(known, "value").where("first <> x OR first_c <> y").drop("x", "y")
         again = self.verified(keyed.join(leads, ["value", "side", "key"]).where(F.col("id") != F.col("first")).select("id", "c", "value", "first", "first_c"), "again")
 
-        # what is linked to nothing yet, the first windows of each value too, meets all of its value that share what is rare in it
+        # what is linked to nothing yet, the first windows of each value too, meets all of its value
         both = near.unionByName(again).where("size(found) > 0").select("id", "first", "shift", F.explode(F.array_except("windows", "open")).alias("w"))
         done = both.select("id", "w.c", "w.value").unionByName(both.select(F.col("first").alias("id"), (F.col("w.c") - F.col("shift")).alias("c"), "w.value")).distinct()
         alone = self.scratch.write(around.select("id", "c", "value").join(done, ["id", "c", "value"], "left_anti"), "alone")
@@ -480,8 +545,8 @@ class _Passages:
         turned = found.where("first > id").select(F.col("first").alias("id"), F.col("id").alias("first"), (-F.col("shift")).alias("shift"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"), "similarity")
         return found.where("first < id").unionByName(turned)
 
-    def sharing(self, alone: DataFrame, around: DataFrame, hot: int = 64) -> DataFrame:
-        """``id, c, value, first, first_c``: windows of ``alone`` with those of their value that they can be near copies of: both have one of their rarest prints in common.
+    def sharing(self, alone: DataFrame, around: DataFrame, hot: int = 64, block: int = 256) -> DataFrame:
+        """``id, c, value, first, first_c``: windows of ``alone`` with those of their value that they are near copies of, compared in blocks of ``block`` windows.
 
         Prints stand for runs; in values of more than ``hot`` windows, where the same runs are in many, each shingle is a print.
         """
@@ -496,11 +561,18 @@ class _Passages:
         prints = rows.mapInArrow(_prints(copied), f"value long, id {kind}, c int, fine boolean, print int, lo short, hi short, begin short, end short")
         prints = prints.select("*", F.count("*").over(same).cast("int").alias("n"), F.min("id").over(same).alias("low"), F.max("id").over(same).alias("high")).where("low <> high")
         prints = prints.groupBy(*key, "fine").agg(F.first("begin").alias("begin"), F.first("end").alias("end"), F.array_sort(F.collect_list(F.struct("n", "print", "lo", "hi"))).alias("prints"))
-        rare = prints.mapInArrow(_rarest(self.length, self.percent, self.reach, copied, self.shingle), f"value long, id {kind}, c int, print int").distinct()
-        rare = self.scratch.write(rare.join(alone.select(*key, F.lit(True).alias("waits")), key, "left"), "rare")
-        other = rare.select("value", "print", F.col("id").alias("first"), F.col("c").alias("first_c"), F.col("waits").alias("both"))
-        pairs = rare.where("waits").join(other, ["value", "print"]).where("id <> first AND (both IS NULL OR id < first)")
-        return pairs.select("id", "c", "value", "first", "first_c")
+        able = prints.mapInArrow(_rarest(self.length, self.percent, self.reach, copied, self.shingle), f"value long, id {kind}, c int, print int").select(*key).distinct()
+        waits = alone.select(*key, F.lit(True).alias("waits"))
+        able = self.scratch.write(rows.select(*key, "begin", "tokens").join(able, key, "left_semi").join(waits, key, "left").withColumn("waits", F.col("waits").isNotNull()), "able")
+        cuts = able.groupBy("value").agg(F.ceil(F.count("*") / block).alias("cut"), F.ceil(F.count_if("waits") / block).alias("own")).where("own > 0")
+        rows = able.join(cuts, "value")
+        held = lambda *names: F.collect_list(F.struct("id", "c", "begin", "tokens", *names))
+        dealt = lambda n: F.pmod(F.xxhash64("id", "c"), F.col(n))
+        one = rows.where("waits").groupBy("value", "cut", dealt("own").alias("k")).agg(held().alias("one"))
+        one = one.select("value", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("k"))
+        other = rows.groupBy("value", dealt("cut").alias("k")).agg(held("waits").alias("other"))
+        pairs = one.join(other, ["value", "k"]).select("value", "one", "other")
+        return self.scratch.write(pairs.mapInArrow(_compared(self.length, self.percent, self.reach), f"id {kind}, c int, value long, first {kind}, first_c int"), "pairs")
 
 
 def repeated_passages(
@@ -529,13 +601,14 @@ def repeated_passages(
     windows = scratch.write(rows.mapInArrow(_windows(shingle, length, orders, span), kinds), "windows")
     # one window stands for all with its shingles; where they are plain, the others are exact copies of it
     keys = windows.groupBy("key").agg(F.min(F.struct("id", "c")).alias("f"), F.max("id").alias("last"), F.first("value").alias("value"), F.max("before").alias("before"))
-    keys = scratch.write(keys, "keys")
-    several = keys.where("f.id <> last AND before IS NOT NULL").select("key", F.col("f.id").alias("first"), F.col("f.c").alias("first_c"))
+    # hashes don't compress, so only those that are read again are written
+    keys = scratch.write(keys.select(F.when(F.expr("f.id <> last AND before IS NOT NULL"), F.col("key")).alias("key"), "f.id", "f.c", "value"), "keys")
+    several = keys.where("key IS NOT NULL").select("key", F.col("id").alias("first"), F.col("c").alias("first_c"))
     same = windows.where("before IS NOT NULL").join(several, "key").where("id <> first")
     same = same.select("id", "first", (F.col("c") - F.col("first_c")).alias("shift"), (F.col("c") - F.col("before")).alias("start"), (F.col("c") + F.col("after")).alias("end"), F.lit(1.0).alias("similarity"))
     same = scratch.write(_united(same), "same")
     scratch.drop(windows)
-    alone = keys.select(F.col("f.id").alias("id"), F.col("f.c").alias("c"), "value")
+    alone = keys.select("id", "c", "value")
     shared = alone.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("value")
     lists = scratch.write(alone.join(shared, "value").groupBy("id").agg(F.collect_set(F.struct("c", "value")).alias("found")), "lists")
     scratch.drop(keys)

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from skytrace.llm.substring_dedup import _prints, _rarest, compact_windows, near_stretches, ordered, repeated_passages
+from skytrace.llm import substring_dedup
+from skytrace.llm.substring_dedup import _prints, _rarest, compact_windows, near_stretches, near_windows, ordered, repeated_passages
 
 
 def words(rng, n):
@@ -192,3 +193,45 @@ def test_unrelated_documents_hide_no_inserted_word(spark):
     own = [(1000 + i, t) for i, t in enumerate(pairs)]
     alone = found(own)
     assert len(alone) >= 0.95 * len(pairs) and alone <= found(own + list(enumerate(others)))
+
+
+def test_near_windows():
+    """Blocks of windows against near_stretches(), pair by pair."""
+    rng, length, reach, near = random.Random(10), 12, 16, 0
+    for _ in range(40):
+        base, blocks = [rng.randrange(1 << 32) for _ in range(2 * reach + 1)], ([], [])
+        for block in blocks:
+            for _ in range(rng.randrange(1, 12)):
+                t = [rng.randrange(1 << 32) if rng.random() < 0.12 else x for x in base]
+                if rng.random() < 0.4:
+                    at = rng.randrange(len(t))
+                    t[at : at + rng.randrange(2)] = [rng.choice(base) for _ in range(rng.randrange(3))]
+                begin, end = rng.randrange(reach - 2), rng.randrange(reach + 2, 2 * reach + 2)
+                block.append((begin - reach, np.array(t[: 2 * reach + 1][begin:end], "<u4")))
+        expected = set()
+        for i, (p, x) in enumerate(blocks[0]):
+            for j, (q, y) in enumerate(blocks[1]):
+                lo, hi = max(p, q), min(p + len(x), q + len(y))
+                if len(near_stretches(np.isin(x, y)[lo - p : hi - p], np.isin(y, x)[lo - q : hi - q], length, 75)[0]):
+                    expected.add((i, j))
+        assert set(zip(*(k.tolist() for k in near_windows(*blocks, length, 75, reach)), strict=True)) == expected
+        near += len(expected)
+    assert near > 100
+
+
+def test_what_stays_apart_makes_no_candidates(spark, monkeypatch):
+    """Texts that share most of their phrases, but of which hardly any two are near copies, go to the last verification as near copies only."""
+    rng, seen = random.Random(21), {}
+    base = words(rng, 130)
+    texts = [[x if rng.random() < 0.95 else words(rng, 1)[0] for x in base] for _ in range(250)]
+    verified = substring_dedup._Passages.verified
+
+    def counted(self, pairs, name):
+        out = verified(self, pairs, name)
+        seen[name] = pairs.count(), out.count(), out.where("size(found) > 0").count()
+        return out
+
+    monkeypatch.setattr(substring_dedup._Passages, "verified", counted)
+    assert covered(spark, texts)
+    pairs, candidates, near = seen["last"]
+    assert near and candidates <= 1.5 * near and pairs <= 4 * candidates
